@@ -6,6 +6,8 @@ have different options. A regular expression is built only for labels that occur
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ _WORD = r"[\p{L}\p{N}_]"
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also when lambdas inside use it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def options(labels: list[str] | Column) -> Column:
     """A Python list as an array column; a column stays as it is."""
     if isinstance(labels, Column):
@@ -110,62 +117,78 @@ def parse_answer(
     binary = is_binary(labels) if binary is None else F.lit(binary) if isinstance(
         binary, bool
     ) else binary
-    answer = answer_line(response)
-    no_label = F.get(
-        F.filter(labels, lambda x: F.lower(trimmed(x)) == "no label"), F.lit(0)
-    )
-    exact = F.get(F.filter(labels, lambda x: F.lower(x) == F.lower(answer)), F.lit(0))
-    inside = F.get(F.filter(labels, lambda x: _last_start(answer, x) >= 0), F.lit(0))
-    from_answer = F.when(no_label.isNotNull() & is_no_label(answer), no_label).otherwise(
-        F.when(binary, yes_no(answer, labels)).otherwise(F.coalesce(exact, inside))
-    )
-    from_text = F.when(binary, yes_no(response, labels)).otherwise(last_label_in(response, labels))
-    raw = F.when(text_or_blank(answer) != "", answer).otherwise(response)
-    return F.coalesce(F.when(answer.isNotNull(), from_answer), from_text, trimmed(raw))
+    no_label = F.get(F.filter(labels, lambda x: F.lower(trimmed(x)) == "no label"), F.lit(0))
+
+    def choose(answer: Column) -> Column:
+        exact = F.get(F.filter(labels, lambda x: F.lower(x) == F.lower(answer)), F.lit(0))
+        inside = F.get(F.filter(labels, lambda x: _last_start(answer, x) >= 0), F.lit(0))
+        from_answer = F.when(no_label.isNotNull() & is_no_label(answer), no_label).otherwise(
+            F.when(binary, yes_no(answer, labels)).otherwise(F.coalesce(exact, inside))
+        )
+        from_text = F.when(binary, yes_no(response, labels)).otherwise(
+            last_label_in(response, labels)
+        )
+        raw = F.when(text_or_blank(answer) != "", answer).otherwise(response)
+        return F.coalesce(F.when(answer.isNotNull(), from_answer), from_text, trimmed(raw))
+
+    return let(answer_line(response), choose)
 
 
 def match_label(value: Column, labels: list[str] | Column) -> Column:
     """Codebook label for a raw coder value: equal key, else contained words, else null."""
     labels = options(labels)
-    key = plain_key(value)
-    tokens = words(key)
     keyed = F.transform(
-        labels, lambda x, i: F.struct(i.alias("i"), x.alias("x"), words(plain_key(x)).alias("w"))
+        labels, lambda x, i: F.struct(i.alias("i"), x.alias("x"), plain_key(x).alias("k"))
     )
-    exact = F.get(F.filter(labels, lambda x: plain_key(x) == key), F.lit(0))
-    inner = F.array_max(
-        F.transform(
-            F.filter(keyed, lambda k: F.size(F.array_except(k["w"], tokens)) == 0),
-            lambda k: F.struct(F.size(k["w"]).alias("n"), (-k["i"]).alias("i"), k["x"].alias("x")),
-        )
-    )["x"]
-    distinct = F.array_distinct(tokens)
-    outer = F.array_min(
-        F.transform(
-            F.filter(keyed, lambda k: F.size(F.array_except(distinct, k["w"])) == 0),
-            lambda k: F.struct(
-                F.size(F.array_distinct(k["w"])).alias("n"), k["i"].alias("i"), k["x"].alias("x")
-            ),
+
+    def choose(key: Column) -> Column:
+        tokens = words(key)
+        exact = F.get(F.filter(keyed, lambda k: k["k"] == key), F.lit(0))["x"]
+        inner = F.array_max(
+            F.transform(
+                F.filter(keyed, lambda k: F.size(F.array_except(words(k["k"]), tokens)) == 0),
+                lambda k: F.struct(
+                    F.size(words(k["k"])).alias("n"), (-k["i"]).alias("i"), k["x"].alias("x")
+                ),
+            )
+        )["x"]
+        distinct = F.array_distinct(tokens)
+        outer = F.array_min(
+            F.transform(
+                F.filter(keyed, lambda k: F.size(F.array_except(distinct, words(k["k"]))) == 0),
+                lambda k: F.struct(
+                    F.size(F.array_distinct(words(k["k"]))).alias("n"),
+                    k["i"].alias("i"),
+                    k["x"].alias("x"),
+                ),
+            )
+        )["x"]
+        return F.coalesce(
+            exact, F.when(inner != "", inner), F.when((F.size(tokens) > 0) & (outer != ""), outer)
         )
-    )["x"]
-    return F.coalesce(
-        exact, F.when(inner != "", inner), F.when((F.size(tokens) > 0) & (outer != ""), outer)
-    )
+
+    return let(plain_key(value), choose)
 
 
 def parse_label_set(response: Column, labels: list[str] | Column) -> Column:
     """All codebook labels named in an answer, in codebook order."""
     labels = options(labels)
-    text = trimmed(text_or_blank(response))
-    key = plain_key(text)
-    parts = F.transform(F.split(text, r"[|\n]"), lambda p: match_label(p, labels))
-    named = F.filter(
-        labels,
-        lambda x: F.array_contains(F.array_compact(parts), x)
-        | ((plain_key(x) != "") & F.contains(key, plain_key(x))),
-    )
-    empty = (text == "") | key.isin(EMPTY_SET_PHRASES)
-    return F.when(empty, F.array().cast("array<string>")).otherwise(F.array_distinct(named))
+
+    def choose(text: Column) -> Column:
+        key = plain_key(text)
+        parts = F.transform(F.split(text, r"[|\n]"), lambda p: match_label(p, labels))
+        named = let(
+            F.struct(F.array_compact(parts).alias("parts"), key.alias("key")),
+            lambda s: F.filter(
+                labels,
+                lambda x: F.array_contains(s["parts"], x)
+                | ((plain_key(x) != "") & F.contains(s["key"], plain_key(x))),
+            ),
+        )
+        empty = (text == "") | key.isin(EMPTY_SET_PHRASES)
+        return F.when(empty, F.array().cast("array<string>")).otherwise(F.array_distinct(named))
+
+    return let(trimmed(text_or_blank(response)), choose)
 
 
 def canonical_labels(values: Column, labels: list[str] | Column) -> Column:
