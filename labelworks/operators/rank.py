@@ -26,22 +26,23 @@ def running_total(
     value: Column | None = None,
     digits: int = BUCKET_DIGITS,
     attach: DataFrame | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Adds ``before`` (sum of ``value`` over earlier rows of the group) and ``total``.
 
     ``order`` is a hex hash column; ``ties`` make the order unique. ``keys`` must not be null.
     ``attach`` (one row per group) adds its columns through the small table of bucket sums, so rows
-    of a large group are never shuffled by the group alone.
+    of a large group are never shuffled by the group alone. ``bucket`` replaces the hash prefix for an
+    order that is not a hash; it must rise with the order.
     """
     value = F.lit(1) if value is None else value
-    rows = df.withColumn("_value", value.cast("bigint")).withColumn(
-        "_bucket", F.substring(F.col(order), 1, digits)
-    )
+    bucket = F.substring(F.col(order), 1, digits) if bucket is None else bucket
+    rows = df.withColumn("_value", value.cast("bigint")).withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     rows = rows.withColumn("_local", F.sum("_value").over(inside) - F.col("_value"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sums = (
-        df.withColumn("_bucket", F.substring(F.col(order), 1, digits))
+        df.withColumn("_bucket", bucket)
         .groupBy(*keys, "_bucket")
         .agg(F.sum(value.cast("bigint")).alias("_sum"))
         .withColumn("_offset", F.sum("_sum").over(group.orderBy("_bucket")) - F.col("_sum"))
@@ -75,3 +76,28 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str | Column], k: int
     a group of any size sends at most ``k`` rows per input task."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+
+
+def running_last(
+    df: DataFrame, keys: list[str], order: str, marks: dict[str, Column], chunk: int
+) -> DataFrame:
+    """Adds, per entry of ``marks``, the last non-null value up to and including the row.
+
+    ``order`` is a whole-number position. A group is cut into chunks of ``chunk`` positions: the last
+    value of each chunk is carried to later chunks through a small table, so a sheet of any length
+    is filled in parallel.
+    """
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    marked = rows.withColumns(
+        {f"_m_{n}": F.when(c.isNotNull(), F.struct(F.col(order).alias("at"), c.alias("v"))) for n, c in marks.items()}
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = marked.withColumns({f"_l_{n}": F.max(f"_m_{n}").over(inside) for n in marks})
+    tops = marked.groupBy(*keys, "_chunk").agg(*[F.max(f"_m_{n}").alias(f"_t_{n}") for n in marks])
+    carried = tops.select(
+        *keys, "_chunk", *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in marks]
+    )
+    return local.join(carried, [*keys, "_chunk"]).select(
+        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in marks]
+    )
