@@ -66,7 +66,7 @@ def _last_start(text: Column, word: Column) -> Column:
     found = (word != "") & F.contains(F.lower(text), F.lower(word))
     return F.when(
         F.coalesce(found, F.lit(False)) & F.regexp_like(text, pattern),
-        F.length(F.regexp_extract(text, pattern, F.lit(1))),
+        F.length(F.call_function("regexp_extract", text, pattern, F.lit(1))),
     ).otherwise(F.lit(-1))
 
 

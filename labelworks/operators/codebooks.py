@@ -24,6 +24,11 @@ GENERIC_NAMES = [
     "untitled codebook",
     "extracted annotation codebook",
 ]
+# Fixed value: instructions of a category dimension made from a gate map.
+CATEGORY_INSTRUCTIONS = (
+    "Gated by %s: choose the single thematic category for the chosen %s. "
+    "Only the categories listed under the predicted %s apply."
+)
 MAX_FLAT_LABELS = 10
 MIN_SIMILAR_LENGTH = 6
 MIN_SCORE = 0.3
@@ -240,9 +245,7 @@ def fold_gate_map(
             "codebook_id",
             F.col("cat_dim").alias("dim"),
             "dim_type",
-            F.concat(
-                F.lit("Gated by "), "gate_dim", F.lit(": pick the category of the chosen "), "gated_dim"
-            ).alias("instructions"),
+            F.format_string(CATEGORY_INSTRUCTIONS, "gate_dim", "gated_dim", "gate_dim").alias("instructions"),
             F.col("gate_dim").alias("gated_by"),
             F.lit("").alias("derived_from"),
             F.lit("").alias("category_dimension"),
