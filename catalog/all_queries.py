@@ -1,4 +1,12 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import texts  # noqa: F401
-from . import evaluations  # noqa: F401
+from . import (  # noqa: F401
+    alignment,
+    codebooks,
+    evaluations,
+    labeling,
+    ledgers,
+    sheets,
+    splits,
+    texts,
+)

@@ -76,8 +76,10 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+def predictions(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    """Two predictions per document; ``docs`` may be a stream of documents."""
+    docs = table(spark, d, "documents") if docs is None else docs
+    docs = docs.select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     steps = F.array(
         F.struct(F.lit(0).alias("step_order"), F.lit(QUALITY).alias("dimension"), F.col("quality").alias("t")),
         F.struct(F.lit(1).alias("step_order"), F.lit(TOXIC).alias("dimension"), F.col("toxic").alias("t")),
@@ -261,8 +263,8 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edits(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d).filter(h("item_id", "dimension", "'edit'") % 20 == 0)
+def edits(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    p = predictions(spark, d, docs).filter(h("item_id", "dimension", "'edit'") % 20 == 0)
     rows = p.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("e")).filter(
         (F.col("e") == 0) | (F.col("item_id") % 2 == 0)
     )

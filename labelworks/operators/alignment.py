@@ -351,7 +351,7 @@ def validation_report(items: DataFrame, schema: DataFrame) -> DataFrame:
         _only(has_error, _issue("", "error_items")),
     )
     return (
-        flagged.select("codebook_id", F.inline(rows))
+        flagged.select("codebook_id", F.inline_outer(rows))  # never empty
         .groupBy("codebook_id", "severity", "kind", "dimension", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -370,7 +370,7 @@ def issue_samples(items: DataFrame, schema: DataFrame, k: int = 3, width: int =
         "codebook_id",
         "idx",
         F.substring(trimmed(text_or_blank(F.col("content"))), 1, width).alias("sample"),
-        F.inline("issues"),
+        F.inline_outer("issues"),
     )
     return first_samples(
         rows.filter(F.col("kind").isin("unknown_label", "unknown_dimension", "missing_dimension")),

@@ -360,7 +360,7 @@ def near_duplicates(labels: DataFrame) -> DataFrame:
                         "_c", lambda _, i: F.array_join(F.slice(F.col("_c"), i + 1, F.lit(size)), "")
                     ),
                     F.lit(1),
-                    F.size("_c") - (size - 1),
+                    F.greatest(F.size("_c") - (size - 1), F.lit(0)),
                 )
             ),
         )

@@ -127,8 +127,8 @@ def explode_examples(items: DataFrame, dimension: str, labels: Column) -> DataFr
         F.col("content").alias("sentence"),
         "context",
         F.lit(dimension).alias("dimension"),
-        F.posexplode(found).alias("pos", "label"),
-    )
+        F.posexplode_outer(found).alias("pos", "label"),
+    ).filter(F.col("pos").isNotNull())
 
 
 def coder_examples(items: DataFrame, dimension: str) -> DataFrame:

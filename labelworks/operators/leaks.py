@@ -63,7 +63,10 @@ def contained_sentences(
     def anchors(pattern: str, parts: Column) -> DataFrame:
         hashed = F.array_distinct(F.transform(parts, lambda t: F.xxhash64(t)))
         pieces = low.select("prompt_id", F.split("p", pattern).alias("_p"))
-        return pieces.select("prompt_id", F.explode(hashed).alias("anchor"))
+        # the outer form: a plain explode would compute the hashes twice, once to test for emptiness
+        return pieces.select("prompt_id", F.explode_outer(hashed).alias("anchor")).filter(
+            F.col("anchor").isNotNull()
+        )
 
     pairs = anchors(_WORD_SPLIT, _triples("_p")).join(by_word, "anchor")
     if not by_char.isEmpty():

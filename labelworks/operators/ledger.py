@@ -123,14 +123,14 @@ def upsert_rules(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def guard_shrink(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: whether a de-duplicated library is accepted (not larger, not under two thirds)."""
-    before = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_old"))
     usable = (text_or_blank(F.col("rule")) != "") & (text_or_blank(F.col("boundary")) != "")
-    after = new.filter(usable).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
-    n, m = F.col("n_old"), F.coalesce("n_new", F.lit(0))
-    floor = F.greatest(F.lit(3), F.floor(2 * n / 3))
-    return before.join(after, keys, "left").select(
-        *keys, n, m.cast("bigint").alias("n_new"), ((m > 0) & (m >= floor) & (m <= n)).alias("accepted")
+    rows = old.select(*keys, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
+        new.filter(usable).select(*keys, F.lit(0).alias("o"), F.lit(1).alias("n"))
     )
+    counts = rows.groupBy(*keys).agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new"))
+    n, m = F.col("n_old"), F.col("n_new")
+    floor = F.greatest(F.lit(3), F.floor(2 * n / 3))
+    return counts.filter(n > 0).withColumn("accepted", (m > 0) & (m >= floor) & (m <= n))
 
 
 def worked_examples(
@@ -238,6 +238,6 @@ def estimate_run(items: DataFrame, steps: DataFrame, keys: list[str]) -> DataFra
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
-def stack_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run files (one JSON object per file or line) as one table; order by ``seed`` to read it."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def stack_runs(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Run files as one table: one JSON value per file, or one per line with ``lines``."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)

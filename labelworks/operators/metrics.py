@@ -130,7 +130,7 @@ def _label_outcomes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
     rows = F.concat(F.array(item), F.transform(F.array_union("g", "p"), outcome))
     return (
-        sets.select(*keys, F.inline(rows))
+        sets.select(*keys, F.inline_outer(rows))  # never empty
         .groupBy(*keys, "label")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     )

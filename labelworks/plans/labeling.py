@@ -238,7 +238,8 @@ def annotate(items: DataFrame, steps: list[Step], labeler: Labeler, key: str = "
         failed = active & F.col("_response").isNull()
         df = df.withColumns(
             {
-                "tokens": F.col("tokens") + F.coalesce(F.when(active, F.col("_tokens")), F.lit(0)),
+                "tokens": F.col("tokens")
+                + F.coalesce(F.when(active & ~failed, F.col("_tokens")), F.lit(0)),
                 "ok": F.col("ok") & ~failed,
                 f"_r{i}": F.when(active, F.col("_response")),
             }
@@ -293,7 +294,11 @@ def result_rows(annotated: DataFrame, steps: list[Step], keys: list[str] = ("ite
     up rows is not the item's total.
     """
     share = F.floor(F.col("tokens") / max(len(steps), 1)).cast("bigint")
-    return annotated.filter("ok").select(*keys, F.inline("answers"), share.alias("tokens"))
+    # the outer form keeps the optimizer from copying all step expressions into a filter on the array
+    rows = annotated.select(
+        *keys, F.inline_outer(F.when(F.col("ok"), F.col("answers"))), share.alias("tokens")
+    )
+    return rows.filter(F.col("dimension").isNotNull())
 
 
 def apply_gate(df: DataFrame, gate: str, labels: list[str]) -> DataFrame:

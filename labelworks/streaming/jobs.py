@@ -72,7 +72,7 @@ def apply_corrections(edits: DataFrame, predictions_path: str, out_path: str) ->
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote, from the shared folder.
 
-    Update and complete results are written per micro-batch; the last batch holds the final rows.
+    Complete results are written per micro-batch, and the last batch is returned.
     """
     spark = stream.sparkSession
     base = new_path(spark, name)
@@ -86,7 +86,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
 
     _finish(writer.outputMode(mode).foreachBatch(body).start())
-    return spark.read.parquet(f"{base}/rows")
+    last = spark.read.parquet(f"{base}/rows").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{base}/rows/batch={last}")
 
 
 def run_corrections(edits: DataFrame, predictions: DataFrame) -> DataFrame:
