@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from labelworks.operators import alignment as A
 from labelworks.operators import codebooks as C
+from labelworks.scratch import stored
 
 from . import sql as S
 from .registry import query
 from .relations import h, pick, table
 
+BOOKS = (1, 2)
+
 # ---- messy gold: names and labels as people write them ---------------------------------------
 
 _RAW = f"""
@@ -39,7 +42,7 @@ def messy_items(spark, d):
     )
     blank = F.col("doc_id") % 50 == 0
     return table(spark, d, "documents").select(
-        F.lit(1).cast("bigint").alias("codebook_id"),
+        (F.col("doc_id") % 2 + 1).alias("codebook_id"),
         F.col("doc_id").alias("idx"),
         F.when(blank, " ").otherwise(F.col("text")).alias("content"),
         F.create_map(F.lit("body"), F.col("text")).alias("metadata"),
@@ -55,20 +58,20 @@ def schema(spark):
         "Tags": ("multi_label", ["A", "B", "C", "D", "None"]),
     }
     dims = spark.createDataFrame(
-        [(1, n, kind, "", i) for i, (n, (kind, _)) in enumerate(book.items())],
+        [(b, n, kind, "", i) for b in BOOKS for i, (n, (kind, _)) in enumerate(book.items())],
         "codebook_id bigint, dim string, dim_type string, category_dimension string, sort_order bigint",
     )
     labels = spark.createDataFrame(
-        [(1, n, x, [], i) for n, (_, xs) in book.items() for i, x in enumerate(xs)],
+        [(b, n, x, [], i) for b in BOOKS for n, (_, xs) in book.items() for i, x in enumerate(xs)],
         "codebook_id bigint, dim string, label string, path array<string>, sort_order bigint",
     )
-    return C.schema_rows(*C.gold_schema(dims, labels))
+    return stored(C.schema_rows(*C.gold_schema(dims, labels)), "schema")
 
 
 def spec(spark):
     return A.make_spec(
         spark.createDataFrame(
-            [(1, "body", {"toxic": "Toxic language"}, ["extra DIM"], {"Quality of text": {"Bad": "Low", "unsure": "__drop__"}, "Tags": {"z": "__drop__"}}, [" & ", ","])],
+            [(b, "body", {"toxic": "Toxic language"}, ["extra DIM"], {"Quality of text": {"Bad": "Low", "unsure": "__drop__"}, "Tags": {"z": "__drop__"}}, [" & ", ","]) for b in BOOKS],
             "codebook_id bigint, content_from string, dim_map map<string,string>, drop_dims array<string>, "
             "label_map map<string,map<string,string>>, splits array<string>",
         )
@@ -87,7 +90,8 @@ labs AS (SELECT * FROM (VALUES ('Quality of text', 'High', 'high'), ('Quality of
 )
 def _filter_gold(spark, d):
     dims = spark.createDataFrame(
-        [(1, "Quality of text", 0), (1, "Toxic language", 1), (1, "Tags", 2)], "codebook_id bigint, dim string, sort_order bigint"
+        [(b, n, i) for b in BOOKS for i, n in enumerate(("Quality of text", "Toxic language", "Tags"))],
+        "codebook_id bigint, dim string, sort_order bigint"
     )
     return A.filter_gold_to_codebook(messy_items(spark, d), dims).select("idx", F.explode(F.map_keys("gold")).alias("name"))
 
@@ -132,7 +136,7 @@ SELECT idx, dim, labels FROM ov"""
 
 def _transformed(spark, d):
     over = table(spark, d, "documents").filter("doc_id % 37 = 0").select(
-        F.lit(1).cast("bigint").alias("codebook_id"), F.col("doc_id").alias("idx"),
+        (F.col("doc_id") % 2 + 1).alias("codebook_id"), F.col("doc_id").alias("idx"),
         F.inline(F.array(
             F.struct(F.lit("tag").alias("dimension"), F.lit("c!").alias("value")),
             F.struct(F.lit("Toxic language").alias("dimension"), F.lit("").alias("value")),
@@ -173,15 +177,15 @@ issues AS (
     "validation_report",
     _VALID
     + """
-SELECT 1::BIGINT AS codebook_id, severity, kind, dimension, value, count(*) AS n FROM issues GROUP BY ALL
-UNION ALL SELECT 1, '', 'items', '', '', count(*) FROM documents
-UNION ALL SELECT 1, '', 'error_items', '', '', count(DISTINCT idx) FROM issues WHERE severity = 'error'""",
+SELECT idx % 2 + 1 AS codebook_id, severity, kind, dimension, value, count(*) AS n FROM issues GROUP BY ALL
+UNION ALL SELECT doc_id % 2 + 1, '', 'items', '', '', count(*) FROM documents GROUP BY 1
+UNION ALL SELECT idx % 2 + 1, '', 'error_items', '', '', count(DISTINCT idx) FROM issues WHERE severity = 'error' GROUP BY 1""",
 )
 def validation_report(spark, d):
     return A.validation_report(messy_items(spark, d), schema(spark))
 
 
-@query("validation_ok", _VALID + " SELECT 1::BIGINT AS codebook_id, count(*) FILTER (severity = 'error') = 0 AS ok FROM issues")
+@query("validation_ok", _VALID + " SELECT idx % 2 + 1 AS codebook_id, count(*) FILTER (severity = 'error') = 0 AS ok FROM issues GROUP BY 1")
 def _ok(spark, d):
     return A.validation_ok(A.validation_report(messy_items(spark, d), schema(spark)))
 
@@ -190,9 +194,9 @@ def _ok(spark, d):
     "issue_samples",
     _VALID
     + f"""
-, s AS (SELECT i.kind, i.dimension, i.value, left({S.trim_("CASE WHEN i.idx % 50 = 0 THEN ' ' ELSE d.text END")}, 120) AS sample, min(i.idx) AS idx FROM issues i JOIN documents d ON d.doc_id = i.idx
+, s AS (SELECT i.idx % 2 + 1 AS codebook_id, i.kind, i.dimension, i.value, left({S.trim_("CASE WHEN i.idx % 50 = 0 THEN ' ' ELSE d.text END")}, 120) AS sample, min(i.idx) AS idx FROM issues i JOIN documents d ON d.doc_id = i.idx
   WHERE kind IN ('unknown_label', 'unknown_dimension', 'missing_dimension') GROUP BY ALL HAVING sample <> '')
-SELECT kind, dimension, value, md5(sample) AS sample, idx FROM s QUALIFY row_number() OVER (PARTITION BY kind, dimension, value ORDER BY idx, sample) <= 3""",
+SELECT kind, dimension, value, md5(sample) AS sample, idx FROM s QUALIFY row_number() OVER (PARTITION BY codebook_id, kind, dimension, value ORDER BY idx, sample) <= 3""",
 )
 def _samples(spark, d):
     out = A.issue_samples(messy_items(spark, d), schema(spark))

@@ -36,7 +36,8 @@ def _schema(spark, d):
     return C.gold_schema(book_dims(spark, d), book_labels(spark, d))[1].select("codebook_id", "dim", "label", "sort_order", "label_key")
 
 
-@query("no_label_options", S.with_(_B, f"WITH {_SCHEMA} SELECT codebook_id, dim, max(label) AS no_label FROM sl WHERE {S.n1('label')} IN ('no label', 'none', '', 'n a', 'not applicable') GROUP BY ALL"))
+@query("no_label_options", S.with_(_B, f"""WITH {_SCHEMA}, k AS (SELECT codebook_id, dim, {S.n1('label')} AS k, min(sort_order) AS first_at, max_by(label, sort_order) AS label FROM sl GROUP BY ALL)
+SELECT codebook_id, dim, min_by(label, first_at) AS no_label FROM k WHERE k IN ('no label', 'none', '', 'n a', 'not applicable') GROUP BY ALL"""))
 def _no_label(spark, d):
     labels = C.gold_schema(book_dims(spark, d), book_labels(spark, d))[1]
     return C.no_label_options(labels)

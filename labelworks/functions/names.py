@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 # Characters that count as white space at the ends of a text.
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+SPACE_CHARACTERS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 # Words that carry no meaning when two labels are compared.
 LABEL_FILLER_WORDS = ["layer", "level", "label", "category"]
 # Suffixes removed from sheet labels.
@@ -19,7 +24,7 @@ SHEET_SUFFIXES = [" layer", " level"]
 
 def trimmed(c: Column) -> Column:
     """Text without white space (of any script) at either end."""
-    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def text_or_blank(c: Column) -> Column:

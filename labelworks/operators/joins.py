@@ -54,15 +54,8 @@ def with_gold_fallback(
     """
     if dimension is not None:
         predictions = predictions.filter(dimension_key(F.col("dimension")) == _key(dimension))
-    by_text = gold_by_text(gold_items)
-    rows = with_items(predictions, items)
-    # only rows that need the fallback carry a key, so blank or labeled texts cannot pile up
-    own = F.size("gold") > 0
-    keyed = rows.withColumn(
-        "text_key", F.when(~own & (F.col("content") != ""), F.sha2("content", 256))
-    )
-    joined = keyed.join(by_text, "text_key", "left").withColumn(
-        "gold_map", F.when(own, F.col("gold")).otherwise(F.col("text_gold"))
+    joined = with_items(predictions, items.drop("gold")).join(
+        resolved_gold(items, gold_items), "item_id", "left"
     )
     asked = F.lit(dimension) if dimension is not None else F.col("dimension")
     raw = label_for(F.col("gold_map"), asked)
@@ -80,6 +73,24 @@ def with_gold_fallback(
     )
 
 
+def resolved_gold(items: DataFrame, gold_items: DataFrame) -> DataFrame:
+    """(item_id, gold_map): the item's own gold, else that of a gold item with the same text.
+
+    Only ids, hashes and maps are shuffled. Items that need no lookup get a key of their own, so
+    they spread evenly instead of meeting under one empty key.
+    """
+    own = F.size("gold") > 0
+    wanted = F.when(~own & (F.col("content") != ""), F.sha2("content", 256))
+    keyed = items.select(
+        "item_id",
+        F.when(own, F.col("gold")).alias("_own"),
+        F.coalesce(wanted, F.concat(F.lit("own "), F.col("item_id").cast("string"))).alias("text_key"),
+    )
+    return keyed.join(gold_by_text(gold_items), "text_key", "left").select(
+        "item_id", F.coalesce("_own", "text_gold").alias("gold_map")
+    )
+
+
 def _key(name: str) -> Column:
     return dimension_key(F.lit(name))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import text_or_blank, trimmed
+from ..scratch import stored
 from .rank import first_rows
 
 ANCHOR_WORDS = 3
@@ -20,79 +21,82 @@ SAMPLE_CHARACTERS = 120
 _WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def _triples(tokens: str) -> Column:
-    """Word triples of a token column (a column name, so it is computed once per row)."""
-    joined = F.transform(
-        F.col(tokens),
-        lambda t, i: F.concat_ws(" ", t, *[F.get(F.col(tokens), i + k) for k in range(1, ANCHOR_WORDS)]),
-    )
-    return F.slice(joined, F.lit(1), F.greatest(F.size(tokens) - (ANCHOR_WORDS - 1), F.lit(0)))
+def _triples(df: DataFrame, tokens: str) -> DataFrame:
+    """Adds ``triples``: a hash of every three neighbouring words of the column ``tokens``.
+
+    The last two words start no full triple; their hashes are harmless, as hits are compared as
+    text. Every step is a column of its own, so nothing is computed twice.
+    """
+    rest = df.withColumn("_h1", F.transform(tokens, lambda t: F.xxhash64(t)))
+    pairs = F.zip_with("_h1", F.slice("_h1", F.lit(2), F.size("_h1")), _mix)
+    both = rest.withColumn("_h2", pairs)
+    triples = F.zip_with("_h2", F.slice("_h1", F.lit(3), F.size("_h1")), _mix)
+    return both.withColumn("triples", triples).drop("_h1", "_h2")
+
+
+def _mix(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
 
 
 def _windows(chars: str, size: int) -> Column:
-    """All runs of ``size`` characters of a column of single characters."""
+    """Hash of every run of ``size`` characters of a column of single characters."""
     joined = F.transform(
-        F.col(chars), lambda _, i: F.array_join(F.slice(F.col(chars), i + 1, F.lit(size)), "")
+        F.col(chars), lambda _, i: F.xxhash64(F.array_join(F.slice(F.col(chars), i + 1, F.lit(size)), ""))
     )
     return F.slice(joined, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(0)))
 
 
-def contained_sentences(
-    prompts: DataFrame, sentences: DataFrame, min_len: int = 20
-) -> DataFrame:
+def contained_sentences(prompts: DataFrame, sentences: DataFrame, min_len: int = 20) -> DataFrame:
     """Pairs (prompt_id, sentence_key) where the lowered sentence occurs in the lowered prompt.
 
     ``prompts(prompt_id, prompt)``; ``sentences(sentence_key, text)`` with distinct lowered texts
-    of at least ``min_len`` characters.
+    of at least ``min_len`` characters. The candidate pairs are stored in the shared folder when the
+    plan is built: their real size then decides how the texts are looked up, and as a rule no prompt
+    is ever shuffled.
     """
     tokens = sentences.withColumn("_t", F.split("text", _WORD_SPLIT)).withColumn(
         "_inner", F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 2, F.lit(0)))
     )
-    keyed = tokens.withColumn("_triples", _triples("_inner"))
-    longest = F.array_max(
-        F.transform("_triples", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
-    )["t"]
-    by_word = keyed.filter(F.size("_triples") > 0).select(
-        "sentence_key", F.xxhash64(longest).alias("anchor")
+    # of all triples inside the sentence the longest is the rarest
+    keyed = tokens.withColumn(
+        "_best",
+        F.array_max(
+            F.transform(
+                F.slice("_inner", F.lit(1), F.greatest(F.size("_inner") - (ANCHOR_WORDS - 1), F.lit(0))),
+                lambda t, i: F.struct(
+                    F.length(F.concat_ws("", F.slice(F.col("_inner"), i + 1, F.lit(ANCHOR_WORDS)))).alias("n"),
+                    i.alias("i"),
+                ),
+            )
+        )["i"],
     )
-    by_char = keyed.filter(F.size("_triples") == 0).select(
+    chosen = F.slice("_inner", F.col("_best") + 1, F.lit(ANCHOR_WORDS))
+    named = keyed.filter(F.col("_best").isNotNull()).select("sentence_key", chosen.alias("_w"))
+    by_word = _triples(named, "_w").select("sentence_key", F.get("triples", F.lit(0)).alias("anchor"))
+    by_char = keyed.filter(F.col("_best").isNull()).select(
         "sentence_key", F.xxhash64(F.substring("text", 1, min_len)).alias("anchor")
     )
     low = prompts.select("prompt_id", F.lower(text_or_blank(F.col("prompt"))).alias("p"))
 
-    def anchors(pattern: str, parts: Column) -> DataFrame:
-        hashed = F.array_distinct(F.transform(parts, lambda t: F.xxhash64(t)))
-        pieces = low.select("prompt_id", F.split("p", pattern).alias("_p"))
+    def pieces(pattern: str) -> DataFrame:
+        return low.select("prompt_id", F.split("p", pattern).alias("_p"))
+
+    def hits(parts: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
         # the outer form: a plain explode would compute the hashes twice, once to test for emptiness
-        return pieces.select("prompt_id", F.explode_outer(hashed).alias("anchor")).filter(
-            F.col("anchor").isNotNull()
-        )
+        return parts.select("prompt_id", F.explode_outer(column).alias("anchor")).join(keys, "anchor")
 
-    pairs = anchors(_WORD_SPLIT, _triples("_p")).join(by_word, "anchor")
+    pairs = hits(_triples(pieces(_WORD_SPLIT), "_p"), F.col("triples"), by_word)
     if not by_char.isEmpty():
-        pairs = pairs.unionByName(anchors("", _windows("_p", min_len)).join(by_char, "anchor"))
+        pairs = pairs.unionByName(hits(pieces(""), _windows("_p", min_len), by_char))
+    pairs = stored(pairs.select("prompt_id", "sentence_key").distinct(), "candidates")
     return (
-        pairs.select("prompt_id", "sentence_key")
-        .join(low, "prompt_id")
+        low.join(pairs, "prompt_id")
         .join(sentences.select("sentence_key", "text"), "sentence_key")
         .filter(F.contains("p", "text"))
         .select("prompt_id", "sentence_key")
     )
 
 
-def leaked_examples(prompts: DataFrame, examples: DataFrame, min_len: int = 20) -> DataFrame:
-    """One row per (prompt, example) hit. ``examples(source_id, split, sentence)``.
-
-    Copies of a sentence are looked up once and expanded again at the end.
-    """
-    rows = _keyed(examples, min_len)
-    texts = rows.select("sentence_key", "text").dropDuplicates(["sentence_key"])
-    hits = contained_sentences(prompts, texts, min_len)
-    return hits.join(rows, "sentence_key").select(
-        "prompt_id", "source_id", "split", F.substring("sentence", 1, SAMPLE_CHARACTERS).alias("sample")
-    )
-
-
 def _keyed(examples: DataFrame, min_len: int) -> DataFrame:
     clean = examples.withColumn("sentence", trimmed(text_or_blank(F.col("sentence"))))
     return clean.filter(F.length("sentence") >= min_len).select(
@@ -104,18 +108,41 @@ def _keyed(examples: DataFrame, min_len: int) -> DataFrame:
     )
 
 
+def _hits(prompts: DataFrame, rows: DataFrame, min_len: int) -> DataFrame:
+    texts = rows.groupBy("sentence_key").agg(F.first("text").alias("text"))
+    return contained_sentences(prompts, texts, min_len)
+
+
+def leaked_examples(prompts: DataFrame, examples: DataFrame, min_len: int = 20) -> DataFrame:
+    """One row per (prompt, example) hit. ``examples(source_id, split, sentence)``.
+
+    Copies of a sentence are looked up once and expanded again at the end.
+    """
+    rows = _keyed(examples, min_len)
+    return _hits(prompts, rows, min_len).join(rows, "sentence_key").select(
+        "prompt_id", "source_id", "split", F.substring("sentence", 1, SAMPLE_CHARACTERS).alias("sample")
+    )
+
+
 def leak_audit(
     prompts: DataFrame, examples: DataFrame, min_len: int = 20, samples: int = 5
 ) -> DataFrame:
-    """Per prompt and split: hits and the first sample texts. Prompts without hits are absent."""
-    hits = leaked_examples(prompts, examples, min_len)
-    counts = hits.groupBy("prompt_id", "split").agg(F.count(F.lit(1)).alias("leaks"))
-    first = first_rows(hits, ["prompt_id", "split"], ["source_id"], samples)
-    shown = first.groupBy("prompt_id", "split").agg(
-        F.array_sort(F.collect_list(F.struct("source_id", "sample"))).alias("s")
-    )
-    return counts.join(shown, ["prompt_id", "split"]).select(
-        "prompt_id", "split", "leaks", F.col("s.sample").alias("samples")
+    """Per prompt and split: hits and the first sample texts. Prompts without hits are absent.
+
+    Copies of a sentence are counted before they meet the prompts, so a sentence that makes up most
+    of a split is still one row.
+    """
+    rows = _keyed(examples, min_len)
+    keys = ["sentence_key", "split"]
+    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    short = F.substring("sentence", 1, SAMPLE_CHARACTERS).alias("sample")
+    first = first_rows(rows.select(*keys, "source_id", short), keys, ["source_id"], samples)
+    shown = first.groupBy(*keys).agg(F.collect_list(F.struct("source_id", "sample")).alias("first"))
+    hits = _hits(prompts, rows, min_len).join(copies.join(shown, keys), "sentence_key")
+    ordered = F.array_sort(F.flatten(F.collect_list("first")))
+    return hits.groupBy("prompt_id", "split").agg(
+        F.sum("copies").alias("leaks"),
+        F.transform(F.slice(ordered, 1, samples), lambda s: s["sample"]).alias("samples"),
     )
 
 

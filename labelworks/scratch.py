@@ -27,6 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder. Unlike a plan, a table has a known size, so joins
+    with it are planned by that size."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later work restarts from stored rows, also after lost executors."""
     scratch_dir(df.sparkSession)
