@@ -55,20 +55,24 @@ def usage_window(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def apply_corrections(edits: DataFrame, predictions_path: str, out_path: str) -> Callable:
-    """``foreachBatch`` body: each micro-batch of edits is added to the edit log and the corrected
-    predictions are written anew from log and predictions; running a batch again changes nothing."""
+def log_corrections(log_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: adds the micro-batch of edits to the correction log.
+
+    The predictions are not rewritten: readers lay the log over them (:func:`corrected`). A batch
+    that runs again replaces its own part of the log.
+    """
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out_path}/edits/batch={batch_id}")
-        log = spark.read.schema(edits.schema).parquet(f"{out_path}/edits")
-        fixed = overlay(spark.read.parquet(predictions_path), log)
-        fixed.write.mode("overwrite").parquet(f"{out_path}/predictions/upto={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return body
 
 
+def corrected(predictions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Predictions with the latest logged edit of each (job, item, dimension)."""
+    return overlay(predictions, edits)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote, from the shared folder.
 
@@ -91,21 +95,17 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def run_corrections(edits: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Applies a stream of edits to stored predictions and returns the corrected table."""
+    """Logs a stream of edits and returns the corrected predictions."""
     spark = predictions.sparkSession
     base = new_path(spark, "corrections")
-    predictions.write.parquet(f"{base}/start")
-    body = apply_corrections(edits, f"{base}/start", base)
     query = (
         edits.writeStream.option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
-        .foreachBatch(body)
+        .foreachBatch(log_corrections(f"{base}/log"))
         .start()
     )
     _finish(query)
-    done = spark.read.parquet(f"{base}/predictions")
-    last = done.agg(F.max("upto")).first()[0]
-    return spark.read.parquet(f"{base}/predictions/upto={last}")
+    return corrected(predictions, spark.read.schema(edits.schema).parquet(f"{base}/log"))
 
 
 def _finish(query: StreamingQuery) -> None:
