@@ -11,7 +11,7 @@ from labelworks.sources import sheets as H
 
 from . import sql as S
 from .registry import query, rounded
-from .relations import book_dims, book_labels, h, pick, table
+from .relations import book_dims, book_labels, pick, table
 
 _B = "book"
 
@@ -327,5 +327,3 @@ def _prompts(spark, d):
     out = prompts.prompt_table(book_dims(spark, d), book_labels(spark, d))
     return out.select("codebook_id", "dim", "gate_value", F.md5("prompt").alias("prompt_hash"), F.length("prompt").cast("bigint").alias("size"))
 
-
-__all__ = ["h"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelworks.functions import dimension_key
 from labelworks.functions.labels import gold_values
 from labelworks.operators import agreement as A
 from labelworks.operators import experiments as X
@@ -311,7 +310,7 @@ def evidence(spark, d):
     ),
 )
 def _evidence_page(spark, d):
-    rows = _evidence(spark, d, True).orderBy(*J.review_order()).offset(10).limit(50)
+    rows = J.page(_evidence(spark, d, True), J.review_order(), 50, 10)
     return rows.select("pred_id", "item_id", "match_status")
 
 
@@ -366,7 +365,7 @@ def _by_key(spark, d):
 )
 def _page(spark, d):
     rows = predictions(spark, d).filter("job_id = 0").select("pred_id", "item_id", "step_order", "label")
-    return rows.orderBy("item_id", "step_order").offset(100).limit(50)
+    return J.page(rows, ["item_id", "step_order"], 50, 100)
 
 
 @query(
@@ -878,4 +877,32 @@ def _usage_day(spark, d):
     return out.withColumns({"cost": F.round("cost", 4), "cost_per_million": F.round("cost_per_million", 3)})
 
 
-__all__ = ["SET_LABELS", "dimension_key"]
+@query(
+    "usage_total",
+    S.with_("msgs", "SELECT 'all' AS total, round(sum(cost), 4) AS cost, sum(tokens)::BIGINT AS tokens, round(sum(cost) / sum(tokens) * 1000000, 3) AS cost_per_million FROM msgs"),
+)
+def _usage_total(spark, d):
+    from labelworks.operators.ledger import usage_by
+
+    out = usage_by(usage(table(spark, d, "events")), F.lit("all"), "total")
+    return out.withColumns({"cost": F.round("cost", 4), "cost_per_million": F.round("cost_per_million", 3)})
+
+
+@query(
+    "label_set_scores",
+    S.with_(
+        "sets",
+        f"""WITH {_ML}
+SELECT l.lang, e.n, round(e.accuracy, 6) AS accuracy, round(2 * sum(tp) / sum(2 * tp + fp + fn)::DOUBLE, 6) AS micro_f1, round(avg(f1), 6) AS macro_f1
+FROM lm l JOIN (SELECT lang, count(*) AS n, avg(exact::INT) AS accuracy FROM ex GROUP BY lang) e ON l.lang = e.lang GROUP BY l.lang, e.n, e.accuracy""",
+    ),
+)
+def _set_scores(spark, d):
+    from labelworks.plans.labeling import score_label_sets
+
+    s = label_sets(spark, d).select(
+        "lang", "gold", F.when(F.size("pred_a") == 0, "None").otherwise(F.lower(F.array_join("pred_a", " | "))).alias("response"),
+        F.array(*[F.lit(x) for x in SET_LABELS]).alias("options"),
+    )
+    out = score_label_sets(s, ["lang"]).select("lang", "n", "accuracy", "micro_f1", "macro_f1")
+    return rounded(out, "accuracy", "micro_f1", "macro_f1")

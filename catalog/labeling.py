@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelworks.operators.ledger import overlay
 from labelworks.plans import labeling as P
 from labelworks.streaming import jobs as T
 
@@ -117,13 +116,18 @@ def _recorded(spark, d):
     return recorded_answers(spark, d).select("item_id", F.col("step_order").cast("bigint").alias("step_order"), "tokens")
 
 
-@query("user_labeler")
+@query(
+    "user_labeler",
+    """
+WITH i AS (SELECT doc_id AS item_id, len(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN 'Context: ' || lang || chr(10) || chr(10) ELSE '' END || 'Sentence: ' || text, '[ \\n]+')) AS n FROM documents)
+SELECT item_id, 'Toxic' AS dimension, CASE WHEN n % 2 = 0 THEN 'Yes' ELSE 'No' END AS label, n + 1 AS tokens FROM i""",
+)
 def user_labeler(spark, d):
     """A user function over batches: answers yes when the text has an even number of words."""
     import pandas as pd
 
     def label(batch: pd.DataFrame) -> pd.DataFrame:
-        n = batch["input"].str.count(r"\s+")
+        n = batch["input"].str.count(r"[ \n]+")
         said = n.mod(2).map({0: "Answer: Yes", 1: "Answer: No"})
         return pd.DataFrame({"response": said, "tokens": n + 1})
 
@@ -188,5 +192,3 @@ def _usage_window(spark, d):
     out = T.run_to_table(T.usage_window(usage(e)), "usage")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("cost", 4).alias("cost"), "tokens")
 
-
-__all__ = ["overlay"]

@@ -137,7 +137,24 @@ def _worked_inputs(spark, d):
     return r, ex
 
 
-@query("worked_examples")
+@query(
+    "worked_examples",
+    S.with_(
+        "gold pred rules",
+        """
+WITH rl AS (SELECT codebook_id, dimension, min(pos) AS pos, min_by(target_labels[1], pos) AS target FROM rules WHERE codebook_id IS NOT NULL GROUP BY ALL),
+ri AS (SELECT *, row_number() OVER (PARTITION BY codebook_id ORDER BY pos) AS i FROM rl),
+ex AS (SELECT p.item_id % 150 AS codebook_id, p.item_id, CASE WHEN p.item_id % 2 = 0 THEN 'High' ELSE 'Low' END AS gold, lower(p.label) AS said, length(d.text) AS size
+  FROM pred p JOIN documents d ON d.doc_id = p.item_id WHERE p.step_order = 0 AND p.item_id IN (SELECT item_id FROM gold)),
+cl AS (SELECT codebook_id, gold, list(item_id ORDER BY (said = lower(gold))::INT, size, item_id) AS items FROM ex GROUP BY ALL),
+w AS (SELECT ri.codebook_id, ri.i, ri.pos, cl.gold, cl.items[1] AS item_id, [cl.items[1]] AS used FROM ri LEFT JOIN cl ON cl.codebook_id = ri.codebook_id AND cl.gold = ri.target WHERE ri.i = 1
+  UNION ALL
+  SELECT ri.codebook_id, ri.i, ri.pos, cl.gold, list_filter(cl.items, lambda x: NOT list_contains(w.used, x))[1],
+     list_append(w.used, list_filter(cl.items, lambda x: NOT list_contains(w.used, x))[1])
+  FROM w JOIN ri ON ri.codebook_id = w.codebook_id AND ri.i = w.i + 1 LEFT JOIN cl ON cl.codebook_id = ri.codebook_id AND cl.gold = ri.target)
+SELECT codebook_id, pos, 'r' || pos AS rule_id, item_id, gold FROM w WHERE item_id IS NOT NULL""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _worked(spark, d):
     r, ex = _worked_inputs(spark, d)
     return G.worked_examples(r, ex, ["codebook_id"]).select("codebook_id", "pos", "rule_id", "item_id", "gold")

@@ -9,7 +9,7 @@ from labelworks.sources import sheets as H
 
 from . import sql as S
 from .registry import query, rounded
-from .relations import h, pick, sheet, table
+from .relations import pick, sheet, table
 
 CHUNK = 4  # positions per chunk: small, so that the carry between chunks is met in tests
 
@@ -209,5 +209,3 @@ def _totals(spark, d):
 def _multi(spark, d):
     return H.multi_value_columns(sheet(spark, d), ["level", "theme"])
 
-
-__all__ = ["h"]

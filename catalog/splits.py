@@ -9,7 +9,7 @@ from labelworks.operators import splits as P
 
 from . import sql as S
 from .registry import query
-from .relations import gold_items, h, label_sets, table
+from .relations import h, label_sets, table
 
 
 def _ranked(source: str, part: str, item: str, seed: str) -> str:
@@ -139,5 +139,3 @@ def _order(spark, d):
     rows = table(spark, d, "documents").select("doc_id").withColumn("o", shuffle_key(F.col("doc_id"), 4))
     return bucketed_rank(rows, [], "o", ["doc_id"]).select("doc_id", "rank")
 
-
-__all__ = ["gold_items"]

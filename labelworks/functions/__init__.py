@@ -38,4 +38,37 @@ from .names import (
 )
 from .texts import model_input, rough_tokens
 
-__all__ = [n for n in dir() if not n.startswith("_")]
+__all__ = [
+    "agreement_key",
+    "align_key",
+    "canonical_labels",
+    "dimension_key",
+    "display_text",
+    "embedded_labels",
+    "first_word",
+    "gate_key",
+    "gold_from_metadata",
+    "gold_set",
+    "gold_values",
+    "header_key",
+    "is_binary",
+    "is_gold_list",
+    "is_no_label",
+    "json_array_payload",
+    "json_object_payload",
+    "label_for",
+    "labels_agree",
+    "last_label_in",
+    "match_label",
+    "match_status",
+    "metric_target",
+    "model_input",
+    "parse_answer",
+    "parse_label_set",
+    "parse_score",
+    "plain_key",
+    "rough_tokens",
+    "sheet_label",
+    "trimmed",
+    "yes_no",
+]

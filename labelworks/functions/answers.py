@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .labels import gold_values, label_for
+from .labels import gold_values
 from .names import plain_key, text_or_blank, trimmed, words
 
 # Answers that mean "no label applies".
@@ -248,5 +248,3 @@ def json_array_payload(response: Column) -> Column:
     shut = F.nullif(F.regexp_extract(s, r"(?s)(\[.*\])", 1), F.lit(""))
     return F.coalesce(_strict_json(whole), _strict_json(closed), _strict_json(shut))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["label_for"]

@@ -210,7 +210,9 @@ def apply_transform(
         "_gold", _last_wins(F.concat(F.map_entries("_gold"), fill))
     )
     if overrides is not None:
-        per_row = overrides.groupBy("codebook_id", "idx").agg(
+        # one value per dimension first, so that repeated overrides of a row stay small
+        single = overrides.groupBy("codebook_id", "idx", "dimension").agg(F.max("value").alias("value"))
+        per_row = single.groupBy("codebook_id", "idx").agg(
             F.collect_list(F.struct("dimension", "value")).alias("_over")
         )
         rows = rows.join(per_row, ["codebook_id", "idx"], "left")

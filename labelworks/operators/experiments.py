@@ -54,13 +54,25 @@ def trajectory_rows(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def trajectory_ends(trajectory: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
     """Rounds sorted by score; of more than ``k`` the lowest and highest halves stay."""
-    up = Window.partitionBy(*keys).orderBy("val_acc", "round")
-    down = Window.partitionBy(*keys).orderBy(F.desc("val_acc"), F.desc("round"))
-    ranked = trajectory.withColumn("position", F.row_number().over(up)).withColumn(
-        "_from_end", F.row_number().over(down)
+    low, high = k // 2, k - k // 2
+    n = trajectory.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+
+    def end(order: list[Column], rows: int) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return trajectory.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= rows)
+
+    up, down = [F.asc("val_acc"), F.asc("round")], [F.desc("val_acc"), F.desc("round")]
+    first = end(up, low).withColumn("position", F.col("_i"))
+    last = end(down, high).join(n, keys).withColumn("position", F.col("_all") - F.col("_i") + 1)
+    # in a short run both ends meet: its upper rows start after the lower ones
+    return (
+        first.select(*trajectory.columns, F.col("position").cast("int").alias("position"))
+        .unionByName(
+            last.filter(F.col("position") > low).select(
+                *trajectory.columns, F.col("position").cast("int").alias("position")
+            )
+        )
     )
-    keep = (F.col("position") <= k // 2) | (F.col("_from_end") <= k - k // 2)
-    return ranked.filter(keep).drop("_from_end")
 
 
 def replay(

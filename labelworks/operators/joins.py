@@ -184,6 +184,11 @@ def split_overlap(assigned: DataFrame) -> DataFrame:
     return spread.filter(F.col("first_split") != F.col("last_split"))
 
 
+def page(df: DataFrame, order: list[str | Column], limit: int, offset: int = 0) -> DataFrame:
+    """One page of rows; only offset + limit rows per task are kept while sorting."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
 def cross_candidates(candidates: DataFrame, examples: DataFrame) -> DataFrame:
     """Every candidate labeler of a dimension with every example of that dimension."""
     return examples.join(candidates, "dimension")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import dimension_key, text_or_blank
@@ -24,14 +24,13 @@ def next_version(versions: DataFrame, keys: list[str]) -> DataFrame:
 
     ``versions(keys, version, n_rules)``.
     """
-    top = F.max(F.struct("version", "n_rules"))
-    w = Window.partitionBy(*keys).orderBy("version")
-    added = F.greatest(F.lit(0), F.col("n_rules") - F.coalesce(F.lag("n_rules").over(w), F.lit(0)))
-    rows = versions.withColumn("_added", added)
-    return rows.groupBy(*keys).agg(
+    last_two = first_rows(versions, keys, [F.desc("version")], 2)
+    now, before = F.max(F.struct("version", "n_rules")), F.min(F.struct("version", "n_rules"))
+    old = F.when(F.count(F.lit(1)) > 1, before["n_rules"]).otherwise(0)
+    return last_two.groupBy(*keys).agg(
         (F.max("version") + 1).alias("next_version"),
-        F.max_by("_added", "version").alias("new_rules"),
-        top["n_rules"].alias("n_rules"),
+        F.greatest(F.lit(0), now["n_rules"] - old).alias("new_rules"),
+        now["n_rules"].alias("n_rules"),
     )
 
 

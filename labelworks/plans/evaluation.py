@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import gold_values, label_for, metric_target
 from ..functions.names import dimension_key
-from ..operators.joins import with_gold
 from ..operators.metrics import classification_metrics, confusion, per_class_metrics
 
 
 def scored_pairs(predictions: DataFrame, items: DataFrame, keys: list[str] = ("dimension",)) -> DataFrame:
     """(keys, true, pred) of predictions that have gold; names of dimensions meet by key.
 
-    One join on the item; the dimension is looked up inside the item's gold map.
+    One join on the item; the dimension is looked up inside the item's gold map. Items without gold
+    and columns that are not needed are left out before the join.
     """
-    rows = with_gold(predictions, items)
+    labeled = items.filter(F.size("gold") > 0).select("item_id", "gold")
+    rows = predictions.select(*dict.fromkeys(["item_id", "dimension", "label", *keys])).join(labeled, "item_id")
     gold = gold_values(label_for(F.col("gold"), F.col("dimension")))
     return (
         rows.withColumn("_gold", gold)

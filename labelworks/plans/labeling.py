@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import is_binary, options, parse_answer
+from ..functions.answers import is_binary, options, parse_answer, parse_label_set
 from ..functions.names import gate_key, text_or_blank
 from ..functions.texts import model_input
+from ..operators.metrics import multilabel_metrics
 from .prompts import dimension_prompt, gated_prompt
 
 # Gate answers after which no further step runs.
@@ -326,6 +327,13 @@ def score_candidates(answers: DataFrame, keys: list[str] = ("candidate",)) -> Da
     )
 
 
+def score_label_sets(answers: DataFrame, keys: list[str] = ("candidate",)) -> DataFrame:
+    """Multi-label metrics per candidate. ``answers(candidate, gold array, response, options)``; a
+    missing response is an empty set."""
+    pred = parse_label_set(text_or_blank(F.col("response")), F.col("options"))
+    return multilabel_metrics(answers.withColumn("pred", pred), list(keys))
+
+
 def best_candidate(scores: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """Highest accuracy; a later candidate must be strictly better to win."""
     at = F.struct("accuracy", (-F.col(order)).alias("o"))

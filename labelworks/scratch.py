@@ -37,5 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later work restarts from stored rows, also after lost executors."""
-    scratch_dir(df.sparkSession)
+    folder, sc = scratch_dir(df.sparkSession), df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
