@@ -57,13 +57,15 @@ def schema(spark):
         "Toxic language": ("binary", ["Yes, it is toxic", "No, it is not toxic"]),
         "Tags": ("multi_label", ["A", "B", "C", "D", "None"]),
     }
-    dims = spark.createDataFrame(
-        [(b, n, kind, "", i) for b in BOOKS for i, (n, (kind, _)) in enumerate(book.items())],
-        "codebook_id bigint, dim string, dim_type string, category_dimension string, sort_order bigint",
+    dims = ", ".join(
+        f"({b}L, '{n}', '{kind}', '', {i}L)" for b in BOOKS for i, (n, (kind, _)) in enumerate(book.items())
+    )
+    labels = ", ".join(
+        f"({b}L, '{n}', '{x}', {i}L)" for b in BOOKS for n, (_, xs) in book.items() for i, x in enumerate(xs)
     )
-    labels = spark.createDataFrame(
-        [(b, n, x, [], i) for b in BOOKS for n, (_, xs) in book.items() for i, x in enumerate(xs)],
-        "codebook_id bigint, dim string, label string, path array<string>, sort_order bigint",
+    dims = spark.sql(f"SELECT * FROM VALUES {dims} AS d(codebook_id, dim, dim_type, category_dimension, sort_order)")
+    labels = spark.sql(
+        f"SELECT *, CAST(array() AS array<string>) AS path FROM VALUES {labels} AS l(codebook_id, dim, label, sort_order)"
     )
     return stored(C.schema_rows(*C.gold_schema(dims, labels)), "schema")
 

@@ -96,7 +96,7 @@ def make_spec(specs: DataFrame) -> DataFrame:
         "content_from",
         by_key(F.col("dim_map")).alias("dim_map"),
         F.transform("drop_dims", align_key).alias("drop_dims"),
-        F.transform_values("label_map", lambda _, m: by_key(m)).alias("label_map"),
+        by_key(F.transform_values("label_map", lambda _, m: by_key(m))).alias("label_map"),
         F.filter("splits", lambda s: s != "").alias("splits"),
     )
 
@@ -166,7 +166,7 @@ def apply_transform(
         values = F.when(
             ~info["single"] & (F.size("splits") > 0), _split_all(raw, F.col("splits"))
         ).otherwise(raw)
-        remap = F.try_element_at(F.col("label_map"), entry["key"])
+        remap = F.try_element_at(F.col("label_map"), align_key(entry["key"]))
 
         def one(v: Column) -> Column:
             to = F.try_element_at(remap, align_key(v))

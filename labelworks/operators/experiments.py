@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import canonical_labels
+from ..functions.answers import canonical_labels, match_label
 from ..functions.labels import gold_values, label_for
 from ..functions.names import trimmed
 from .rank import shuffle_key
@@ -131,9 +131,19 @@ def failure_sample(scored: DataFrame, k: int, seed: int | str, width: int = 180)
     )
 
 
-def explode_examples(items: DataFrame, dimension: str, labels: Column) -> DataFrame:
-    """One example per distinct codebook label of an item's gold; the source id is kept."""
-    found = canonical_labels(gold_values(label_for(F.col("gold"), dimension)), labels)
+def explode_examples(
+    items: DataFrame, dimension: str, labels: Column, loose: bool = False
+) -> DataFrame:
+    """One example per distinct codebook label of an item's gold; the source id is kept.
+
+    Labels are matched by plain key, or with ``loose`` also by contained words.
+    """
+    values = gold_values(label_for(F.col("gold"), dimension))
+    if loose:
+        near = F.array_compact(F.transform(values, lambda v: match_label(v, labels)))
+        found = F.array_distinct(F.filter(near, lambda x: x != ""))
+    else:
+        found = canonical_labels(values, labels)
     return items.select(
         F.col("item_id").alias("source_id"),
         F.col("content").alias("sentence"),

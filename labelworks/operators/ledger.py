@@ -85,7 +85,8 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 def changed_rules(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """Valid rules that are new or differ from the old rule of the same id."""
     cols = [*keys, *[c for c in new.columns if c not in (*keys, "pos")]]
-    same = old.select(*cols)
+    row = F.max_by(F.struct(*cols), "pos").alias("r")
+    same = old.groupBy(*[F.col(k).alias(f"_{k}") for k in (*keys, "rule_id")]).agg(row).select("r.*")
     cond = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in cols]
     match = cond[0]
     for c in cond[1:]:
@@ -230,7 +231,8 @@ def estimate_run(items: DataFrame, steps: DataFrame, keys: list[str]) -> DataFra
         F.count(F.lit(1)).alias("n_steps"), F.sum("prompt_tokens").alias("prompt_tokens_per_item")
     )
     n, calls = F.col("n_items"), F.col("n_calls")
-    out = n_items.join(sample, keys).join(per_item, keys).withColumn("n_calls", n * F.col("n_steps"))
+    out = n_items.join(sample, keys).join(per_item, keys, "left")
+    out = out.fillna(0, ["n_steps", "prompt_tokens_per_item"]).withColumn("n_calls", n * F.col("n_steps"))
     out = out.withColumn(
         "input_tokens", n * F.col("prompt_tokens_per_item") + calls * F.col("input_per_call")
     ).withColumn("output_tokens", calls * OUTPUT_TOKENS_PER_CALL)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import gold_values, label_for, metric_target
-from ..functions.names import dimension_key
 from ..operators.metrics import classification_metrics, confusion, per_class_metrics
 
 
@@ -41,9 +40,7 @@ def class_metrics_by_dimension(
 def confusion_by_dimension(
     predictions: DataFrame, items: DataFrame, dimension: str | None = None
 ) -> DataFrame:
-    """Confusion counts; with ``dimension`` only that one (by name key, pushed below the join)."""
+    """Confusion counts; with ``dimension`` only that one (its exact name, pushed to the scan)."""
     if dimension is not None:
-        predictions = predictions.filter(
-            dimension_key(F.col("dimension")) == dimension_key(F.lit(dimension))
-        )
+        predictions = predictions.filter(F.col("dimension") == dimension)
     return confusion(scored_pairs(predictions, items), ["dimension"])

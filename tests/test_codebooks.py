@@ -78,6 +78,16 @@ def test_prompt_texts_agree(spark):
         assert any("## Examples" in p for p in got.values()) == few
 
 
+def test_step_prompt():
+    from labelworks.plans.prompts import step_prompt
+
+    dims = gated_book()["dimensions"][1:3]
+    text = step_prompt(dims, "both")
+    assert text.startswith('You are an expert annotator performing step "both". Classify')
+    assert text.endswith("Topic: <label>\nLevel: <label>")
+    assert '### Level\nLabels: "High", "Low"\n  - **High**: ' in text
+
+
 def test_no_label_rule():
     text = dimension_prompt({"name": "T", "labels": [{"name": "A"}, {"name": "B"}, {"name": "No label"}]})
     assert 'use "No label"' in text and "none of the substantive labels apply" in text

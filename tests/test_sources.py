@@ -57,6 +57,20 @@ def test_repeated_theme_and_column_order(spark, tmp_path):
     assert items[1]["gold"] == {}
 
 
+def test_header_in_the_first_rows(spark, tmp_path):
+    path = tmp_path / "deep.csv"
+    path.write_text("Export,,\nof,today,\nCoding theme,Level,Relevant Quotes \nT,L,q1\nT,M,q1\n")
+    df = H.read_coder_csv(spark, str(path), header_cell="relevant quotes")
+    assert df.columns[2:] == ["Coding theme", "Level", "Relevant Quotes"]
+    assert [r["gold"] for r in H.collapse_coder_rows(df, ["file"], "ord").collect()] == [{"T": '["L","M"]'}]
+
+
+def test_content_field_is_text(spark):
+    body = json.dumps([{"id": 123456789012, "note": "long enough to be text"}, {"id": 5}])
+    df = spark.createDataFrame([("f", body)], "file string, value string")
+    assert [r["content"] for r in H.parse_items(df).orderBy("idx").collect()] == ["long enough to be text", "5"]
+
+
 def test_headers():
     assert H.unique_headers(["a", "", "a", None, "a"]) == ["a", "col1", "a_1", "col3", "a_2"]
     assert H.looks_like_coder_sheet(["Coding theme", "Quote"]) and not H.looks_like_coder_sheet(["a", "b"])
