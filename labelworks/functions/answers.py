@@ -6,12 +6,11 @@ have different options. A regular expression is built only for labels that occur
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .labels import gold_values
+from .maps import let
 from .names import plain_key, text_or_blank, trimmed, words
 
 # Answers that mean "no label applies".
@@ -36,11 +35,6 @@ _WORD = r"[\p{L}\p{N}_]"
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, also when lambdas inside use it often."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def options(labels: list[str] | Column) -> Column:
     """A Python list as an array column; a column stays as it is."""
     if isinstance(labels, Column):

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import let
 from ..functions.labels import gold_values
+from ..functions.maps import last_wins
 from ..functions.names import align_key, dimension_key, text_or_blank, trimmed
 from .rank import first_rows
 
@@ -52,26 +52,10 @@ def filter_gold_to_codebook(items: DataFrame, dims: DataFrame | None) -> DataFra
         ),
         lambda e: e["key"].isNotNull(),
     )
-    kept = F.when(F.col("_dims").isNull(), F.col("gold")).otherwise(_last_wins(named))
+    kept = F.when(F.col("_dims").isNull(), F.col("gold")).otherwise(last_wins(named))
     return items.join(keys, "codebook_id", "left").withColumn("gold", kept).select(*items.columns)
 
 
-def _last_wins(entries: Column) -> Column:
-    """Map of (key, value) entries; of entries with one key the last is kept."""
-
-    def build(es: Column) -> Column:
-        keep = F.filter(
-            es,
-            lambda e, i: ~F.exists(
-                F.slice(es, i + 2, F.greatest(F.size(es) - i - 1, F.lit(0))),
-                lambda later: later["key"] == e["key"],
-            ),
-        )
-        return F.map_from_entries(keep)
-
-    return let(entries, build)
-
-
 def make_spec(specs: DataFrame) -> DataFrame:
     """Transform specs, one row per codebook, with dimension and label names turned into keys.
 
@@ -84,7 +68,7 @@ def make_spec(specs: DataFrame) -> DataFrame:
         specs = specs.withColumn(name, value.cast(kind))
 
     def by_key(m: Column) -> Column:
-        return _last_wins(
+        return last_wins(
             F.transform(
                 F.map_entries(m),
                 lambda e: F.struct(align_key(e["key"]).alias("key"), e["value"].alias("value")),
@@ -186,7 +170,7 @@ def apply_transform(
         ),
         lambda e: e["key"].isNotNull(),
     )
-    rows = rows.withColumn("_named", _last_wins(named)).withColumn(
+    rows = rows.withColumn("_named", last_wins(named)).withColumn(
         "_gold",
         F.map_from_entries(
             F.transform(
@@ -207,7 +191,7 @@ def apply_transform(
         ),
     )
     rows = rows.withColumn(
-        "_gold", _last_wins(F.concat(F.map_entries("_gold"), fill))
+        "_gold", last_wins(F.concat(F.map_entries("_gold"), fill))
     )
     if overrides is not None:
         # one value per dimension first, so that repeated overrides of a row stay small
@@ -241,7 +225,7 @@ def apply_transform(
                 ).alias("value"),
             ),
         )
-        merged = _last_wins(F.concat(F.map_entries("_gold"), snapped))
+        merged = last_wins(F.concat(F.map_entries("_gold"), snapped))
         rows = rows.withColumn("_gold", F.map_filter(merged, lambda _, v: v.isNotNull()))
     return rows.withColumn("gold", F.col("_gold")).select(*items.columns)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.maps import last_wins
 from ..functions.names import align_key, gate_key, text_or_blank, trimmed
 from .rank import first_rows
 
@@ -44,99 +45,102 @@ def gold_schema(dims: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     A dimension with a ``category_dimension`` adds that dimension: its labels are the distinct last
     path parts of paths longer than one, in first-seen order. A real dimension of that name wins.
     """
-    last = F.try_element_at("path", F.lit(-1))
-    cats = (
-        labels.filter(F.size("path") > 1)
-        .join(
-            dims.filter(F.col("category_dimension") != "").select(
-                *DIM_KEYS, "category_dimension", "dim_type", F.col("sort_order").alias("dim_order")
-            ),
-            DIM_KEYS,
-        )
-        .filter(last != "")
-        .join(
-            dims.select("codebook_id", F.col("dim").alias("category_dimension")),
-            ["codebook_id", "category_dimension"],
-            "left_anti",
-        )
-        .groupBy("codebook_id", "category_dimension", "dim", "dim_type", "dim_order", last.alias("label"))
-        .agg(F.min("sort_order").alias("sort_order"))
+    order = F.col("sort_order").cast("double")
+    source = dims.filter(F.col("category_dimension") != "").select(
+        *DIM_KEYS, "category_dimension", "dim_type", order.alias("dim_order")
     )
-    # two dimensions may name one category dimension: the first of them supplies it
-    first = Window.partitionBy("codebook_id", "category_dimension")
+    last = F.try_element_at("path", F.lit(-1))
     cats = (
-        cats.withColumn("_first", F.min("dim_order").over(first))
-        .filter(F.col("dim_order") == F.col("_first"))
+        labels.filter((F.size("path") > 1) & (last != ""))
+        .join(source, DIM_KEYS)
         .select(
             "codebook_id",
             F.col("category_dimension").alias("dim"),
-            "dim_type",
-            (F.col("dim_order") + 0.5).alias("dim_order"),
-            "label",
+            last.alias("label"),
             "sort_order",
+            "dim_type",
+            "dim_order",
+            F.lit(1).alias("derived"),
+        )
+    )
+    none = F.lit(None)
+    real = labels.select(
+        *DIM_KEYS, "label", "sort_order", none.cast("string").alias("dim_type"),
+        none.cast("double").alias("dim_order"), F.lit(0).alias("derived"),
+    ).unionByName(
+        # a dimension without labels still keeps its name
+        dims.select(
+            *DIM_KEYS, none.cast("string").alias("label"), none.cast("bigint").alias("sort_order"),
+            "dim_type", order.alias("dim_order"), F.lit(0).alias("derived"),
         )
     )
-    real_dims = dims.select(
-        *DIM_KEYS, "dim_type", F.col("sort_order").cast("double").alias("dim_order")
+    # of all that offer a dimension the real one wins, then the first dimension that names it
+    rows = real.unionByName(cats)
+    rank = F.struct("derived", F.when(F.col("derived") == 1, F.col("dim_order")).alias("at"))
+    rows = rows.withColumn("_rank", rank).withColumn(
+        "_best", F.min("_rank").over(Window.partitionBy(*DIM_KEYS))
     )
-    out_dims = real_dims.unionByName(
-        cats.select("codebook_id", "dim", "dim_type", "dim_order").distinct()
-    ).withColumn("dim_key", align_key(F.col("dim")))
+    rows = rows.filter(F.col("_rank") == F.col("_best"))
     out_labels = (
-        labels.groupBy(*DIM_KEYS, "label")
+        rows.filter(F.col("label").isNotNull())
+        .groupBy(*DIM_KEYS, "label")
         .agg(F.min("sort_order").alias("sort_order"))
-        .unionByName(cats.select("codebook_id", "dim", "label", "sort_order"))
         .withColumn("label_key", align_key(F.col("label")))
     )
+    out_dims = (
+        rows.filter(F.col("dim_type").isNotNull())
+        .groupBy(*DIM_KEYS)
+        .agg(
+            F.max_by("dim_type", "dim_order").alias("dim_type"),
+            F.max(F.col("dim_order") + F.col("derived") * 0.5).alias("dim_order"),
+        )
+        .withColumn("dim_key", align_key(F.col("dim")))
+    )
     return out_dims, out_labels
 
 
-def no_label_options(schema_labels: DataFrame) -> DataFrame:
-    """Per dimension the label that says no label applies, if the codebook has one."""
+def _by_label_key(schema_labels: DataFrame) -> DataFrame:
+    """Per dimension: key -> label (the last of a key) and the label that says no label applies."""
     keys = F.array(*[align_key(F.lit(n)) for n in NO_LABEL_NAMES])
+    says_none = F.array_contains(keys, F.col("label_key"))
     return (
-        schema_labels.filter(F.array_contains(keys, F.col("label_key")))
-        .groupBy(*DIM_KEYS, "label_key")
+        schema_labels.groupBy(*DIM_KEYS, "label_key")
         .agg(F.min("sort_order").alias("at"), F.max_by("label", "sort_order").alias("label"))
         .groupBy(*DIM_KEYS)
-        .agg(F.min_by("label", "at").alias("no_label"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("label_key", "label"))).alias("label_keys"),
+            F.min_by("label", F.when(says_none, F.col("at"))).alias("no_label"),
+        )
     )
 
 
+def no_label_options(schema_labels: DataFrame) -> DataFrame:
+    """Per dimension the label that says no label applies, if the codebook has one."""
+    found = _by_label_key(schema_labels).select(*DIM_KEYS, "no_label")
+    return found.filter(F.col("no_label").isNotNull())
+
+
 def schema_rows(schema_dims: DataFrame, schema_labels: DataFrame) -> DataFrame:
     """One row per codebook with the lookup maps that row-wise alignment uses.
 
     Sizes are those of a codebook. Where names share a key the later one is kept.
     """
-    one_name = schema_dims.groupBy("codebook_id", "dim_key").agg(
-        F.max_by("dim", "dim_order").alias("dim")
-    )
-    keyed = (
-        schema_labels.groupBy(*DIM_KEYS, "label_key")
-        .agg(F.max_by("label", "sort_order").alias("label"))
-        .groupBy(*DIM_KEYS)
-        .agg(F.map_from_entries(F.collect_list(F.struct("label_key", "label"))).alias("label_keys"))
-    )
-    info = (
-        schema_dims.join(keyed, DIM_KEYS, "left")
-        .join(no_label_options(schema_labels), DIM_KEYS, "left")
-        .select(
-            "codebook_id",
-            "dim",
-            F.struct(
-                "dim_order",
-                F.col("dim_type").isin("single_label", "binary").alias("single"),
-                F.coalesce("label_keys", F.create_map().cast("map<string,string>")).alias("labels"),
-                "no_label",
-            ).alias("info"),
-        )
+    info = F.struct(
+        "dim_order",
+        F.col("dim_type").isin("single_label", "binary").alias("single"),
+        F.coalesce("label_keys", F.create_map().cast("map<string,string>")).alias("labels"),
+        "no_label",
+    )
+    per_book = (
+        schema_dims.join(_by_label_key(schema_labels), DIM_KEYS, "left")
         .groupBy("codebook_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("dim", "info"))).alias("dims"))
+        .agg(F.array_sort(F.collect_list(F.struct("dim_order", "dim", "dim_key"))).alias("names"),
+             F.map_from_entries(F.collect_list(F.struct("dim", info.alias("info")))).alias("dims"))
     )
-    names = one_name.groupBy("codebook_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim_key", "dim"))).alias("dim_keys")
+    pairs = F.transform(
+        "names", lambda n: F.struct(n["dim_key"].alias("key"), n["dim"].alias("value"))
     )
-    return info.join(names, "codebook_id")
+    return per_book.select("codebook_id", "dims", last_wins(pairs).alias("dim_keys"))
 
 
 # ---- gate maps and hierarchy -----------------------------------------------------------------
