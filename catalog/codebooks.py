@@ -158,7 +158,7 @@ def _gate_inputs(spark, d):
     b = book_labels(spark, d)
     turn = F.col("sort_order")
     gate = b.filter("dim = 'user'").groupBy("codebook_id").agg(F.min_by("label", "sort_order").alias("g"))
-    leaf = F.when(turn % 5 == 1, F.concat("label", F.lit("x?"))).otherwise(F.upper("label"))
+    leaf = F.when(turn % 5 == 1, F.concat("label", F.lit("x?"))).otherwise(F.concat(F.lit("  "), "label", F.lit("!")))
     allowed = b.filter("dim = 'assistant'").join(gate, "codebook_id").select(
         "codebook_id", F.lit("Assistants").alias("dimension"),
         F.when(F.col("codebook_id") % 6 == 5, "nobody").otherwise("USER").alias("gated_by"),
@@ -175,7 +175,7 @@ def _gate_inputs(spark, d):
 _GATE = f"""
 gates AS (SELECT codebook_id, min_by(label, sort_order) AS g FROM book WHERE dim = 'user' GROUP BY codebook_id),
 al AS (SELECT b.codebook_id, CASE WHEN b.codebook_id % 6 = 5 THEN 'nobody' ELSE 'USER' END AS gated_by,
-   CASE WHEN sort_order % 7 = 3 THEN 'other gate' ELSE g END AS gate_value, CASE WHEN sort_order % 5 = 1 THEN label || 'x?' ELSE upper(label) END AS leaf, sort_order AS ord
+   CASE WHEN sort_order % 7 = 3 THEN 'other gate' ELSE g END AS gate_value, CASE WHEN sort_order % 5 = 1 THEN label || 'x?' ELSE '  ' || label || '!' END AS leaf, sort_order AS ord
   FROM book b JOIN gates USING (codebook_id) WHERE dim = 'assistant'),
 ul AS (SELECT codebook_id, {S.n5('label')} AS k, max_by(label, sort_order) AS label FROM book WHERE dim = 'user' GROUP BY ALL),
 lf AS (SELECT codebook_id, {S.n5('label')} AS k, max_by(label, sort_order) AS label FROM book WHERE dim = 'assistant' GROUP BY ALL),
@@ -253,7 +253,7 @@ def _options(spark, d):
         _B,
         """
 WITH m AS (SELECT codebook_id, dim, label, path[len(path)] AS cat, sort_order FROM book WHERE len(path) > 1),
-p AS (SELECT codebook_id, dim, sort_order, CASE WHEN sort_order % 2 = 0 THEN label ELSE upper(label) END AS label FROM book)
+p AS (SELECT codebook_id, dim, sort_order, CASE WHEN sort_order % 2 = 0 OR NOT regexp_matches(label, '^[a-zA-Z ]+$') THEN label ELSE upper(label) END AS label FROM book)
 SELECT p.codebook_id, p.dim AS source, p.sort_order, coalesce((SELECT max_by(cat, sort_order) FROM m WHERE m.codebook_id = p.codebook_id AND m.dim = p.dim AND m.label = p.label),
   (SELECT min_by(cat, sort_order) FROM m WHERE m.codebook_id = p.codebook_id AND m.dim = p.dim AND lower(m.label) = lower(p.label)), '') AS derived_label FROM p""",
     ),
@@ -266,7 +266,7 @@ def _derived(spark, d):
     )
     p = b.select(
         "codebook_id", F.col("dim").alias("source"), "sort_order",
-        F.when(F.col("sort_order") % 2 == 0, F.col("label")).otherwise(F.upper("label")).alias("label"),
+        F.when((F.col("sort_order") % 2 == 0) | ~F.col("label").rlike("^[a-zA-Z ]+$"), F.col("label")).otherwise(F.upper("label")).alias("label"),
     )
     return labeling.derive_label(p, m).drop("label")
 

@@ -663,9 +663,11 @@ def _threshold_seeds(spark, d):
 def _mean_query(name: str, sample: bool):
     dev = "coalesce(stddev_samp(val_acc), 0)" if sample else "stddev_pop(val_acc)"
 
-    @query(name, S.with_("traj", f"SELECT run_id, event_type, count(*) AS runs, round(avg(val_acc), 6) AS mean, round({dev}, 6) AS std FROM traj GROUP BY ALL"))
+    @query(name, S.with_("traj", f"SELECT run_id, event_type, count(*) AS runs, round(avg(val_acc), 8) AS mean, round({dev}, 8) AS std FROM traj GROUP BY ALL"))
     def run(spark, d):
-        return rounded(X.mean_std(trajectory(spark, d), ["run_id", "event_type"], "val_acc", sample), "mean", "std")
+        # eight digits: a mean of a few four-digit numbers is then never halfway between two roundings
+        out = X.mean_std(trajectory(spark, d), ["run_id", "event_type"], "val_acc", sample)
+        return out.withColumns({c: F.round(c, 8) for c in ("mean", "std")})
 
 
 _mean_query("mean_std_population", False)

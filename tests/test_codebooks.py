@@ -127,3 +127,25 @@ def test_suggestions(spark):
     u = spark.createDataFrame([("Topic",), ("Initmacy of self-disclosure",), ("No",), ("zzz",), ("No",)], "value string")
     got = {r["value"]: r["suggestion"] for r in C.suggest_mapping(u, n).collect()}
     assert got == {"Topic": "Topics", "Initmacy of self-disclosure": "Intimacy Of Self-Disclosure", "No": "No, it's not a confession", "zzz": ""}
+
+
+def test_schema_with_categories(spark):
+    dims = spark.createDataFrame(
+        [(1, "Real", "binary", "", 0), (1, "Leaf", "multi_label", "Group", 1), (1, "Other", "single_label", "Group", 2),
+         (1, "Third", "single_label", "Real", 3), (1, "Empty", "single_label", "", 4)],
+        "codebook_id bigint, dim string, dim_type string, category_dimension string, sort_order bigint",
+    )
+    labels = spark.createDataFrame(
+        [(1, "Real", "Yes", [], 0), (1, "Leaf", "a", ["G", "B"], 0), (1, "Leaf", "b", ["G", "A"], 1), (1, "Leaf", "c", ["X"], 2),
+         (1, "Other", "d", ["G", "C"], 0), (1, "Third", "e", ["G", "D"], 0)],
+        "codebook_id bigint, dim string, label string, path array<string>, sort_order bigint",
+    )
+    d, x = C.gold_schema(dims, labels)
+    kinds = {r["dim"]: (r["dim_type"], r["dim_order"]) for r in d.collect()}
+    assert kinds == {"Real": ("binary", 0.0), "Leaf": ("multi_label", 1.0), "Group": ("multi_label", 1.5),
+                     "Other": ("single_label", 2.0), "Third": ("single_label", 3.0), "Empty": ("single_label", 4.0)}
+    assert [r["label"] for r in x.filter("dim = 'Group'").orderBy("sort_order").collect()] == ["B", "A"]
+    assert [r["label"] for r in x.filter("dim = 'Real'").collect()] == ["Yes"]
+    row = C.schema_rows(d, x).collect()[0]
+    assert row["dim_keys"]["group"] == "Group" and row["dims"]["Empty"]["labels"] == {}
+    assert row["dims"]["Real"]["single"] and not row["dims"]["Group"]["single"]
