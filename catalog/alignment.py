@@ -72,10 +72,11 @@ def schema(spark):
 
 def spec(spark):
     return A.make_spec(
-        spark.createDataFrame(
-            [(b, "body", {"toxic": "Toxic language"}, ["extra DIM"], {"Quality of text": {"Bad": "Low", "unsure": "__drop__"}, "Tags": {"z": "__drop__"}}, [" & ", ","]) for b in BOOKS],
-            "codebook_id bigint, content_from string, dim_map map<string,string>, drop_dims array<string>, "
-            "label_map map<string,map<string,string>>, splits array<string>",
+        spark.sql(
+            """SELECT codebook_id, 'body' AS content_from, map('toxic', 'Toxic language') AS dim_map,
+              array('extra DIM') AS drop_dims, array(' & ', ',') AS splits,
+              map('Quality of text', map('Bad', 'Low', 'unsure', '__drop__'), 'Tags', map('z', '__drop__')) AS label_map
+            FROM VALUES (1L), (2L) AS b(codebook_id)"""
         )
     )
 
@@ -91,9 +92,9 @@ labs AS (SELECT * FROM (VALUES ('Quality of text', 'High', 'high'), ('Quality of
     f"WITH {_RAW} SELECT DISTINCT idx, CASE WHEN name = 'Tags' THEN 'Tags' ELSE name END AS name FROM raw WHERE name IN ('Quality of text', 'Tags')",
 )
 def _filter_gold(spark, d):
-    dims = spark.createDataFrame(
-        [(b, n, i) for b in BOOKS for i, n in enumerate(("Quality of text", "Toxic language", "Tags"))],
-        "codebook_id bigint, dim string, sort_order bigint"
+    dims = spark.sql(
+        """SELECT * FROM VALUES (1L, 'Quality of text', 0), (1L, 'Toxic language', 1), (1L, 'Tags', 2),
+          (2L, 'Quality of text', 0), (2L, 'Toxic language', 1), (2L, 'Tags', 2) AS d(codebook_id, dim, sort_order)"""
     )
     return A.filter_gold_to_codebook(messy_items(spark, d), dims).select("idx", F.explode(F.map_keys("gold")).alias("name"))
 
