@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelworks.llm import decontaminate, exact, near, packing, toxicity
+import corpus_pipeline
+from labelworks.llm import decontaminate, exact, near, packing, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +132,13 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_warc")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
