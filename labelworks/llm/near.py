@@ -17,20 +17,22 @@ HASHES = 128
 KEPT_BITS = 4  # low bits of each minimum that are kept
 ROWS = 4
 BANDS = 28  # 4 rows each: of pairs with similarity 0.8, all but 4 in 10 million share a band
-MARGIN = 0.17  # a candidate is compared if its estimate is at least threshold - MARGIN (over 4 deviations)
+MARGIN = 0.17  # a candidate stays if its estimate is at least threshold - MARGIN (4.5 deviations)
+FINE_HASHES = 1024  # of candidates that a spanning forest leaves open
+FINE_MARGIN = 0.06  # 4.5 deviations again
 BLOCK = 1024  # members of a bucket compared at once
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, FINE_HASHES, dtype=np.uint64)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """Smallest value of each of ``HASHES`` hash functions over a set."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Smallest value of each hash function over a set."""
+    low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
-        part = shingles[at : at + 512, None] * _MULTIPLY + _ADD
+        part = shingles[at : at + 512, None] * _MULTIPLY[:hashes] + _ADD[:hashes]
         low = np.minimum(low, part.min(axis=0))
     return low
 
@@ -48,19 +50,26 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of equal hashes for all rows of ``a`` against all rows of ``b`` (packed signatures)."""
-    x = a[:, None, :] ^ b[None, :, :]  # 64-bit words of 16 hashes each
+def _equal(x: np.ndarray) -> np.ndarray:
+    """Number of equal hashes from the exclusive or of packed signatures (64-bit words of 16 hashes)."""
     x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
     x &= np.uint64(0x1111111111111111)
-    return HASHES - np.bitwise_count(x).sum(axis=2, dtype=np.int64)
+    return 16 * x.shape[-1] - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def similarity(equal: np.ndarray) -> np.ndarray:
+def similarity(x: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity; hashes that agree in the kept bits by chance are taken off."""
     chance = 1 / (1 << KEPT_BITS)
-    return (equal / HASHES - chance) / (1 - chance)
+    return (_equal(x) / (16 * x.shape[-1]) - chance) / (1 - chance)
+
+
+def similarities(words: np.ndarray) -> np.ndarray:
+    """Estimates for all rows against all rows."""
+    out = np.empty((len(words), len(words)))
+    for at in range(0, len(words), 64):
+        out[at : at + 64] = similarity(words[at : at + 64, None, :] ^ words[None, :, :])
+    return out
 
 
 def describing(width: int):
@@ -82,6 +91,15 @@ def describing(width: int):
     return describe
 
 
+def refining(width: int):
+    @F.pandas_udf("binary")
+    def refine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([packed(minima(shingle_set(t, width), FINE_HASHES)) for t in texts])
+
+    return refine
+
+
 def verdict(width: int, percent: int):
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -100,19 +118,24 @@ def verdict(width: int, percent: int):
     return linked
 
 
-def _edges(nodes, groups, words, first_round: bool, least: float):
+def _edges(nodes, groups, words, fine, least: float, fine_least: float):
     """Pairs worth comparing among the members of one block pair.
 
     ``groups``: the component of each member; pairs within one are settled. In the first round a
     spanning forest of the most similar pairs is enough, so a bucket of n members gives at most n - 1
-    pairs; later rounds give all pairs that are left.
+    pairs; the second, with longer signatures (``fine``), gives all pairs that are left.
     """
-    equal = similarity(matches(words, words))
+    equal = similarities(words)
     rows, cols = np.nonzero(np.triu(equal >= least, 1))
     keep = groups[rows] != groups[cols]
     rows, cols = rows[keep], cols[keep]
-    if not first_round:
-        return nodes[rows], nodes[cols]
+    if fine is not None:
+        near = [
+            similarity(fine[rows[at : at + 4096]] ^ fine[cols[at : at + 4096]]) >= fine_least
+            for at in range(0, len(rows), 4096)
+        ]
+        near = np.concatenate(near) if near else np.zeros(0, bool)
+        return nodes[rows[near]], nodes[cols[near]]
     order = np.argsort(-equal[rows, cols], kind="stable")
     parent = {g: g for g in groups.tolist()}
 
@@ -133,16 +156,21 @@ def _edges(nodes, groups, words, first_round: bool, least: float):
     return nodes[rows[chosen]], nodes[cols[chosen]]
 
 
-def proposing(first_round: bool, least: float):
+def proposing(least: float, fine_least: float):
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(part: pd.DataFrame) -> pd.DataFrame:
             nodes, groups = part["node"].to_numpy(), part["component"].to_numpy()
             words = np.frombuffer(b"".join(part["signature"]), np.uint64).reshape(len(part), -1)
+            fine = None
+            if "fine" in part:
+                fine = np.frombuffer(b"".join(part["fine"]), np.uint64).reshape(len(part), -1)
             key, block = part["key"].to_numpy(), part["block"].to_numpy()
             edge = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             bounds = [0, *edge.tolist(), len(part)]
             found = [
-                _edges(nodes[i:j], groups[i:j], words[i:j], first_round, least)
+                _edges(
+                    nodes[i:j], groups[i:j], words[i:j], None if fine is None else fine[i:j], least, fine_least
+                )
                 for i, j in zip(bounds, bounds[1:])
                 if j - i > 1
             ]
@@ -181,7 +209,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
     """Described rows and the confirmed links between different sets."""
     prepare(docs.sparkSession)
-    least = percent / 100 - MARGIN
+    least, fine_least = percent / 100 - MARGIN, percent / 100 - FINE_MARGIN
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "row", F.xxhash64("doc_id", "text")
     )
@@ -210,9 +238,9 @@ def near_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         base.select("row", "text").join(asked, "row").select("node", "text").dropDuplicates(["node"]), "near-texts"
     )
     tested = links = placed = None
-    for first_round in (True, False):
+    for rounds in range(2):
         rows_now = paired.select("key", "block", "node", "signature")
-        if placed is None:
+        if rounds == 0:
             rows_now = rows_now.withColumn("component", F.col("node"))
         else:
             rows_now = rows_now.join(placed, "node", "left").withColumn(
@@ -224,12 +252,15 @@ def near_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                 .filter("_low <> _high")
                 .select("key", "block")
             )
-            rows_now = rows_now.join(open_, ["key", "block"], "left_semi")
+            rows_now = written(rows_now.join(open_, ["key", "block"], "left_semi"), "near-open")
+            fine = rows_now.select("node").distinct().join(texts, "node")
+            fine = written(fine.select("node", refining(width)("text").alias("fine")), "near-fine")
+            rows_now = rows_now.join(fine, "node")
         pairs = (
-            rows_now.select("key", "block", "node", "component", "signature")
+            rows_now
             .repartition("key", "block")
             .sortWithinPartitions("key", "block")
-            .mapInPandas(proposing(first_round, least), "a long, b long")
+            .mapInPandas(proposing(least, fine_least), "a long, b long")
             .distinct()
         )
         if tested is not None:
@@ -266,7 +297,8 @@ def near_duplicates(
     1. Documents with equal sets are one node. 2. Nodes that share a band meet in buckets, in blocks of
     bounded size. 3. Packed low bits of minima give estimates by bit counts; pairs under the threshold
     less a margin are ruled out. 4. Pairs are confirmed on full sets: first a spanning forest per block,
-    then every remaining pair between different components, so links are never lost to a cap.
+    then every remaining pair between different
+    components that longer signatures leave possible, so links are never lost to a cap.
     """
     rows, placed = near_links(docs, width, percent, id_col, text_col)
     placed = rows.filter("node is not null").select("node").distinct().join(placed, "node", "left").select(
