@@ -16,7 +16,7 @@ from labelworks.llm.components import components
 HASHES = 128
 KEPT_BITS = 4  # low bits of each minimum that are kept
 ROWS = 4
-BANDS = 28  # 4 rows each: of pairs with similarity 0.8, all but 4 in 10 million share a band
+BANDS = 32  # 4 rows each: a pair with similarity 0.8 misses all bands once in 20 million
 MARGIN = 0.17  # a candidate stays if its estimate is at least threshold - MARGIN (4.5 deviations)
 FINE_HASHES = 1024  # of candidates that a spanning forest leaves open
 FINE_MARGIN = 0.06  # 4.5 deviations again
