@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelworks.llm import decontaminate, exact, near, packing, substrings, toxicity, warc
+from labelworks.llm import decontaminate, exact, extract, near, packing, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,3 +147,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeat_report(table(spark, folder, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
