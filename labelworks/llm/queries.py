@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelworks.llm import decontaminate, exact, extract, near, packing, substrings, toxicity, warc
+from labelworks.llm import decontaminate, exact, extract, lm_score, near, packing, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +152,8 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(table(spark, folder, "documents"))
