@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelworks.llm import decontaminate, exact, extract, lm_score, near, packing, substrings, toxicity, warc
+from labelworks.llm import decontaminate, exact, extract, licenses, lm_score, near, packing, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,15 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_lm_scoring")
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.pseudo_likelihood(table(spark, folder, "documents"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("matches.license"))).alias("licenses"),
+        F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("best"),
+        "matches",
+    )
