@@ -215,7 +215,7 @@ def assign(pieces: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     slots = slots_of(pack_histogram(histogram, max_length))
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("start").cast("string"))
     ranked = bucketed_rank(
-        stored.withColumn("_order", shuffle_key(key, "packing")), ["length"], "_order", ["doc_id", "start"], digits=3
+        stored.withColumn("_order", shuffle_key(key, "packing")), ["length"], "_order", ["doc_id", "start", "ids_crc32"], digits=3
     )
     return (
         ranked.withColumn("_place", placing(slots)("length", "rank"))
