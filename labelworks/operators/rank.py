@@ -7,6 +7,8 @@ only the rows of one bucket are ever sorted together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def shuffle_key(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
+def join_safely(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the right side's keys are left out."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
@@ -30,7 +39,8 @@ def running_total(
 ) -> DataFrame:
     """Adds ``before`` (sum of ``value`` over earlier rows of the group) and ``total``.
 
-    ``order`` is a hex hash column; ``ties`` make the order unique. ``keys`` must not be null.
+    ``order`` is a hex hash column; ``ties`` make the order unique. Null keys are a group of
+    their own.
     ``attach`` (one row per group) adds its columns through the small table of bucket sums, so rows
     of a large group are never shuffled by the group alone. ``bucket`` replaces the hash prefix for an
     order that is not a hash; it must rise with the order.
@@ -38,7 +48,8 @@ def running_total(
     value = F.lit(1) if value is None else value
     bucket = F.substring(F.col(order), 1, digits) if bucket is None else bucket
     rows = df.withColumn("_value", value.cast("bigint")).withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
+    # Rows that tie in everything still take turns.
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_local", F.sum("_value").over(inside) - F.col("_value"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sums = (
@@ -50,9 +61,9 @@ def running_total(
         .drop("_sum")
     )
     if attach is not None:
-        sums = sums.join(attach, keys)
+        sums = join_safely(sums, attach, keys)
     return (
-        rows.join(sums, [*keys, "_bucket"])
+        join_safely(rows, sums, [*keys, "_bucket"])
         .withColumn("before", F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_offset", "_local", "_value")
     )
@@ -98,6 +109,6 @@ def running_last(
     carried = tops.select(
         *keys, "_chunk", *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in marks]
     )
-    return local.join(carried, [*keys, "_chunk"]).select(
+    return join_safely(local, carried, [*keys, "_chunk"]).select(
         *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in marks]
     )
