@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +25,7 @@ WINDOW_BYTES = 40  # a word's first bytes; the rest of a longer word is windows
 PIECES = (4, 5, 6, 8, 12)  # bytes of word beginnings that the toxic dictionary is trained on
 CONTRAST = 30.0  # times more often in toxic text than in ordinary text
 LEVELS = 4  # differences of 1, 2, 3 and more bytes
-CACHED_WINDOWS = 200_000
+CACHED_WORDS = 600_000  # about 60 MB in a worker
 
 # Both dictionaries end in this line and every window starts with it. It costs the same under both,
 # and keeps zstandard from storing short windows raw, which would hide differences of a few bytes.
@@ -35,9 +35,12 @@ FRAME = bytes(range(128, 192))
 def windows_of(text: str | None) -> Iterator[bytes]:
     """The words of a text in lower case, each between blanks; long words are cut, none is left out."""
     for word in (text or "").lower().split():
-        raw = word.encode("utf-8", "surrogatepass")
-        for at in range(0, len(raw), WINDOW_BYTES):
-            yield b" " + raw[at : at + WINDOW_BYTES] + b" "
+        yield from _windows_of_word(word)
+
+
+def _windows_of_word(word: str) -> list[bytes]:
+    raw = word.encode("utf-8", "surrogatepass")
+    return [b" " + raw[at : at + WINDOW_BYTES] + b" " for at in range(0, len(raw), WINDOW_BYTES)]
 
 
 def _settings() -> zstandard.ZstdCompressionParameters:
@@ -55,6 +58,10 @@ def _settings() -> zstandard.ZstdCompressionParameters:
     )
 
 
+# The compressors of the model in use and what is known of words; a worker keeps them between its tasks.
+_in_use: dict[tuple[bytes, bytes], tuple[list[zstandard.ZstdCompressor], dict[str, int]]] = {}
+
+
 @dataclass
 class Model:
     """Two dictionaries and the calibration of their differences; pickled to the executors."""
@@ -64,34 +71,40 @@ class Model:
     weights: list[float] = field(default_factory=list)
     base: float = 0.0  # score where nothing could be learned
 
-    def __getstate__(self):
-        return {k: getattr(self, k) for k in ("ordinary", "toxic", "weights", "base")}
-
-    def _compressors(self):
-        if not hasattr(self, "_pair"):
-            self._pair, self._cache = [], {}
-            for d in (self.ordinary, self.toxic):
+    def _held(self):
+        key = (self.ordinary, self.toxic)
+        if key not in _in_use:
+            _in_use.clear()
+            pair = []
+            for d in key:
                 held = zstandard.ZstdCompressionDict(d + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=_settings())
-                self._pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=_settings()))
-        return self._pair
+                pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=_settings()))
+            _in_use[key] = (pair, {})
+        return _in_use[key]
 
     def difference(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window against the ordinary one."""
-        plain, toxic = self._compressors()
-        found = self._cache.get(window)
-        if found is None:
-            if len(self._cache) >= CACHED_WINDOWS:
-                self._cache.clear()
-            framed = FRAME + window
-            found = self._cache[window] = len(plain.compress(framed)) - len(toxic.compress(framed))
-        return found
+        (plain, toxic), _ = self._held()
+        framed = FRAME + window
+        return len(plain.compress(framed)) - len(toxic.compress(framed))
 
     def features(self, text: str | None) -> list[float]:
         """1, and the logarithm of the number of windows at each level of difference and in all."""
         counts = [0] * (LEVELS + 1)
-        for w in windows_of(text):
-            counts[min(max(self.difference(w), 0), LEVELS)] += 1
+        known = self._held()[1]
+        for word, times in Counter((text or "").lower().split()).items():
+            level = known.get(word)
+            if level is not None:
+                counts[level] += times
+                continue
+            levels = [min(max(self.difference(w), 0), LEVELS) for w in _windows_of_word(word)]
+            for level in levels:
+                counts[level] += times
+            if len(levels) == 1:  # words of several windows are rare and may be very long
+                if len(known) >= CACHED_WORDS:
+                    known.clear()
+                known[word] = levels[0]
         return [1.0, *(math.log1p(n) for n in counts[1:]), math.log1p(sum(counts))]
 
     def score(self, text: str | None) -> float:
