@@ -197,10 +197,10 @@ def _ok(spark, d):
     "issue_samples",
     _VALID
     + f"""
-, s AS (SELECT i.idx % 2 + 1 AS codebook_id, i.kind, i.dimension, i.value, left({S.trim_("CASE WHEN i.idx % 50 = 0 THEN ' ' ELSE d.text END")}, 120) AS sample, min(i.idx) AS idx FROM issues i JOIN documents d ON d.doc_id = i.idx
+, s AS (SELECT i.idx % 2 + 1 AS codebook_id, i.kind, i.dimension, i.value, {S.trim_("CASE WHEN i.idx % 50 = 0 THEN ' ' ELSE d.text END")} AS sample, min(i.idx) AS idx FROM issues i JOIN documents d ON d.doc_id = i.idx
   WHERE kind IN ('unknown_label', 'unknown_dimension', 'missing_dimension') GROUP BY ALL HAVING sample <> '')
 SELECT kind, dimension, value, md5(sample) AS sample, idx FROM s QUALIFY row_number() OVER (PARTITION BY codebook_id, kind, dimension, value ORDER BY idx, sample) <= 3""",
 )
 def _samples(spark, d):
-    out = A.issue_samples(messy_items(spark, d), schema(spark))
+    out = A.issue_samples(messy_items(spark, d), schema(spark), 3)
     return out.select("kind", "dimension", "value", F.md5("sample").alias("sample"), "idx")

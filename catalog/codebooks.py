@@ -135,10 +135,8 @@ def _tree(spark, d):
     S.with_(
         _B,
         """
-WITH g AS (SELECT codebook_id, dim, coalesce(path[1], label) AS "group", count(*) AS leaves, min(sort_order) AS first_at FROM book GROUP BY ALL),
-s AS (SELECT codebook_id, dim, max(len(path)) > 0 AS deep, count(*) AS n FROM book GROUP BY ALL)
-SELECT codebook_id, dim, "group", leaves, first_at FROM g JOIN s USING (codebook_id, dim) WHERE deep OR n <= 12
-QUALIFY row_number() OVER (PARTITION BY codebook_id, dim ORDER BY first_at) <= 12""",
+WITH g AS (SELECT codebook_id, dim, coalesce(path[1], label) AS "group", count(*) AS leaves, min(sort_order) AS first_at FROM book GROUP BY ALL)
+SELECT codebook_id, dim, "group", leaves, first_at FROM g""",
     ),
 )
 def _groups(spark, d):

@@ -712,7 +712,7 @@ SELECT run_id, round, val_acc, position::INTEGER AS position FROM r WHERE n <= 8
     ),
 )
 def _ends(spark, d):
-    return X.trajectory_ends(trajectory(spark, d), ["run_id"]).select("run_id", "round", "val_acc", "position")
+    return X.trajectory_ends(trajectory(spark, d), ["run_id"], 8).select("run_id", "round", "val_acc", "position")
 
 
 @query(
@@ -773,7 +773,7 @@ def _excluded(spark, d):
     "failure_sample",
     S.with_(
         "gold pred",
-        f"""WITH {_PAIRS} SELECT c.pred_id AS item_id, c.gold_label AS gold, c.pred, md5(left(d.text, 180)) AS sentence
+        f"""WITH {_PAIRS} SELECT c.pred_id AS item_id, c.gold_label AS gold, c.pred, md5(d.text) AS sentence
    FROM cmp c JOIN documents d ON d.doc_id = c.pred_id // 2 WHERE c.gold_label <> c.pred ORDER BY md5(c.pred_id || '|3'), c.pred_id LIMIT 12""",
     ),
 )

@@ -97,7 +97,7 @@ def _changed(spark, d):
         "rules",
         """
 WITH t AS (SELECT *, pos % 2 AS is_new, CASE WHEN pos % 2 = 0 THEN CASE WHEN rule_id = '' THEN 'r_' || pos ELSE rule_id END
-    WHEN rule_id <> '' THEN rule_id ELSE left(boundary, 40) END AS id FROM rules WHERE pos % 2 = 0 OR boundary <> '')
+    WHEN rule_id <> '' THEN rule_id ELSE boundary END AS id FROM rules WHERE pos % 2 = 0 OR boundary <> '')
 SELECT codebook_id, dimension, id AS merged_id, max_by(pos, is_new * 1000000000 + pos) AS pos, min_by(pos, is_new * 1000000000 + pos) AS place_pos, min(is_new)::INTEGER AS place_new FROM t GROUP BY ALL""",
     ),
 )
@@ -164,14 +164,14 @@ def _worked(spark, d):
     "estimate_run",
     """
 WITH i AS (SELECT lang, doc_id, greatest(1, round_even((length(text) + 10) / 5.0::DOUBLE, 0))::BIGINT AS t FROM documents),
-s AS (SELECT lang, round_even(avg(t), 0)::BIGINT AS per_call FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM i) WHERE rn <= 100 GROUP BY lang),
+s AS (SELECT lang, round_even(avg(t), 0)::BIGINT AS per_call FROM i GROUP BY lang),
 n AS (SELECT lang, count(*) AS n_items FROM i GROUP BY lang),
 p AS (SELECT lang, count(*) AS n_steps, sum(greatest(1, round_even(length(source) / 5.0::DOUBLE, 0)))::BIGINT AS prompt_tokens FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang)
 SELECT lang, n_items, n_items * n_steps AS n_calls, n_items * prompt_tokens + n_items * n_steps * per_call AS input_tokens, n_items * n_steps * 24 AS output_tokens FROM n JOIN s USING (lang) JOIN p USING (lang)""",
 )
 def _estimate(spark, d):
     docs = table(spark, d, "documents")
-    items = docs.select("lang", F.col("doc_id").alias("idx"), rough_tokens(F.concat(F.lit("Sentence: "), "text")).alias("input_tokens"))
+    items = docs.select("lang", rough_tokens(F.concat(F.lit("Sentence: "), "text")).alias("input_tokens"))
     steps = docs.select("lang", "source").distinct().select("lang", rough_tokens(F.col("source")).alias("prompt_tokens"))
     return G.estimate_run(items, steps, ["lang"]).select("lang", "n_items", "n_calls", "input_tokens", "output_tokens")
 

@@ -86,8 +86,9 @@ def make_spec(specs: DataFrame) -> DataFrame:
 
 
 def _with_schema(items: DataFrame, schema: DataFrame) -> DataFrame:
+    """Items of an unknown codebook stay, with null lookup maps."""
     look = schema.select("codebook_id", F.col("dims").alias("_dims"), F.col("dim_keys").alias("_keys"))
-    return items.join(look, "codebook_id")
+    return items.join(look, "codebook_id", "left")
 
 
 def _canonical(name: Column) -> Column:
@@ -118,7 +119,8 @@ def apply_transform(
     In order: content from metadata when blank; dropped and renamed dimensions; separators (only
     for dimensions that take several labels); label map or canonical spelling; repeats removed, one
     label kept for single-label dimensions; blanks filled with the no-label option; overrides per
-    row (``overrides(codebook_id, idx, dimension, value)``; an empty value removes).
+    row (``overrides(codebook_id, idx, dimension, value)``; an empty value removes). Gold of items
+    without a known codebook stays as it is, each value as a list.
     """
     rows = _with_schema(items, schema)
     blank_spec = {n: F.lit(None).cast(k) for n, k in SPEC_COLUMNS.items()}
@@ -227,7 +229,9 @@ def apply_transform(
         )
         merged = last_wins(F.concat(F.map_entries("_gold"), snapped))
         rows = rows.withColumn("_gold", F.map_filter(merged, lambda _, v: v.isNotNull()))
-    return rows.withColumn("gold", F.col("_gold")).select(*items.columns)
+    as_is = F.transform_values("gold", lambda _, v: gold_values(v))
+    gold = F.when(F.col("_dims").isNull(), as_is).otherwise(F.col("_gold"))
+    return rows.withColumn("gold", gold).select(*items.columns)
 
 
 def canonicalize(items: DataFrame, schema: DataFrame) -> DataFrame:
@@ -257,7 +261,7 @@ def _only(cond: Column, issue: Column) -> Column:
 def gold_issues(items: DataFrame, schema: DataFrame) -> DataFrame:
     """Items with an array column ``issues`` (severity, kind, dimension, value).
 
-    Errors: missing_content, unknown_label, cardinality, unmatched_row. Warnings:
+    Errors: missing_content, unknown_codebook, unknown_label, cardinality, unmatched_row. Warnings:
     unknown_dimension, missing_dimension. A blank value is an unknown label unless the dimension
     has a label with an empty key; ``null`` is no value.
     """
@@ -311,14 +315,16 @@ def gold_issues(items: DataFrame, schema: DataFrame) -> DataFrame:
         F.filter(F.map_entries("_keys"), lambda k: ~F.array_contains(F.col("_filled"), k["key"])),
         lambda k: _issue("warn", "missing_dimension", k["value"]),
     )
-    issues = F.concat(
-        _only(trimmed(text_or_blank(F.col("content"))) == "", _issue("error", "missing_content")),
+    no_content = _only(trimmed(text_or_blank(F.col("content"))) == "", _issue("error", "missing_content"))
+    no_codebook = _issue("error", "unknown_codebook", None, text_or_blank(F.col("codebook_id").cast("string")))
+    of_gold = F.concat(
         unknown,
         cardinality,
         bad_labels,
         _only((F.size("_g") > 0) & (F.size(known) == 0), _issue("error", "unmatched_row")),
         missing,
     )
+    issues = F.concat(no_content, F.when(F.col("_dims").isNull(), F.array(no_codebook)).otherwise(of_gold))
     return rows.withColumn("_filled", filled).withColumn("issues", issues).select(
         *items.columns, "issues"
     )
@@ -350,12 +356,13 @@ def validation_ok(report: DataFrame) -> DataFrame:
     )
 
 
-def issue_samples(items: DataFrame, schema: DataFrame, k: int = 3, width: int = 120) -> DataFrame:
-    """First ``k`` distinct texts per issue value, in item order."""
+def issue_samples(items: DataFrame, schema: DataFrame, k: int, width: int | None = None) -> DataFrame:
+    """First ``k`` distinct texts per issue value, in item order; ``width`` shortens them."""
+    text = trimmed(text_or_blank(F.col("content")))
     rows = gold_issues(items, schema).select(
         "codebook_id",
         "idx",
-        F.substring(trimmed(text_or_blank(F.col("content"))), 1, width).alias("sample"),
+        (text if width is None else F.substring(text, 1, width)).alias("sample"),
         F.inline_outer("issues"),
     )
     return first_samples(

@@ -298,10 +298,10 @@ def tree_rows(labels: DataFrame) -> DataFrame:
     )
 
 
-def group_sizes(labels: DataFrame, cap: int = 12) -> DataFrame:
+def group_sizes(labels: DataFrame, cap: int | None = None) -> DataFrame:
     """Leaves per top-level path group in source order; flat labels are their own group.
 
-    Flat dimensions with more than ``cap`` labels show none.
+    For a drawing, ``cap`` keeps the first groups; flat dimensions with more labels then show none.
     """
     top = F.coalesce(F.get("path", F.lit(0)), F.col("label"))
     deep = Window.partitionBy(*DIM_KEYS)
@@ -310,6 +310,8 @@ def group_sizes(labels: DataFrame, cap: int = 12) -> DataFrame:
         F.min("sort_order").alias("first_at"),
         F.max(F.size("path") > 0).alias("_deep"),
     )
+    if cap is None:
+        return groups.drop("_deep")
     groups = (
         groups.withColumn("_deep", F.max("_deep").over(deep))
         .withColumn("_all", F.sum("leaves").over(deep))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import canonical_labels, match_label
 from ..functions.labels import gold_values, label_for
 from ..functions.names import trimmed
-from .rank import shuffle_key
+from .rank import join_safely, shuffle_key
 
 EPSILON = 0.005
 
@@ -52,7 +52,7 @@ def trajectory_rows(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, F.inline("trajectory"))
 
 
-def trajectory_ends(trajectory: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
+def trajectory_ends(trajectory: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Rounds sorted by score; of more than ``k`` the lowest and highest halves stay."""
     low, high = k // 2, k - k // 2
     n = trajectory.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
@@ -63,7 +63,7 @@ def trajectory_ends(trajectory: DataFrame, keys: list[str], k: int = 8) -> DataF
 
     up, down = [F.asc("val_acc"), F.asc("round")], [F.desc("val_acc"), F.desc("round")]
     first = end(up, low).withColumn("position", F.col("_i"))
-    last = end(down, high).join(n, keys).withColumn("position", F.col("_all") - F.col("_i") + 1)
+    last = join_safely(end(down, high), n, keys).withColumn("position", F.col("_all") - F.col("_i") + 1)
     # in a short run both ends meet: its upper rows start after the lower ones
     return (
         first.select(*trajectory.columns, F.col("position").cast("int").alias("position"))
@@ -121,14 +121,12 @@ def drop_failed_runs(
     return predictions.join(excluded, "run_id", "left_anti"), excluded
 
 
-def failure_sample(scored: DataFrame, k: int, seed: int | str, width: int = 180) -> DataFrame:
-    """``k`` wrong items in a reproducible random order."""
+def failure_sample(scored: DataFrame, k: int, seed: int | str, width: int | None = None) -> DataFrame:
+    """``k`` wrong items in a reproducible random order; ``width`` shortens the texts."""
     wrong = scored.filter(~F.col("pred").eqNullSafe(F.col("gold")))
-    return (
-        wrong.withColumn("sentence", F.substring("sentence", 1, width))
-        .orderBy(shuffle_key(F.col("item_id"), seed), "item_id")
-        .limit(k)
-    )
+    if width is not None:
+        wrong = wrong.withColumn("sentence", F.substring("sentence", 1, width))
+    return wrong.orderBy(shuffle_key(F.col("item_id"), seed), "item_id").limit(k)
 
 
 def explode_examples(

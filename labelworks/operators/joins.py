@@ -151,19 +151,23 @@ def join_by_key(
 
 
 def pair_coders(gold: DataFrame, a: str, b: str, dimension: str | None = None) -> DataFrame:
-    """One row per item and dimension labeled by both coders, with non-empty labels of each.
+    """One row per item and dimension labeled by both coders, with all non-empty labels of each.
 
-    A single aggregation by item, no self-join: coders repeat on an item only as copies of a row.
+    Several different labels of a coder are one text in order, joined by "; ", so that coders agree
+    when their sets are equal. A single aggregation by item, no self-join.
     """
+
     rows = gold.filter(F.col("coder").isin(a, b) & (F.coalesce("label", F.lit("")) != ""))
     if dimension is not None:
         rows = rows.filter(F.col("dimension") == dimension)
+    # what is collected are labels of a codebook, each once
+    def labels_of(coder: str) -> Column:
+        found = F.collect_set(F.when(F.col("coder") == coder, F.col("label")))
+        return F.nullif(F.array_join(F.array_sort(found), "; "), F.lit(""))
+
     return (
         rows.groupBy("item_id", "dimension")
-        .agg(
-            F.min(F.when(F.col("coder") == a, F.col("label"))).alias("label_a"),
-            F.min(F.when(F.col("coder") == b, F.col("label"))).alias("label_b"),
-        )
+        .agg(labels_of(a).alias("label_a"), labels_of(b).alias("label_b"))
         .filter(F.col("label_a").isNotNull() & F.col("label_b").isNotNull())
     )
 
@@ -213,3 +217,22 @@ def purge(tables: dict[str, DataFrame], removed: DataFrame, key: str) -> dict[st
         else:
             out[name] = df
     return out
+
+
+def purge_tree(
+    tables: dict[str, DataFrame], removed: DataFrame, root: str, key: str, links: list[tuple[str, str, str, str]]
+) -> dict[str, DataFrame]:
+    """Drops the removed rows of ``root`` and everything below them.
+
+    ``removed`` holds values of ``key``. ``links(child, column, parent, parent_key)`` stand in order
+    from the root down; rows of a child go with the parent row they name. Rows without a link stay.
+    """
+    out = dict(tables)
+    out[root] = tables[root].join(removed.select(key).distinct(), key, "left_anti").select(*tables[root].columns)
+    gone = {root: tables[root].join(removed.select(key).distinct(), key, "left_semi")}
+    for child, column, parent, parent_key in links:
+        dead = gone[parent].select(F.col(parent_key).alias(column)).distinct()
+        lost = out[child].join(dead, column, "left_semi").select(*tables[child].columns)
+        gone[child] = gone[child].unionByName(lost) if child in gone else lost
+        out[child] = out[child].join(dead, column, "left_anti").select(*tables[child].columns)
+    return out

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import dimension_key, text_or_blank
-from .rank import first_rows
+from .rank import first_rows, join_safely
 
-BOUNDARY_ID_CHARACTERS = 40
 OUTPUT_TOKENS_PER_CALL = 24
-ESTIMATE_SAMPLE = 100
 
 
 def latest_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -98,14 +96,14 @@ def upsert_rules(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rules replace old ones of the same id at the old place; other new ones follow.
 
     ``old/new(keys, pos, rule_id, boundary, ...)``. A missing id is the place for old rules and the
-    start of the boundary for new ones.
+    whole boundary for new ones.
     """
     rid = F.nullif(F.col("rule_id"), F.lit(""))
     tagged_old = old.withColumn(
         "_id", F.coalesce("rule_id", F.concat(F.lit("r_"), F.col("pos").cast("string")))
     ).withColumn("_new", F.lit(0))
     tagged_new = new.withColumn(
-        "_id", F.coalesce(rid, F.substring("boundary", 1, BOUNDARY_ID_CHARACTERS))
+        "_id", F.coalesce(rid, "boundary")
     ).withColumn("_new", F.lit(1))
     rows = tagged_old.unionByName(tagged_new)
     at = F.struct("_new", "pos")
@@ -221,17 +219,17 @@ def usage_by(events: DataFrame, key: str | Column, name: str) -> DataFrame:
 
 
 def estimate_run(items: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls and tokens of a labeling run. ``items(keys, idx, input_tokens)``,
-    ``steps(keys, prompt_tokens)``; mean input tokens come from the first 100 items by idx."""
-    sample = first_rows(items, keys, ["idx"], ESTIMATE_SAMPLE).groupBy(*keys).agg(
-        F.bround(F.avg("input_tokens"), 0).cast("bigint").alias("input_per_call")
+    """Calls and tokens of a labeling run. ``items(keys, input_tokens)``,
+    ``steps(keys, prompt_tokens)``; the input tokens of a call are the mean of all items."""
+    of_items = items.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.bround(F.avg("input_tokens"), 0).cast("bigint").alias("input_per_call"),
     )
-    n_items = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
     per_item = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_steps"), F.sum("prompt_tokens").alias("prompt_tokens_per_item")
     )
     n, calls = F.col("n_items"), F.col("n_calls")
-    out = n_items.join(sample, keys).join(per_item, keys, "left")
+    out = join_safely(of_items, per_item, keys, "left")
     out = out.fillna(0, ["n_steps", "prompt_tokens_per_item"]).withColumn("n_calls", n * F.col("n_steps"))
     out = out.withColumn(
         "input_tokens", n * F.col("prompt_tokens_per_item") + calls * F.col("input_per_call")

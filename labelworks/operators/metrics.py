@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import plain_key
+from .rank import join_safely
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -93,12 +94,13 @@ def confusion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Counts for every (true, pred) of a group's classes, zeros included.
 
     ``keys`` names at least one column (such as the dimension): the square of classes is built by
-    an equi-join on it.
+    an equi-join on it. A null label counts as the empty label.
     """
-    counts = pair_counts(pairs, keys)
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("true", "pred")}
+    counts = pair_counts(pairs.withColumns(blank), keys)
     classes = counts.select(*keys, F.explode(F.array("true", "pred")).alias("true")).distinct()
-    square = classes.join(classes.withColumnRenamed("true", "pred"), keys)
-    return square.join(counts, [*keys, "true", "pred"], "left").fillna(0, ["n"])
+    square = join_safely(classes, classes.withColumnRenamed("true", "pred"), keys)
+    return join_safely(square, counts, [*keys, "true", "pred"], "left").fillna(0, ["n"])
 
 
 def _clean_set(c: Column) -> Column:
@@ -203,7 +205,7 @@ def class_counts(
     )
     totals = merged.groupBy(*keys).agg(F.sum("n").alias("_total"))
     share = F.try_divide(F.col("n").cast("double"), F.col("_total"))
-    return merged.join(totals, keys).select(
+    return join_safely(merged, totals, keys).select(
         *merged.columns, ((F.col("n") > 0) & (share < rare_share)).alias("rare")
     )
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import join_safely
+
 REPLICATES_PER_TASK_ROW = 250
 THRESHOLDS = 20
 
@@ -34,7 +36,8 @@ def _patterns(df: DataFrame, keys: list[str], parts: list[Column]) -> DataFrame:
 
 
 def _f1_patterns(df: DataFrame, keys: list[str]) -> DataFrame:
-    g, a, b = (F.array_distinct(c) for c in ("gold", "pred_a", "pred_b"))
+    """A null set counts as empty: a failed item misses its gold labels."""
+    g, a, b = (F.array_distinct(F.coalesce(c, F.array())) for c in ("gold", "pred_a", "pred_b"))
     return _patterns(df, keys, _f1_counts(g, a) + _f1_counts(g, b))
 
 
@@ -55,16 +58,19 @@ def _replicates(patterns: DataFrame, keys: list[str], iters: int, seed: int, kin
         F.array_sort(F.collect_list(F.concat("pattern", F.array("m")))).alias("rows")
     )
     blocks = F.sequence(F.lit(0), F.lit((iters - 1) // REPLICATES_PER_TASK_ROW))
-    tasks = group.select(*keys, "rows", F.explode(blocks).alias("block")).repartition(*keys, "block")
+    # groups draw apart from each other: the key is part of the seed
+    own = F.crc32(F.to_json(F.struct(*keys)).cast("binary")) if keys else F.lit(0)
+    tasks = group.select(*keys, "rows", own.cast("bigint").alias("own"), F.explode(blocks).alias("block"))
+    tasks = tasks.repartition(*keys, "block")
 
     @F.pandas_udf("array<double>")
-    def draw(rows: pd.Series, block: pd.Series) -> pd.Series:
+    def draw(rows: pd.Series, block: pd.Series, group_seed: pd.Series) -> pd.Series:
         out = []
-        for r, b in zip(rows, block):
+        for r, b, g in zip(rows, block, group_seed):
             table = np.stack([np.asarray(x, dtype=np.int64) for x in r])
             m = table[:, -1]
             k = min(REPLICATES_PER_TASK_ROW, iters - int(b) * REPLICATES_PER_TASK_ROW)
-            rng = np.random.default_rng([seed, int(b)])
+            rng = np.random.default_rng([seed, int(g), int(b)])
             sums = rng.multinomial(int(m.sum()), m / m.sum(), size=k) @ table[:, :-1]
             if kind == "f1":
                 a, c = _np_f1(*sums[:, :3].T), _np_f1(*sums[:, 3:].T)
@@ -73,7 +79,7 @@ def _replicates(patterns: DataFrame, keys: list[str], iters: int, seed: int, kin
                 out.append((sums[:, 0] - sums[:, 1]) / m.sum())
         return pd.Series(out)
 
-    return tasks.select(*keys, F.explode(draw("rows", "block")).alias("delta"))
+    return tasks.select(*keys, F.explode(draw("rows", "block", "own")).alias("delta"))
 
 
 def _interval(patterns: DataFrame, point: Column, keys: list[str], iters: int, seed: int, kind: str) -> DataFrame:
@@ -89,7 +95,7 @@ def _interval(patterns: DataFrame, point: Column, keys: list[str], iters: int, s
             F.get("d", F.lit(int(0.975 * iters))).alias("high"),
         )
     )
-    return points.join(bounds, keys)
+    return join_safely(points, bounds, keys) if keys else points.join(bounds)
 
 
 def _sum(i: int) -> Column:

@@ -141,12 +141,13 @@ Labeler = Callable[[DataFrame, int, Column, Column, Column], DataFrame]
 def recorded(responses: DataFrame, key: str = "item_id") -> Labeler:
     """Replays ``responses(item_id, step_order, response, tokens)``; a missing one is a failure.
 
-    Responses are joined once, as one map per item, whatever the number of steps.
+    Responses are joined once, as one map per item, whatever the number of steps. Of several for one
+    item and step the greatest (response, tokens) is used, as logs may hold an answer twice.
     """
-    entries = F.map_from_entries(
-        F.collect_list(F.struct("step_order", F.struct("response", "tokens")))
-    )
-    per_item = responses.groupBy(key).agg(entries.alias("_recorded"))
+    answer = F.max(F.struct("response", "tokens")).alias("answer")
+    one = responses.filter(F.col("step_order").isNotNull()).groupBy(key, "step_order").agg(answer)
+    entries = F.map_from_entries(F.collect_list(F.struct("step_order", "answer")))
+    per_item = one.groupBy(key).agg(entries.alias("_recorded"))
 
     def call(df: DataFrame, step: int, prompt: Column, text: Column, active: Column) -> DataFrame:
         if "_recorded" not in df.columns:
@@ -165,8 +166,8 @@ def pandas_labeler(
     """A user function over pandas batches with columns ``prompt`` and ``input``; it returns
     ``response`` and ``tokens`` for the same rows. ``parallelism`` caps the tasks that call it.
 
-    Rows that are gated out never reach the function. When it raises for a batch, its rows are
-    tried one by one, so only the rows that fail themselves are marked as failed.
+    Rows that are gated out never reach the function. When it raises for a batch, its halves
+    are tried in turn, so only the rows that fail themselves are marked as failed.
     """
 
     def safe(batch: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +179,8 @@ def pandas_labeler(
         except Exception:
             if len(batch) == 1:
                 return pd.DataFrame({"response": [None], "tokens": [None]}, index=batch.index)
-            return pd.concat([safe(batch.loc[[i]]) for i in batch.index])
+            half = len(batch) // 2
+            return pd.concat([safe(batch.iloc[:half]), safe(batch.iloc[half:])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
