@@ -114,17 +114,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def _support(texts: list[str]) -> tuple[dict[bytes, int], int]:
-    """For each word beginning the number of different words that follow it, and the number of words.
-    Copies of a text add nothing to the former."""
-    next_words: dict[bytes, set[bytes]] = defaultdict(set)
+def _support(texts: list[str], only: set[bytes] | None = None) -> tuple[dict[bytes, int], int]:
+    """For each word beginning (of ``only``) the number of different words that follow it, and the
+    number of words. Copies of a text add nothing to the former."""
+    follows: dict[bytes, set[bytes]] = defaultdict(set)
     n = 0
     for t in texts:
         ws = list(windows_of(t))
         n += len(ws)
-        for w, after in set(zip(ws, [*ws[1:], b""])):
-            for k in {min(k, len(w) - 1) for k in PIECES}:
-                next_words[w[: k + 1]].add(after)
+        for w, after in zip(ws, [*ws[1:], b""]):
+            follows[w].add(after)
+    next_words: dict[bytes, set[bytes]] = defaultdict(set)
+    for w, after in follows.items():
+        for p in {w[: min(k, len(w) - 1) + 1] for k in PIECES}:
+            if only is None or p in only:
+                next_words[p] |= after
     return {p: len(v) for p, v in next_words.items()}, max(n, 1)
 
 
@@ -159,12 +163,13 @@ def fit(toxic: list[str], ordinary: list[str], shares: tuple[int, int]) -> Model
     few = len(toxic) < 90
     train_t, train_o = (toxic, ordinary) if few else (toxic[: 2 * len(toxic) // 3], ordinary[: 2 * len(ordinary) // 3])
     in_toxic, n_toxic = _support(train_t)
-    in_ordinary, n_ordinary = _support(train_o)
     least = max(4, len(train_t) // 100)
+    frequent = {p for p, n in in_toxic.items() if n >= least}
+    in_ordinary, n_ordinary = _support(train_o, frequent)
     keep = {
         p
         for p, n in in_toxic.items()
-        if n >= least and n / n_toxic >= CONTRAST * (in_ordinary.get(p, 0) + 0.5) / n_ordinary
+        if p in frequent and n / n_toxic >= CONTRAST * (in_ordinary.get(p, 0) + 0.5) / n_ordinary
     }
     samples = []
     for t in train_t:
