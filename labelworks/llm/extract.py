@@ -158,6 +158,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     plus 0.1 times the latter. Branches on fewer than ``MIN_PAGES`` pages have importance 1.
     """
     rows = pages.select("host", "page_id", F.explode(listing()("html")).alias("b")).select("host", "page_id", "b.*")
+    rows = written(rows, "branches")  # three aggregations read them; pages are parsed once
     per_feature = rows.groupBy("host", "branch", "feature").agg(F.count("*").alias("k"))
     per_style = rows.groupBy("host", "branch", "children").agg(F.count_distinct("page_id").alias("k"))
     sizes = rows.groupBy("host", "branch").agg(F.approx_count_distinct("page_id", 0.02).alias("m"))
