@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from labelworks.llm.common import prepare, written
 
 MIN_PAGES = 8  # a branch seen on fewer pages of a site is judged by its names alone
-LEAST_IMPORTANCE = 0.5  # branches below it are boilerplate
+# Blocks of a branch below it are boilerplate. Names are a prior: text in a main element needs less, text
+# named boilerplate needs content and presentation that both differ from page to page.
+LEAST_IMPORTANCE = {"main": 0.3, "plain": 0.5, "noise": 0.95}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S
@@ -41,18 +43,19 @@ _NOISE = re.compile(
 def blocks_of(page: str | None) -> list[tuple[str, bool, bool, str]]:
     """Blocks of a page in order: (branch, boilerplate by name, inside a main element, text).
 
-    The branch is the path of element names with first class names, as in ``body/div.ad``."""
+    The branch is the path of element names with first class names, as in ``body/div.ad``. What a browser
+    does not show (head, hidden elements) is no block."""
     source = page or ""
     out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, branch, boilerplate, main
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, branch, boilerplate, main, hidden
     text: list[str] = []
-    where = ("", False, False)
+    where = ("", False, False, False)
 
     def end_block() -> None:
         words = html.unescape("".join(text)).split()
         text.clear()
-        if words:
-            out.append((*where, " ".join(words)))
+        if words and not where[3]:
+            out.append((*where[:3], " ".join(words)))
 
     at = 0
     while at < len(source):
@@ -99,50 +102,66 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool, str]]:
                         if e == "p" or not {"ul", "ol", "table", "dl"} & set(open_names[i:]):
                             del stack[i:]
                             open_names = [s[0] for s in stack]
-            above = stack[-1] if stack else ("", "", False, False)
+            above = stack[-1] if stack else ("", "", False, False, False)
             label = f"{facts.get('class', '')} {facts.get('id', '')} {facts.get('role', '')}"
             hidden = (
-                "hidden" in facts
-                or facts.get("aria-hidden", "").lower() == "true"
+                above[4]
+                or name == "head"
+                or "hidden" in facts
                 or re.search(r"display\s*:\s*none", facts.get("style", ""), re.I)
             )
             main = above[3] or name in MAIN or facts.get("role", "").lower() == "main"
             named = bool(_NOISE.search(label)) and name not in ("body", "html")
-            noise = above[2] or bool(hidden) or named or (name in NOT_CONTENT and not (name == "header" and above[3]))
+            silent = facts.get("aria-hidden", "").lower() == "true"
+            noise = above[2] or silent or named or (name in NOT_CONTENT and not (name == "header" and above[3]))
             first = (facts.get("class") or "").split()[:1]
             branch = f"{above[1]}/{name}" + (f".{first[0]}" if first else "")
-            stack.append((name, branch, noise, main))
-        top = stack[-1] if stack else ("", "", False, False)
+            stack.append((name, branch, noise, main, bool(hidden)))
+        top = stack[-1] if stack else ("", "", False, False, False)
         if not text or not "".join(text).strip():
-            where = (top[1], top[2], top[3])
+            where = top[1:]
         elif name not in INLINE:
-            where = (top[1], top[2], top[3])
+            where = top[1:]
     end_block()
     return out
 
 
-def main_text(page: str | None, unimportant: set[str]) -> str:
-    """The blocks that are not boilerplate. Inside an article or main element only names decide; if the
-    page has none, branches of low importance go as well."""
+def content_of(page: str | None, importance: dict[str, float]) -> str:
+    """The blocks that are content. The importance of a block's branch decides, against the value of
+    ``LEAST_IMPORTANCE`` for its names. Branches without importance are judged by names alone: boilerplate
+    goes, and text outside main elements goes where text inside one stays."""
     blocks = blocks_of(page)
-    kept = [t for branch, noise, main, t in blocks if main and not noise]
-    if not kept:
-        kept = [t for branch, noise, _, t in blocks if not noise and branch not in unimportant]
-    return "\n".join(kept)
+    keeps = []
+    for branch, noise, main, _ in blocks:
+        known = importance.get(branch)
+        if known is not None:
+            keeps.append(known >= LEAST_IMPORTANCE["noise" if noise else "main" if main else "plain"])
+        else:
+            keeps.append(False if noise else True if main else None)
+    in_main = any(k and b[2] for k, b in zip(keeps, blocks))
+    return "\n".join(b[3] for k, b in zip(keeps, blocks) if k or (k is None and not in_main))
+
+
+def main_text(page: str | None, unimportant: set[str]) -> str:
+    """``content_of`` where nothing but some unimportant branches is known of the site."""
+    return content_of(page, dict.fromkeys(unimportant, 0.0))
 
 
 def listing():
-    @F.pandas_udf("array<struct<branch: string, feature: long, children: long>>")
+    @F.pandas_udf("array<struct<branch: string, feature: long, children: long, first: boolean>>")
     def list_branches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             out = []
             for p in pages:
                 seen: dict[str, list[int]] = {}
-                for branch, noise, main, t in blocks_of(p):
-                    if not main and not noise:
-                        seen.setdefault(branch, []).append(crc32(t.encode("utf-8", "surrogatepass")))
+                for branch, _, _, t in blocks_of(p):
+                    seen.setdefault(branch, []).append(crc32(t.encode("utf-8", "surrogatepass")))
                 out.append(
-                    [{"branch": b, "feature": f, "children": len(fs)} for b, fs in seen.items() for f in set(fs)]
+                    [
+                        {"branch": b, "feature": f, "children": len(fs), "first": i == 0}
+                        for b, fs in seen.items()
+                        for i, f in enumerate(dict.fromkeys(fs))
+                    ]
                 )
             yield pd.Series(out)
 
@@ -150,42 +169,42 @@ def listing():
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, importance) over the merged trees of each site.
+    """(host, branch, importance) over the merged trees of each site, of all blocks of all pages; equal
+    pages of a site count once.
 
     Content: a feature (the text of a block) that k of the m pages of a branch have in common has entropy
     log k / log m; 1 less the mean over blocks is the importance of their content. Presentation: the
     entropy of the numbers of blocks that pages have in the branch. Importance is 0.9 times the former
-    plus 0.1 times the latter. Branches on fewer than ``MIN_PAGES`` pages have importance 1.
+    plus 0.1 times the latter. Branches on fewer than ``MIN_PAGES`` pages are left out.
     """
-    rows = pages.select("host", "page_id", F.explode(listing()("html")).alias("b")).select("host", "page_id", "b.*")
-    rows = written(rows, "branches")  # three aggregations read them; pages are parsed once
+    rows = pages.select("host", F.xxhash64("html").alias("page"), F.explode(listing()("html")).alias("b"))
+    rows = written(rows.select("host", "page", "b.*").distinct(), "branches")  # read twice; pages are parsed once
     per_feature = rows.groupBy("host", "branch", "feature").agg(F.count("*").alias("k"))
-    per_style = rows.groupBy("host", "branch", "children").agg(F.count_distinct("page_id").alias("k"))
-    sizes = rows.groupBy("host", "branch").agg(F.approx_count_distinct("page_id", 0.02).alias("m"))
-    log_m = F.log(F.greatest("m", F.lit(2)))
-    content = (
-        per_feature.join(sizes, ["host", "branch"])
-        .groupBy("host", "branch", "m")
-        .agg((F.sum(F.col("k") * F.least(F.log("k") / log_m, F.lit(1.0))) / F.sum("k")).alias("entropy"))
-    )
-    share = F.col("k") / F.col("m")
-    styles = (
-        per_style.join(sizes, ["host", "branch"])
-        .groupBy("host", "branch")
-        .agg(F.least(F.lit(1.0), F.sum(-share * F.log(share) / log_m)).alias("presentation"))
-    )
-    importance = 0.9 * (1 - F.col("entropy")) + 0.1 * F.greatest(F.lit(0.0), "presentation")
-    return content.join(styles, ["host", "branch"]).select(
-        "host", "branch", F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(importance).alias("importance")
+    per_style = rows.filter("first").groupBy("host", "branch", "children").agg(F.count("*").alias("k"))
+    # A site has few branches and numbers of blocks against its pages.
+    sizes = per_style.groupBy("host", "branch").agg(
+        F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("k_log_k")
+    ).filter(F.col("m") >= MIN_PAGES)
+    log_m = F.log("m")
+    # -sum(k/m log(k/m)) = log m - sum(k log k) / m
+    presentation = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("k_log_k") / F.col("m") / log_m))
+    content = per_feature.groupBy("host", "branch").agg(
+        (F.sum(F.col("k") * F.log("k")) / F.sum("k")).alias("mean_log_k")
     )
+    importance = 0.9 * (1 - F.least(F.lit(1.0), F.col("mean_log_k") / log_m)) + 0.1 * presentation
+    return content.join(sizes, ["host", "branch"]).select("host", "branch", importance.alias("importance"))
 
 
 def taking():
     @F.pandas_udf("string")
-    def take(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages, branches in batches:
+    def take(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, branches, importance in batches:
             yield pd.Series(
-                [main_text(p, set(b) if b is not None else set()) for p, b in zip(pages, branches)], dtype=object
+                [
+                    content_of(p, dict(zip(b, i)) if b is not None else {})
+                    for p, b, i in zip(pages, branches, importance)
+                ],
+                dtype=object,
             )
 
     return take
@@ -205,15 +224,14 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"),
         "html",
     )
-    low = written(
+    found = written(
         style_tree(base)
-        .filter(F.col("importance") < LEAST_IMPORTANCE)
         .groupBy("host")
-        .agg(F.sort_array(F.collect_set("branch")).alias("branches")),
+        .agg(F.sort_array(F.collect_list(F.struct("branch", "importance"))).alias("known")),
         "style-trees",
     )
     return (
-        base.join(low, "host", "left")
-        .select("page_id", "url", taking()("html", "branches").alias("text"))
+        base.join(found, "host", "left")
+        .select("page_id", "url", taking()("html", "known.branch", "known.importance").alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

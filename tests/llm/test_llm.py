@@ -219,6 +219,24 @@ def test_style_tree_finds_boilerplate(spark):
     assert got[3].text == "Own text 3" and got[90].text == "" and got[91].n_chars == 0
 
 
+def test_importance_decides_inside_and_outside_main_elements(spark):
+    """Repeated unnamed branches in an article go; text beside teaser articles stays; names are a prior."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(20):
+        own = [prose(rng, 9) for _ in range(1 + i % 3)]
+        page = "<nav><a>Home</a></nav><article class=full><p>" + "<p>".join(own) + "<div class=promise>Made with care</div></article>"
+        rows.append((i, "http://a/x", page + f"<div class=ad>{prose(rng, 5)}</div><p hidden>{prose(rng, 5)}</p>"))
+        want[i] = "\n".join(own)
+        body = prose(rng, 9)
+        rows.append((100 + i, "http://b/x", f"<div class=story><p>{body}</p></div><article class=card>Read this too</article>"))
+        want[100 + i] = body
+        rows.append((200 + i, "http://c/x", "<article><p>Copies count once</article>"))
+        want[200 + i] = "Copies count once"
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_licenses():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     rng = random.Random(2)
