@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,64 +10,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelworks.llm.common import mix, prepare, word_hashes
+from labelworks.llm.common import prepare, word_hashes
 
-CLASSES = 32  # words fall by hash into CLASSES * CLASSES tokens; each is predicted as class, then member
-TOKENS = CLASSES * CLASSES
+SPARSE = 2  # numbers for each different word of the corpus, at least; words get theirs by hash
+DIGIT = 5  # bits of a word's number that are predicted together
 SIDES = (-2, -1, 1, 2)  # the places that a masked word is predicted from
 WIDTH = 16
 BATCH = 4096
-STEP = 256  # masked tokens per step of training
-MASKED = 4  # one token in so many is masked and predicted in training; scores predict all of them
+STEP = 1024  # masked words per step of training; every word of the corpus is masked once
 RATE = 0.15
-ROW = 64  # parameters per row while they are averaged
-BORDER = TOKENS  # the token beyond either end of a document
+REGISTERS = 12  # bits; the number of different words is estimated with a standard error of 1.6 %
+ROWS_OUT = 50_000
 
-SHAPES = {
-    "inputs": (len(SIDES), TOKENS + 1, WIDTH),
-    "bias": (WIDTH,),
-    "class_out": (WIDTH + 1, CLASSES),
-    "class_in": (CLASSES, WIDTH),
-    "member_out": (WIDTH + 1, CLASSES),
-}
+VALUES = [f"v{i}" for i in range(WIDTH)]
 
 
-def as_tokens(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(40)).astype(np.int64) % TOKENS
+def registers(words: np.ndarray, held: np.ndarray) -> None:
+    """Notes words in the registers of a HyperLogLog."""
+    rest = (words & np.uint64((1 << (64 - REGISTERS)) - 1)).astype(np.float64)
+    zeros = 64 - REGISTERS - np.floor(np.log2(np.maximum(rest, 0.5))).astype(np.int64)
+    np.maximum.at(held, (words >> np.uint64(64 - REGISTERS)).astype(np.int64), zeros)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    return as_tokens(word_hashes(text))
+def counting():
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(1 << REGISTERS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                registers(word_hashes(text), held)
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"register": at, "zeros": held[at]})
 
-
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """For each token the tokens at ``SIDES``."""
-    reach = max(SIDES)
-    padded = np.concatenate([np.full(reach, BORDER), ids, np.full(reach, BORDER)])
-    return np.stack([padded[reach + s : reach + s + len(ids)] for s in SIDES], axis=1)
+    return count
 
 
-def initial() -> dict[str, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(7))
-    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0.0)).astype(np.float32) for k, s in SHAPES.items()}
+def vocabulary_size(docs: DataFrame, text_col: str = "text") -> float:
+    """About how many different words all documents have."""
+    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(counting(), "register long, zeros long")
+    held = np.zeros(1 << REGISTERS)
+    for r in parts.groupBy("register").agg(F.max("zeros").alias("zeros")).collect():
+        held[r.register] = r.zeros
+    n, empty = len(held), int((held == 0).sum())
+    found = 0.7213 / (1 + 1.079 / n) * n * n / (2.0**-held).sum()
+    return n * math.log(n / empty) if empty and found <= 2.5 * n else found
 
 
-def flat(params: dict[str, np.ndarray]) -> np.ndarray:
-    out = np.concatenate([params[k].ravel() for k in SHAPES])
-    return np.pad(out, (0, -len(out) % ROW)).reshape(-1, ROW)
+def bits_for(words: float) -> int:
+    return max(DIGIT, math.ceil(math.log2(max(1.0, SPARSE * words))))
 
 
-def unflat(rows: np.ndarray) -> dict[str, np.ndarray]:
-    out, at, line = {}, 0, rows.ravel()
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = line[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
+def as_tokens(words: np.ndarray, bits: int) -> np.ndarray:
+    return (words >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _with_one(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+def contexts(ids: np.ndarray, border: int) -> np.ndarray:
+    """For each token the tokens at ``SIDES``."""
+    reach = max(SIDES)
+    padded = np.concatenate([np.full(reach, border), ids, np.full(reach, border)])
+    return np.stack([padded[reach + s : reach + s + len(ids)] for s in SIDES], axis=1)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -75,117 +76,204 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray):
-    h = np.take(p["inputs"][0], context[:, 0], axis=0)
-    for i in range(1, len(SIDES)):
-        h += np.take(p["inputs"][i], context[:, i], axis=0)
-    h += p["bias"]
-    np.tanh(h, out=h)
-    first = _with_one(h)
-    second = _with_one(h + p["class_in"][target // CLASSES])
-    return h, first, second, _log_softmax(first @ p["class_out"]), _log_softmax(second @ p["member_out"])
-
-
-def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Of each token (or the wanted ones) given the tokens on both of its sides."""
-    out = []
-    context = contexts(ids)
-    if wanted is not None:
-        context, ids = context[wanted], ids[wanted]
-    for at in range(0, len(ids), BATCH):
-        target = ids[at : at + BATCH]
-        _, _, _, of_class, of_member = _forward(p, context[at : at + BATCH], target)
-        rows = np.arange(len(target))
-        out.append(of_class[rows, target // CLASSES] + of_member[rows, target % CLASSES])
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+class Network:
+    """A word's number is predicted digit by digit, each from the words on both sides and the digits before.
 
+    Rows of ``WIDTH`` by key: one for each word, the border and each beginning of a number. Only rows in
+    use are held. Besides them there are a few dense parameters, whatever the vocabulary.
+    """
 
-class Trainer:
+    def __init__(self, bits: int):
+        self.bits, self.border = bits, 1 << bits
+        self.levels, before, first = [], 0, self.border + 1  # (bits before, bits, key of the first beginning)
+        while before < bits:
+            self.levels.append((before, min(DIGIT, bits - before), first))
+            first += 1 << before
+            before += DIGIT
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.dense = {"gates": rng.standard_normal((len(SIDES), WIDTH)).astype(np.float32) * 0.5 + 0.5, "bias": np.zeros(WIDTH, np.float32)}
+        for i, (_, b, _) in enumerate(self.levels):
+            self.dense[f"out{i}"] = rng.standard_normal((1 << b, WIDTH)).astype(np.float32) * 0.1
+            self.dense[f"base{i}"] = np.zeros((2, WIDTH), np.float32)  # one value a digit
+        self.place = np.zeros(first, np.int32)  # of a key's row; place 0 is a row of zeros
+        self.rows = np.zeros((1, WIDTH), np.float32)
+
+    def _base(self, i: int) -> np.ndarray:
+        return self.dense[f"base{i}"].ravel()[: 1 << self.levels[i][1]]
+
+    def keys(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        begun = [first + (target >> (self.bits - before)) for before, _, first in self.levels]
+        return [*context.T, *begun]
+
+    def forward(self, places: list[np.ndarray], target: np.ndarray):
+        near = [self.rows[p].astype(np.float32, copy=False) for p in places[: len(SIDES)]]
+        h = np.tanh(sum(x * g for x, g in zip(near, self.dense["gates"])) + self.dense["bias"])
+        states, found, digits = [], [], []
+        for i, (before, b, _) in enumerate(self.levels):
+            states.append(h + self.rows[places[len(SIDES) + i]])
+            found.append(_log_softmax(states[-1] @ self.dense[f"out{i}"].T + self._base(i)))
+            digits.append((target >> (self.bits - before - b)) & ((1 << b) - 1))
+        return near, h, states, found, digits
+
+    def log_probabilities(self, ids: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Of each token (or the wanted ones) given the tokens on both of its sides."""
+        out = []
+        context = contexts(ids, self.border)
+        if wanted is not None:
+            context, ids = context[wanted], ids[wanted]
+        for at in range(0, len(ids), BATCH):
+            target = ids[at : at + BATCH]
+            places = [self.place[k] for k in self.keys(context[at : at + BATCH], target)]
+            _, _, _, found, digits = self.forward(places, target)
+            rows = np.arange(len(target))
+            out.append(sum(f[rows, d] for f, d in zip(found, digits)))
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+    def dense_rows(self) -> np.ndarray:
+        return np.concatenate([v.reshape(-1, WIDTH) for v in self.dense.values()])
+
+    def set_dense(self, rows: np.ndarray) -> None:
+        at = 0
+        for k, v in self.dense.items():
+            n = v.size // WIDTH
+            self.dense[k] = rows[at : at + n].reshape(v.shape).astype(np.float32)
+            at += n
+
+
+class Trainer(Network):
     """One pass of AdaGrad over the tokens of a task."""
 
-    def __init__(self):
-        self.p = initial()
-        self.seen = {k: np.full(s, 1e-2, np.float32) for k, s in SHAPES.items()}
+    def __init__(self, bits: int):
+        super().__init__(bits)
+        self.seen_dense = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.dense.items()}
+        self.used = 1
+        self.seen = np.zeros((1, WIDTH), np.float32)
+        self.times = np.zeros(1, np.int64)
+        self.key_of = np.zeros(1, np.int64)
         self.n = 0
 
-    def _move(self, key: str, gradient: np.ndarray, at=...) -> None:
-        self.seen[key][at] += gradient * gradient
-        self.p[key][at] -= RATE * gradient / np.sqrt(self.seen[key][at])
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct keys; new ones get a row."""
+        new = keys[self.place[keys] == 0]
+        if len(new):
+            need = self.used + len(new)
+            if need > len(self.rows):
+                more = max(need, 2 * len(self.rows)) - len(self.rows)
+                self.rows = np.concatenate([self.rows, np.zeros((more, WIDTH), np.float32)])
+                self.seen = np.concatenate([self.seen, np.full((more, WIDTH), 1e-2, np.float32)])
+                self.times = np.concatenate([self.times, np.zeros(more, np.int64)])
+                self.key_of = np.concatenate([self.key_of, np.zeros(more, np.int64)])
+            self.place[new] = np.arange(self.used, need)
+            self.key_of[self.used : need] = new
+            self.used = need
+        return self.place[keys]
+
+    def _move(self, key: str, gradient: np.ndarray) -> None:
+        self.seen_dense[key] += gradient * gradient
+        self.dense[key] -= RATE * gradient / np.sqrt(self.seen_dense[key])
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        h, first, second, of_class, of_member = _forward(self.p, context, target)
+        keys = self.keys(context, target)
+        line = np.concatenate(keys)
+        order = np.argsort(line, kind="stable")
+        in_order = line[order]
+        starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+        own = self._places(in_order[starts])
+        near, h, states, found, digits = self.forward([self.place[k] for k in keys], target)
         rows = np.arange(len(target))
-        d_class, d_member = np.exp(of_class), np.exp(of_member)
-        d_class[rows, target // CLASSES] -= 1
-        d_member[rows, target % CLASSES] -= 1
-        d_class /= len(target)
-        d_member /= len(target)
-        d_second = d_member @ self.p["member_out"][:-1].T
-        d_h = (d_class @ self.p["class_out"][:-1].T + d_second) * (1 - h * h)
-        self._move("class_out", first.T @ d_class)
-        self._move("member_out", second.T @ d_member)
+        d_h, d_begun = np.zeros_like(h), []
+        for i, (_, b, _) in enumerate(self.levels):
+            d = np.exp(found[i])
+            d[rows, digits[i]] -= 1
+            d_begun.append(d @ self.dense[f"out{i}"])
+            d_h += d_begun[-1]
+            self._move(f"out{i}", d.T @ states[i])
+            base = np.zeros(2 * WIDTH, np.float32)
+            base[: 1 << b] = d.sum(axis=0)
+            self._move(f"base{i}", base.reshape(2, WIDTH))
+        d_h *= 1 - h * h
+        d_near = [d_h * g for g in self.dense["gates"]]
+        self._move("gates", np.stack([(d_h * x).sum(axis=0) for x in near]))
         self._move("bias", d_h.sum(axis=0))
-        self._sparse("class_in", None, target // CLASSES, d_second)
-        for i in range(len(SIDES)):
-            self._sparse("inputs", i, context[:, i], d_h)
+        summed = np.add.reduceat(np.concatenate([*d_near, *d_begun])[order], starts, axis=0)
+        self.seen[own] += summed * summed
+        self.rows[own] -= RATE * summed / np.sqrt(self.seen[own])
+        self.times[own] += np.diff(starts, append=len(line))
         self.n += len(target)
 
-    def _sparse(self, key: str, table: int | None, index: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(index, kind="stable")
-        ids, at = np.unique(index[order], return_index=True)
-        summed = np.add.reduceat(gradient[order], at, axis=0)
-        self._move(key, summed, ids if table is None else (table, ids))
+    def parts(self) -> Iterator[pd.DataFrame]:
+        dense = self.dense_rows()
+        keys = np.concatenate([-1 - np.arange(len(dense)), self.key_of[1 : self.used]])
+        times = np.concatenate([np.full(len(dense), self.n), self.times[1 : self.used]])
+        for at in range(0, len(keys), ROWS_OUT):
+            end = at + ROWS_OUT
+            d = dense[at:end]
+            values = np.concatenate([d, self.rows[1 + max(0, at - len(dense)) : max(1, min(self.used, 1 + end - len(dense)))]])
+            yield pd.DataFrame({"key": keys[at:end], "n": times[at:end], **dict(zip(VALUES, values.T))})
 
 
-def training():
+def training(bits: int):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer = Trainer()
+        trainer = Trainer(bits)
         context, target, held = [], [], 0
         for batch in batches:
             for text in batch["text"]:
-                words = word_hashes(text)
-                masked = np.flatnonzero(mix(words + np.arange(len(words), dtype=np.uint64)) % np.uint64(MASKED) == 0)
-                ids = as_tokens(words)
-                around = contexts(ids)
-                for at in range(0, len(masked), STEP):
-                    part = masked[at : at + STEP]
-                    context.append(around[part])
-                    target.append(ids[part])
-                    held += len(part)
+                ids = as_tokens(word_hashes(text), bits)
+                around = contexts(ids, trainer.border)
+                for at in range(0, len(ids), STEP):
+                    context.append(around[at : at + STEP])
+                    target.append(ids[at : at + STEP])
+                    held += len(target[-1])
                     if held >= STEP:
                         trainer.step(np.concatenate(context), np.concatenate(target))
                         context, target, held = [], [], 0
         if held:
             trainer.step(np.concatenate(context), np.concatenate(target))
         if trainer.n:
-            rows = flat(trainer.p).astype(np.float64) * trainer.n
-            yield pd.DataFrame({"row": np.arange(len(rows)), "n": trainer.n, "sums": list(rows)})
+            yield from trainer.parts()
 
     return train
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Trains on the masked tokens of every document, one in ``MASKED`` by a hash: each task on its part from the same start, then the
-    parameters are averaged by numbers of tokens. Sums are combined before the shuffle, and what comes to
-    the driver is one network, whatever the input."""
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Trains on every word of every document: each task on its part from the same start, then rows are
+    averaged by how often each task used them. (bits, dense rows, keys, rows): a row for each different
+    word, so what comes to the driver and goes to the workers grows with the vocabulary of the corpus."""
     prepare(docs.sparkSession)
-    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(training(), "row long, n long, sums array<double>")
-    sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(ROW)]
-    found = parts.groupBy("row").agg(F.sum("n").alias("n"), *sums).orderBy("row").collect()
-    if not found:
-        return initial()
-    rows = np.array([r[2:] for r in found]) / np.array([r[1] for r in found])[:, None]
-    return unflat(rows)
+    bits = bits_for(vocabulary_size(docs, text_col))
+    schema = "key long, n long, " + ", ".join(f"{v} float" for v in VALUES)
+    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(training(bits), schema)
+    means = [(F.sum(F.col(v) * F.col("n")) / F.sum("n")).cast("float").alias(v) for v in VALUES]
+    found = parts.groupBy("key").agg(*means).toArrow()
+    keys = found["key"].to_numpy()
+    rows = np.empty((len(keys), WIDTH), np.float32)
+    for i, v in enumerate(VALUES):
+        rows[:, i] = found[v].to_numpy()
+    del found
+    order = np.argsort(keys, kind="stable")
+    of_dense = order[: int((keys < 0).sum())][::-1]
+    of_rows = order[len(of_dense) :]
+    dense = rows[of_dense] if len(of_dense) else Network(bits).dense_rows()
+    return bits, dense, keys[of_rows], rows[of_rows]
+
+
+def network(bits: int, dense: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> Network:
+    out = Network(bits)
+    out.set_dense(dense)
+    out.place[keys] = np.arange(1, len(keys) + 1)
+    out.rows = np.concatenate([np.zeros((1, WIDTH), np.float32), rows])
+    return out
 
 
 def scoring(params):
     @F.pandas_udf("n_tokens long, log_likelihood double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = unflat(np.frombuffer(params.value, np.float32).reshape(-1, ROW))
+        net = None
         for texts in batches:
+            net = net or network(*params.value)
             # The texts of a batch go through the network together, kept apart by borders.
-            gap = np.full(max(SIDES), BORDER)
-            ids = [tokens(t) for t in texts]
+            gap = np.full(max(SIDES), net.border)
+            ids = [as_tokens(word_hashes(t), net.bits) for t in texts]
             sizes = np.array([len(i) for i in ids])
             line = np.concatenate([x for i in ids for x in (i, gap)])
             starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
@@ -193,7 +281,7 @@ def scoring(params):
             for k in range(len(gap)):
                 own[starts + sizes + k] = False
             found = np.zeros(len(line))
-            found[own] = log_probabilities(p, line, own)
+            found[own] = net.log_probabilities(line, own)
             total = np.add.reduceat(found, starts)
             yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": total})
 
@@ -203,12 +291,11 @@ def scoring(params):
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood (sum over its tokens), per_token.
 
-    Tokens are words by hash, so that no vocabulary is collected. Null texts, empty texts and texts
-    without words have no tokens, log_likelihood 0 and per_token null. Repeated rows get equal scores and
-    count as often in training. An empty table gives an empty result; other columns are not read.
+    Tokens are words by hash, at least ``SPARSE`` numbers for each different word. Null texts, empty texts
+    and texts without words have no tokens, log_likelihood 0 and per_token null. Repeated rows get equal
+    scores and count as often in training. An empty table gives an empty result; other columns are not read.
     """
-    params = flat(fit(docs, text_col)).astype(np.float32).tobytes()
-    sent = docs.sparkSession.sparkContext.broadcast(params)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
     return docs.select(F.col(id_col).alias("doc_id"), scoring(sent)(F.col(text_col)).alias("_s")).select(
         "doc_id",
         "_s.n_tokens",

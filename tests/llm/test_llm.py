@@ -257,6 +257,23 @@ def test_pseudo_likelihood_prefers_seen_order(spark):
     assert got[90].n_tokens == got[91].n_tokens == 0 and got[90].per_token is None
 
 
+def test_language_model_grows_with_the_vocabulary(spark):
+    """Every word has a row of its own (but for hash collisions) and every position is a target."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(200))) for i in range(60)]
+    rows += [(100, " ".join(f"x{i}" for i in range(3000))), (101, None)]
+    words = [w for _, t in rows for w in (t or "").split()]
+    bits, dense, keys, vectors = lm_score.fit(docs_of(spark, rows))
+    assert (1 << bits) >= 1.9 * len(set(words)) and len(vectors) == len(keys)
+    assert (keys < (1 << bits)).sum() > 0.75 * len(set(words))
+    trainer = list(lm_score.training(bits)(iter([__import__("pandas").DataFrame({"text": [t for _, t in rows]})])))
+    assert max(p["n"].max() for p in trainer) >= len(words)
+    small = lm_score.fit(docs_of(spark, rows[:3]))
+    assert len(small[2]) < len(keys) / 4
+    got = {r.doc_id: r for r in lm_score.pseudo_likelihood(docs_of(spark, rows)).collect()}
+    assert got[100].n_tokens == 3000 and got[101].per_token is None
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, marks = [], []
