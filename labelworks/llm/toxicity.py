@@ -23,6 +23,7 @@ ORDINARY_BYTES = 8 * 1024
 TOXIC_BYTES = 2 * 1024
 WINDOW_BYTES = 40  # a word's first bytes; the rest of a longer word is windows of its own
 PIECES = (4, 5, 6, 8, 12)  # bytes of word beginnings that the toxic dictionary is trained on
+SAMPLE_BYTES = 1000  # of the samples that a dictionary is trained on; longer texts give several
 CONTRAST = 30.0  # times more often in toxic text than in ordinary text
 LEVELS = 4  # differences of 1, 2, 3 and more bytes
 CACHED_WORDS = 600_000  # about 60 MB in a worker
@@ -132,6 +133,18 @@ def _support(texts: list[str], only: set[bytes] | None = None) -> tuple[dict[byt
     return {p: len(v) for p, v in next_words.items()}, max(n, 1)
 
 
+def _samples(text: str, keep: set[bytes], support: dict[bytes, int]) -> list[bytes]:
+    """The kept word beginnings of a whole text, in samples of about ``SAMPLE_BYTES``."""
+    samples = [bytearray()]
+    for w in windows_of(text):
+        own = [w[: k + 1] for k in PIECES if w[: k + 1] in keep] + ([w[:-1]] if w[:-1] in keep else [])
+        if own:
+            if len(samples[-1]) >= SAMPLE_BYTES:
+                samples.append(bytearray())
+            samples[-1] += max(own, key=lambda p: (support[p], len(p)))
+    return [bytes(s) for s in samples if s]
+
+
 def _dictionary(size: int, samples: list[bytes], **settings) -> bytes:
     """A trained dictionary; too few samples to train on are a dictionary themselves."""
     try:
@@ -171,15 +184,7 @@ def fit(toxic: list[str], ordinary: list[str], shares: tuple[int, int]) -> Model
         for p, n in in_toxic.items()
         if p in frequent and n / n_toxic >= CONTRAST * (in_ordinary.get(p, 0) + 0.5) / n_ordinary
     }
-    samples = []
-    for t in train_t:
-        marked = []
-        for w in windows_of(t):
-            own = [w[: k + 1] for k in PIECES if w[: k + 1] in keep] + ([w[:-1]] if w[:-1] in keep else [])
-            if own:
-                marked.append(max(own, key=lambda p: (in_toxic[p], len(p))))
-        if marked:
-            samples.append(b"".join(marked)[:1000])
+    samples = [s for t in train_t for s in _samples(t, keep, in_toxic)]
     plain = [b"".join(windows_of(t)) for t in train_o]
     plain = [p[i : i + 64] for p in plain for i in range(0, len(p), 64)]
     model = Model(

@@ -290,3 +290,10 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(docs_of(spark, rows[:3]), labels.limit(0)).filter("score > 0").count() == 0
+
+
+def test_toxic_samples_hold_the_whole_text():
+    text = " ".join(f"vile{i:04d}" for i in range(400))
+    keep = {w[:-1] for w in toxicity.windows_of(text)}
+    samples = toxicity._samples(text, keep, dict.fromkeys(keep, 4))
+    assert b"".join(samples) == b"".join(w[:-1] for w in toxicity.windows_of(text)) and len(samples) > 1
