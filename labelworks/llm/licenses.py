@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,16 +11,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelworks.llm.common import mix, prepare, word_hashes
+from labelworks.llm.common import LOWER, SPACE, _pieces, mix, prefix_hash, prepare, span_hash
 
-WIDTH = 3  # words of a shingle; notices can be as short as five words
+WIDTH = 3  # words of a shingle; notices can be as short as three words
 CONTAINED = 0.8  # share of a template's shingles that a window must hold
-ROWS, BANDS = 2, 16  # a window that holds a template has similarity 0.7 or more: found with 1 - 2e-5
+# A window is up to 1.25 times as long as its template; with 0.8 of the template it has similarity
+# 0.8 / (1 + 1.25 - 0.8) = 0.55 or more (0.5 for a template of one shingle): missed with 1e-6 at most.
+ROWS, BANDS = 1, 20
 HASHES = ROWS * BANDS
 CHUNK = 16_384  # words looked at together
 
-# Wordings of public notices.
+# Wordings of public notices. What follows # tells wordings of one license apart.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
+    "Apache-2.0#grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a "
+    "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+    "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative "
+    "Works in Source or Object form.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met",
+    "BSD#notice": "Released under the BSD License.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring "
+    "rights to this work.",
+    "CC0-1.0#notice": "Licensed under CC0 1.0 Universal.",
+    "CC-BY-4.0#short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0#short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-4.0#long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL": "under the terms of the GNU General Public License",
+    "GPL-3.0#preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "AGPL": "GNU Affero General Public License",
+    "LGPL": "GNU Lesser General Public License",
+    "MIT#licensed": "Licensed under the MIT License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -39,6 +66,37 @@ _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
+_PUNCTUATION = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u3020]")
+_INSIDE = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+_JOINS = np.array([b in b"-.'_" for b in range(256)])
+
+
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text without punctuation (runs of letters and digits; a hyphen, point,
+    apostrophe or underscore between two of them joins, as in by-nc and 2.0), and for
+    each the number of words parted by white space before the one that it stands in."""
+    text = text or ""
+    if not text.isascii():
+        text = _PUNCTUATION.sub(",", text)
+    hashes, places, before = [], [], 0
+    for piece in _pieces(text.encode("utf-8", "surrogatepass").translate(LOWER)):
+        a = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(a) + 2, np.int8)
+        letters = _INSIDE[a]
+        inside[1:-1] = letters
+        inside[2:-2] |= letters[:-2] & letters[2:] & _JOINS[a[1:-1]]
+        edge = np.diff(inside)
+        starts = np.flatnonzero(edge == 1)
+        hashes.append(span_hash(prefix_hash(a), starts, np.flatnonzero(edge == -1)))
+        dark = ~SPACE[a]
+        begins = dark.copy()
+        begins[1:] &= ~dark[:-1]
+        number = np.cumsum(begins)
+        places.append(before + number[starts] - 1)
+        before += int(number[-1]) if len(number) else 0
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of consecutive words in order."""
     if len(words) < width:
@@ -77,11 +135,14 @@ class Scanner:
         self.sets: dict[str, np.ndarray] = {}
         self.sizes: dict[int, list[str]] = defaultdict(list)
         for name, text in templates.items():
-            s = shingles(word_hashes(text), width)
+            s = shingles(words_of(text)[0], width)
             if not len(s):
                 raise ValueError(f"template {name} has fewer than {width} words")
             self.sets[name] = np.unique(s)
             self.sizes[len(s)].append(name)
+        self.known = np.unique(np.concatenate(list(self.sets.values())))
+        self.known_marks = np.zeros(1 << 16, bool)
+        self.known_marks[self.known >> np.uint64(48)] = True
         self.tables = {}
         for n, names in self.sizes.items():
             step = max(1, n // 4)
@@ -94,17 +155,32 @@ class Scanner:
             marks[np.array(list(keys), np.uint64) >> np.uint64(48)] = True
             self.tables[n] = (step, n + step, dict(keys), marks)
 
+    def _possible(self, part: np.ndarray) -> set[str]:
+        """The templates of which so many shingles stand anywhere in a part of a text that a window could
+        hold enough of them."""
+        some = part[self.known_marks[part >> np.uint64(48)]]
+        here = np.intersect1d(some, self.known)
+        if not len(here):
+            return set()
+        return {name for name, mine in self.sets.items() if np.isin(mine, here).mean() >= self.contained}
+
     def find(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """(template, first word, word after the last, containment) of the best window of each place."""
-        words = word_hashes(text)
+        """(template, first word, word after the last, containment) of the best window of each place; words
+        are counted between white space."""
+        words, places = words_of(text)
         all_shingles = shingles(words, self.width)
         found: dict[tuple[str, int], float] = {}
         smallest = min(self.tables)
         for begin in range(0, len(all_shingles), CHUNK):
             reach = max(w for _, w, _, _ in self.tables.values())
             part = all_shingles[begin : begin + CHUNK + reach]
+            possible = self._possible(part)
+            if not possible:
+                continue
             hashed = part[None, :] * _MULTIPLY[:, None] + _ADD[:, None]
             for n, (step, window, keys, marks) in self.tables.items():
+                if possible.isdisjoint(self.sizes[n]):
+                    continue
                 size = min(window, len(part))
                 if size < min(n, smallest):
                     continue
@@ -120,7 +196,10 @@ class Scanner:
                             mine = self.sets[name]
                             share = np.isin(mine, part[first : first + size]).mean()
                             found[name, begin + first] = float(share) if share >= self.contained else 0.0
-        return self._best(found, all_shingles)
+        return [
+            (name, int(places[a]), int(places[b - 1]) + 1, share)
+            for name, a, b, share in self._best(found, all_shingles)
+        ]
 
     def _best(self, found: dict[tuple[str, int], float], all_shingles: np.ndarray) -> list[tuple[str, int, int, float]]:
         out: list[tuple[str, int, int, float]] = []
@@ -146,7 +225,7 @@ def scanning(templates: dict[str, str], width: int, contained: float):
         for texts in batches:
             yield pd.Series(
                 [
-                    [dict(zip(("license", "first", "last", "containment"), m)) for m in scanner.find(t)]
+                    [dict(zip(("license", "first", "last", "containment"), (m[0].split("#")[0], *m[1:]))) for m in scanner.find(t)]
                     for t in texts
                 ]
             )
@@ -156,7 +235,7 @@ def scanning(templates: dict[str, str], width: int, contained: float):
 
 def license_matches(
     docs: DataFrame,
-    templates: dict[str, str] | None = None,
+    templates: DataFrame | dict[str, str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WIDTH,
@@ -165,10 +244,14 @@ def license_matches(
     """(doc_id, matches): for every document the places where a window of its whole text holds at least
     ``contained`` of a template's shingles; first word, word after the last, and the share held.
 
-    Matches of one template that overlap are one. Null, empty and shorter texts match nothing. Repeated
+    ``templates``: a small table (license, text), wordings by name, or none for ``TEMPLATES``; a license may
+    have several wordings. Case and punctuation do not count. Matches of one template that overlap are one. Null, empty and shorter texts match nothing. Repeated
     rows get equal results, an empty table an empty one; other columns are not read.
     """
     prepare(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        listed = templates.select("license", "text").distinct().orderBy("license", "text").collect()
+        templates = {f"{r.license}#{i}": r.text for i, r in enumerate(listed)}
     return docs.select(
         F.col(id_col).alias("doc_id"),
         scanning(templates or TEMPLATES, width, contained)(F.col(text_col)).alias("matches"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -246,6 +247,38 @@ def test_licenses():
     assert scanner.find(None) == scanner.find("") == scanner.find(prose(rng, 500)) == []
 
 
+def test_altered_licenses_against_brute_force(spark):
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def grams(t):
+        w = re.findall(r"[a-z0-9]+(?:[-._'][a-z0-9]+)*", t.lower())
+        return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+    def holds(text, template, longer):
+        want, have = set(grams(template)), grams(text)
+        n = len(grams(template))
+        size = n + max(1, n // 4) * longer
+        return any(len(want & set(have[i : i + size])) >= 0.8 * len(want) for i in range(max(1, len(have) - size + 1)))
+
+    for _ in range(4):
+        for notice in licenses.TEMPLATES.values():
+            words = notice.split()
+            for _ in range(rng.randrange(3)):
+                i = rng.randrange(len(words))
+                words[i : i + 1] = rng.choice([[], ["changed"], [words[i], "(added)"], [words[i] + ","], ['"' + words[i].upper() + '"']])
+            text = f"{prose(rng, 40)} ({' '.join(words)}, see {prose(rng, 30)}"
+            got = {m[0] for m in scanner.find(text)}
+            assert {k for k, v in licenses.TEMPLATES.items() if holds(text, v, False)} <= got
+            assert got <= {k for k, v in licenses.TEMPLATES.items() if holds(text, v, True)}
+    lines = ["Licensed under CC BY-NC 4.0 (see x)", "Released under the MIT License, ok", "x (Licensed under the Apache License, Version 2.0)", "\u00a9 A. All rights reserved."]
+    assert [[m[0] for m in scanner.find(t)] for t in lines] == [["CC-BY-NC-4.0"], ["MIT"], ["Apache-2.0"], ["all-rights-reserved"]]
+    assert scanner.find(lines[2])[0][1:3] == (1, 8)
+    table = spark.createDataFrame([("Own", "One two three four."), ("Own", "Five six seven.")], "license string, text string")
+    got = licenses.license_matches(docs_of(spark, [(1, "a five six seven; one two three four")]), table).collect()
+    assert [m.license for m in got[0].matches] == ["Own", "Own"]
+
+
 def test_pseudo_likelihood_prefers_seen_order(spark):
     rng = random.Random(4)
     words = [prose(rng, 1) for _ in range(30)]
