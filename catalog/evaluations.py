@@ -461,7 +461,7 @@ def _leak_inputs(spark, d):
 
 @query("leaked_examples", f"WITH {_HITS} SELECT prompt_id, source_id, split, md5(sample) AS sample FROM hits")
 def _leaks(spark, d):
-    return K.leaked_examples(*_leak_inputs(spark, d)).withColumn("sample", F.md5("sample"))
+    return K.leaked_examples(*_leak_inputs(spark, d), sample_characters=120).withColumn("sample", F.md5("sample"))
 
 
 @query(
@@ -469,7 +469,7 @@ def _leaks(spark, d):
     f"WITH {_HITS} SELECT prompt_id, split, count(*) AS leaks, md5(min_by(sample, source_id)) AS first_sample FROM hits GROUP BY ALL",
 )
 def leak_audit(spark, d):
-    return K.leak_audit(*_leak_inputs(spark, d)).select(
+    return K.leak_audit(*_leak_inputs(spark, d), sample_characters=120).select(
         "prompt_id", "split", "leaks", F.md5(F.get("samples", F.lit(0))).alias("first_sample")
     )
 

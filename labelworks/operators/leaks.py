@@ -17,7 +17,6 @@ from ..scratch import stored
 from .rank import first_rows
 
 ANCHOR_WORDS = 3
-SAMPLE_CHARACTERS = 120
 _WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -113,21 +112,33 @@ def _hits(prompts: DataFrame, rows: DataFrame, min_len: int) -> DataFrame:
     return contained_sentences(prompts, texts, min_len)
 
 
-def leaked_examples(prompts: DataFrame, examples: DataFrame, min_len: int = 20) -> DataFrame:
-    """One row per (prompt, example) hit. ``examples(source_id, split, sentence)``.
+def _sample(characters: int | None) -> Column:
+    whole = F.col("sentence")
+    return (whole if characters is None else F.substring(whole, 1, characters)).alias("sample")
+
+
+def leaked_examples(
+    prompts: DataFrame, examples: DataFrame, min_len: int = 20, sample_characters: int | None = None
+) -> DataFrame:
+    """One row per (prompt, example) hit. ``examples(source_id, split, sentence)``. Samples are whole
+    sentences, or their first ``sample_characters``.
 
     Copies of a sentence are looked up once and expanded again at the end.
     """
     rows = _keyed(examples, min_len)
     return _hits(prompts, rows, min_len).join(rows, "sentence_key").select(
-        "prompt_id", "source_id", "split", F.substring("sentence", 1, SAMPLE_CHARACTERS).alias("sample")
+        "prompt_id", "source_id", "split", _sample(sample_characters)
     )
 
 
 def leak_audit(
-    prompts: DataFrame, examples: DataFrame, min_len: int = 20, samples: int = 5
+    prompts: DataFrame,
+    examples: DataFrame,
+    min_len: int = 20,
+    samples: int = 5,
+    sample_characters: int | None = None,
 ) -> DataFrame:
-    """Per prompt and split: hits and the first sample texts. Prompts without hits are absent.
+    """Per prompt and split: hits and the first sample texts, whole or their first ``sample_characters``. Prompts without hits are absent.
 
     Copies of a sentence are counted before they meet the prompts, so a sentence that makes up most
     of a split is still one row.
@@ -135,8 +146,7 @@ def leak_audit(
     rows = _keyed(examples, min_len)
     keys = ["sentence_key", "split"]
     copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    short = F.substring("sentence", 1, SAMPLE_CHARACTERS).alias("sample")
-    first = first_rows(rows.select(*keys, "source_id", short), keys, ["source_id"], samples)
+    first = first_rows(rows.select(*keys, "source_id", _sample(sample_characters)), keys, ["source_id"], samples)
     shown = first.groupBy(*keys).agg(F.collect_list(F.struct("source_id", "sample")).alias("first"))
     hits = _hits(prompts, rows, min_len).join(copies.join(shown, keys), "sentence_key")
     ordered = F.array_sort(F.flatten(F.collect_list("first")))

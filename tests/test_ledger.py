@@ -50,6 +50,14 @@ def test_leaks_with_words_and_characters(spark):
     assert {r["split"]: r["skipped_short"] for r in audit_coverage(e).collect()} == {"val": 1, "test": 0, "train": 0}
 
 
+def test_leak_samples_are_whole(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    p = spark.createDataFrame([(1, f"x {text} y")], "prompt_id bigint, prompt string")
+    e = spark.createDataFrame([(1, "test", text)], "source_id bigint, split string, sentence string")
+    assert leaked_examples(p, e).first()["sample"] == text and leak_audit(p, e).first()["samples"] == [text]
+    assert leak_audit(p, e, sample_characters=9).first()["samples"] == [text[:9]]
+
+
 def test_leak_samples_are_the_first(spark):
     p = spark.createDataFrame([(1, "a sentence that is long enough")], "prompt_id int, prompt string")
     e = spark.range(50).select(F.col("id").alias("source_id"), F.lit("val").alias("split"), F.lit("A sentence that is long enough").alias("sentence"))
