@@ -65,6 +65,17 @@ def test_header_in_the_first_rows(spark, tmp_path):
     assert [r["gold"] for r in H.collapse_coder_rows(df, ["file"], "ord").collect()] == [{"T": '["L","M"]'}]
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Theme,Level,Quote\nT,L,q1\nTheme,Level,Quote\n")
+    (tmp_path / "b.csv").write_text("#,User,x\nQuote,Theme,Extra\nq2,U,e\n")
+    (tmp_path / "c.csv").write_text(",".join(f"h{i}" for i in range(300)) + "\n" + ",".join(str(i) for i in range(300)) + "\n")
+    df = H.read_coder_csv(spark, str(tmp_path))
+    rows = [r.asDict() for r in df.orderBy("file", "ord").collect()]
+    assert df.columns[2:6] == ["Theme", "Level", "Quote", "Extra"]
+    got = [(r["file"][-5], r["Theme"], r["Level"], r["Quote"], r["Extra"], r["h299"]) for r in rows]
+    assert got == [("a", "T", "L", "q1", "", ""), ("a", "Theme", "Level", "Quote", "", ""), ("b", "U", "", "q2", "e", ""), ("c", "", "", "", "", "299")]
+
+
 def test_content_field_is_text(spark):
     body = json.dumps([{"id": 123456789012, "note": "long enough to be text"}, {"id": 5}])
     df = spark.createDataFrame([("f", body)], "file string, value string")
