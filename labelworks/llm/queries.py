@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelworks.llm import decontaminate, exact, extract, licenses, lm_score, near, packing, substrings, toxicity, warc
+from labelworks.llm import (
+    conversations,
+    decontaminate,
+    exact,
+    extract,
+    licenses,
+    lm_score,
+    near,
+    packing,
+    secrets,
+    spelling,
+    substrings,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +183,102 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("best"),
         "matches",
     )
+
+
+# CRC-32 (reflected polynomial 0xEDB88320), a table of 256 entries by its rule.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_t)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of a text, with ``crc_table`` in FROM."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        range(octet_length(encode({text}))),
+        lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+    WITH {CRC_TABLE},
+    t AS (
+      SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+             sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS x
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS xs, list(bytes ORDER BY turn NULLS FIRST, x) AS bs
+      FROM t GROUP BY conv_id),
+    k AS (SELECT own.*, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc_table),
+    c AS (
+      SELECT k.conv_id, list_concat(coalesce(b.xs[1:h], []), k.xs[h + 1:]) AS xs,
+             list_concat(coalesce(b.bs[1:h], []), k.bs[h + 1:]) AS bs
+      FROM k LEFT JOIN own b ON b.conv_id = k.conv_id - k.conv_id % 5),
+    p AS (SELECT conv_id, xs, bs, unnest(range(len(xs) + 1)) AS d FROM c),
+    node AS MATERIALIZED (
+      SELECT xs[1:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n,
+             coalesce(any_value(bs[d]), 0) AS bytes,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len(xs)), '')) AS ends
+      FROM p GROUP BY xs[1:d], d),
+    child AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+    v AS MATERIALIZED (
+      SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON node.path = child.path),
+    sub AS (
+      SELECT path[1:j] AS path, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+             CAST(sum((n - 1) * bytes) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS j FROM v) GROUP BY 1)
+    SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children,
+           sub.n_leaves, sub.saved_tokens, v.ends AS ends_sha256
+    FROM v JOIN sub ON sub.path = v.path LEFT JOIN node up ON v.d > 0 AND up.path = v.path[1:v.d - 1]
+    """,
+)
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+    WITH RECURSIVE {CRC_TABLE},
+    d AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+    r AS (SELECT id, run, count(*) AS c FROM d GROUP BY id, run),
+    k AS (SELECT run, c, {crc32_sql("id || ':' || run")} AS h FROM r, crc_table),
+    v AS MATERIALIZED (
+      SELECT word, CAST(sum(c) AS BIGINT) AS n
+      FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                        ELSE run END AS word, c FROM k)
+      GROUP BY word HAVING sum(c) >= 3 AND length(word) >= 5),
+    x AS MATERIALIZED (
+      SELECT word, i, left(word, i) || substr(word, i + 2) AS rest
+      FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+    e AS (
+      SELECT a.word, b.word AS near FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT x.word, v.word FROM x JOIN v ON v.word = x.rest
+      UNION SELECT v.word, x.word FROM x JOIN v ON v.word = x.rest),
+    b AS (
+      SELECT e.word, near, v.n AS near_n, count(*) OVER (PARTITION BY e.word) AS n_near,
+             row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, near) AS place
+      FROM e JOIN v ON v.word = e.near),
+    f AS MATERIALIZED (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+      FROM v LEFT JOIN b ON b.word = v.word AND place = 1),
+    chain AS (
+      SELECT word, word AS at FROM f
+      UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, ends.at AS root, f.n, f.n_near, f.form_n
+    FROM f JOIN (SELECT chain.word, chain.at FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL) ends
+      ON ends.word = f.word
+    """,
+)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
