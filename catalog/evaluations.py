@@ -613,6 +613,58 @@ def _boot_acc(spark, d):
     return R.bootstrap_delta_accuracy(_two_labelers(spark, d), ["lang"], iters=10_000, seed=7)
 
 
+def _bounds(spans, errors):
+    """Whether the interval holds the point, and whether its width is that of the normal interval within a
+    factor of 1.25 (groups of 100 items or more)."""
+    wide = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("error"))
+    rows = spans.join(errors.drop("n"), "lang").select(
+        "lang",
+        "n",
+        "point",
+        "error",
+        ((F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))).alias("holds_point"),
+        F.when((F.col("n") >= 100) & (F.col("error") > 0), wide.between(0.8, 1.25)).alias("width_ok"),
+    )
+    return rounded(rows, "point", "error")
+
+
+_WIDE = "true AS holds_point, CASE WHEN n >= 100 AND error > 0 THEN true END AS width_ok"
+
+
+@query(
+    "bootstrap_f1_bounds",
+    S.with_(
+        "sets",
+        f"""
+WITH i AS (SELECT lang, item_id, count(*) FILTER (in_gold AND in_a) AS ta, count(*) FILTER (in_gold) + count(*) FILTER (in_a) AS da,
+   count(*) FILTER (in_gold AND in_b) AS tb, count(*) FILTER (in_gold) + count(*) FILTER (in_b) AS db FROM sets GROUP BY ALL),
+g AS (SELECT lang, count(*) AS n, sum(da) AS sa, sum(db) AS sb, 2 * sum(ta) / sum(da)::DOUBLE AS fa, 2 * sum(tb) / sum(db)::DOUBLE AS fb FROM i GROUP BY lang),
+e AS (SELECT lang, any_value(n) AS n, 100 * (any_value(fa) - any_value(fb)) AS point,
+   100 * stddev_pop((2 * ta - fa * da) * n / sa - (2 * tb - fb * db) * n / sb) / sqrt(any_value(n)) AS error FROM i JOIN g USING (lang) GROUP BY lang)
+SELECT lang, n, round(point, 6) AS point, round(error, 6) AS error, {_WIDE} FROM e""",
+    ),
+)
+def _f1_bounds(spark, d):
+    sets = label_sets(spark, d)
+    return _bounds(R.bootstrap_delta_f1(sets, ["lang"], iters=10_000, seed=7), R.delta_f1_error(sets, ["lang"]))
+
+
+@query(
+    "bootstrap_accuracy_bounds",
+    S.with_(
+        "sets",
+        f"""
+WITH f AS (SELECT item_id, lang, coalesce(min(label) FILTER (in_gold), 'none') AS g, coalesce(min(label) FILTER (in_a), 'none') AS a,
+   coalesce(min(label) FILTER (in_b), 'none') AS b FROM sets GROUP BY ALL),
+e AS (SELECT lang, count(*) AS n, avg((a = g)::INT - (b = g)::INT) AS point, stddev_pop((a = g)::INT - (b = g)::INT) / sqrt(count(*)) AS error FROM f GROUP BY lang)
+SELECT lang, n, round(point, 6) AS point, round(error, 6) AS error, {_WIDE} FROM e""",
+    ),
+)
+def _accuracy_bounds(spark, d):
+    two = _two_labelers(spark, d)
+    return _bounds(R.bootstrap_delta_accuracy(two, ["lang"], iters=10_000, seed=7), R.delta_accuracy_error(two, ["lang"]))
+
+
 _SEEDED = f"""
 sd AS (SELECT *, seed, {S.h("item_id||'|half'||seed")} % 2 AS half FROM (
    SELECT item_id, score, 'a' AS coder, truth_a AS truth FROM scores UNION ALL SELECT item_id, score, 'b', truth_b FROM scores) s CROSS JOIN range(5) r(seed)),

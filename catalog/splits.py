@@ -92,7 +92,39 @@ def _floors(spark, d):
 @query("balanced_multilabel_split")
 def balanced(spark, d):
     sets = label_sets(spark, d).select("item_id", F.col("gold").alias("labels"))
-    return P.balanced_multilabel_split(sets, "item_id", "labels", {"train": 0.15, "val": 0.42, "test": 0.43}, 3)
+    return P.balanced_multilabel_split(sets, "item_id", "labels", _FRACTIONS, 3)
+
+
+_FRACTIONS = {"train": 0.15, "val": 0.42, "test": 0.43}
+
+
+@query(
+    "balanced_split_support",
+    S.with_(
+        "sets",
+        """
+WITH items AS (SELECT item_id, list(DISTINCT label) FILTER (in_gold) AS ls FROM sets GROUP BY item_id),
+f(split, f) AS (VALUES ('train', 0.15::DOUBLE), ('val', 0.42), ('test', 0.43)),
+t AS (SELECT NULL::VARCHAR AS label, count(*) AS total FROM items
+  UNION ALL SELECT label, count(*) FROM (SELECT unnest(ls) AS label FROM items) GROUP BY label)
+SELECT label, split, total, floor(3 + 0.02::DOUBLE * total)::BIGINT AS allowed, true AS within FROM t, f""",
+    ),
+)
+def _support(spark, d):
+    """Every item stays, and each label's support and each split's size is within 3 items and 2 % of its share.
+    Items without gold labels are nulls here."""
+    gold = F.when(F.size("gold") > 0, F.col("gold"))
+    sets = label_sets(spark, d).select("item_id", gold.alias("labels"))
+    out = P.balanced_multilabel_split(sets, "item_id", "labels", _FRACTIONS, 3)
+    report = P.split_report(out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))))
+    share = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in _FRACTIONS.items()]))
+    counts = F.map_from_entries(F.collect_list(F.struct("split", "n")))
+    rows = report.groupBy("label").agg(counts.alias("counts"), F.sum("n").alias("total"))
+    allowed = F.floor(3 + 0.02 * F.col("total"))
+    return rows.select("label", "total", allowed.alias("allowed"), "counts", F.explode(share).alias("split", "f")).select(
+        "label", "split", "total", "allowed",
+        (F.abs(F.coalesce(F.try_element_at("counts", "split"), F.lit(0)) - F.col("f") * F.col("total")) <= F.col("allowed")).alias("within"),
+    )
 
 
 @query(

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import stored
 from .rank import bucketed_rank, running_total, shuffle_key
 
 TINY_CLASS = 3
@@ -155,44 +156,48 @@ def balanced_multilabel_split(
     fractions: dict[str, float],
     seed: int | str,
 ) -> DataFrame:
-    """Adds ``split`` so that each label's support follows the fractions.
-
-    The rarest remaining label is placed first; its items go to the splits that still want most of
-    it (ties: to the split that wants most items); items without labels fill up by size.
-
-    Items with the same label set are interchangeable, so the passes work on counts per distinct
-    label set, one pass per label; the items themselves are read twice, once to count the sets and
-    once to rank every item within its set and cut the ranks at the set's quotas. Only numbers per
-    (label, split) come to the driver.
+    """Adds ``split`` so that each label's support follows the fractions. Null label arrays, and nulls in them,
+    count as no label.
+
+    A label is placed once all labels that it shares an unplaced item with are more frequent among the unplaced
+    items (ties: by name); its items go to the splits that still want most of it (ties: to the split that
+    wants most items). Items without labels fill up by size at the end.
+
+    Items with the same label set are interchangeable, so the passes work on counts per distinct label set;
+    the items themselves are read twice, once to count the sets and once to rank every item within its set
+    and cut the ranks at the set's quotas. Labels placed in one pass have no set in common, so a pass takes
+    all of them at once: the number of passes is the length of the longest chain of ever more frequent
+    labels that share items, not the number of labels. Demand, amounts and quotas stay in tables; the
+    driver sees sums per split.
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-6:
         raise ValueError("fractions must sum to 1")
     names = list(fractions)
-    rows = items.withColumn("_set", F.to_json(F.array_sort(F.array_distinct(labels))))
+    clean = F.array_compact(F.coalesce(F.col(labels).cast("array<string>"), F.array().cast("array<string>")))
+    rows = items.withColumn("_set", F.to_json(F.array_sort(F.array_distinct(clean))))
     sets = rows.groupBy("_set").agg(F.count(F.lit(1)).alias("m"))
     sets = sets.withColumn("_labels", F.from_json("_set", "array<string>"))
-    sets = cut(
-        sets.withColumn("_order", shuffle_key(F.col("_set"), seed)).withColumn(
-            "quota", F.lit(None).cast("array<bigint>")
-        )
+    sets = sets.withColumn("_order", shuffle_key(F.col("_set"), seed)).withColumn(
+        "quota", F.lit(None).cast("array<bigint>")
     )
-    todo = F.col("quota").isNull()
-    n = sets.agg(F.sum("m")).first()[0] or 0
-    support = _support(sets)
-    remaining = dict(support)
-    wanted_n = [fractions[s] * n for s in names]
-    while any(remaining.values()):
-        label = min((x for x in remaining if remaining[x]), key=lambda x: (remaining[x], x))
-        given = _placed(sets, label, len(names))
-        wanted = [fractions[s] * support[label] - given[i] for i, s in enumerate(names)]
-        counts = fill_by_demand(wanted, wanted_n, remaining[label])
-        sets = cut(_give_quotas(sets, todo & F.array_contains("_labels", label), counts))
-        wanted_n = [w - c for w, c in zip(wanted_n, counts)]
-        left = _support(sets.filter(todo))
-        remaining = {x: left.get(x, 0) for x in support}
-    rest = sets.filter(todo).agg(F.sum("m")).first()[0] or 0
+    sets = stored(sets, "label-sets")
+    support = sets.select(F.explode("_labels").alias("label"), "m").groupBy("label").agg(F.sum("m").alias("support"))
+    support = stored(support, "label-support")
+    shares = [float(fractions[s]) for s in names]
+    placed = [F.coalesce(F.sum(F.get("quota", F.lit(i))), F.lit(0)) for i in range(len(names))]
+    open_ = F.col("quota").isNull()
+    labeled = F.count_if(open_ & (F.size("_labels") > 0))
+    while True:
+        n, left, *given = sets.agg(F.coalesce(F.sum("m"), F.lit(0)), labeled, *placed).first()
+        wanted_n = [f * n - g for f, g in zip(shares, given)]
+        if not left:
+            break
+        sets = stored(_place_labels(sets, support, shares, wanted_n), "label-sets")
+    rest = n - sum(given)
     if rest:
-        sets = cut(_give_quotas(sets, todo, fill_by_demand(wanted_n, wanted_n, rest)))
+        counts = F.array(*[F.lit(c).cast("bigint") for c in fill_by_demand(wanted_n, wanted_n, rest)])
+        pool = sets.filter(open_).select("_set", F.lit("").alias("label"), counts.alias("counts"))
+        sets = stored(_give_quotas(sets, pool, len(names)), "label-sets")
     ranked = bucketed_rank(
         rows.withColumn("_order", shuffle_key(F.col(item), seed)),
         ["_set"],
@@ -207,14 +212,34 @@ def balanced_multilabel_split(
     return ranked.withColumn("split", split).select(*items.columns, "split")
 
 
-def _support(sets: DataFrame) -> dict[str, int]:
-    rows = sets.select(F.explode("_labels").alias("label"), "m").groupBy("label")
-    return {r["label"]: r["c"] for r in rows.agg(F.sum("m").alias("c")).collect()}
-
+def _place_labels(sets: DataFrame, support: DataFrame, shares: list[float], wanted_n: list[float]) -> DataFrame:
+    """One pass: quotas for the open sets of every label that is the rarest in all of its open sets."""
+    k = len(shares)
+    pairs = sets.select("_set", "m", "quota", F.explode("_labels").alias("label"))
+    facts = pairs.groupBy("label").agg(
+        F.sum(F.when(F.col("quota").isNull(), F.col("m"))).alias("amount"),
+        F.array(*[F.coalesce(F.sum(F.get("quota", F.lit(i))), F.lit(0)) for i in range(k)]).alias("given"),
+    )
+    facts = facts.filter("amount > 0")
+    ranked = pairs.filter("quota IS NULL").join(facts.select("label", "amount"), "label")
+    in_order = ranked.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("amount", "label"))).alias("ls"))
+    first = in_order.select("_set", F.posexplode("ls").alias("_at", "l")).select(
+        "_set", "l.label", (F.col("_at") == 0).alias("is_first")
+    )
+    ready = first.groupBy("label").agg(F.bool_and("is_first").alias("ready")).filter("ready").select("label")
+
+    @F.pandas_udf("array<bigint>")
+    def fill(amount: pd.Series, support: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                fill_by_demand([f * int(s) - int(g) for f, g in zip(shares, gs)], wanted_n, int(a))
+                for a, s, gs in zip(amount, support, given)
+            ]
+        )
 
-def _placed(sets: DataFrame, label: str, k: int) -> list[int]:
-    sums = [F.coalesce(F.sum(F.get("quota", F.lit(i))), F.lit(0)) for i in range(k)]
-    return list(sets.filter(F.array_contains("_labels", label)).agg(*sums).first())
+    counts = facts.join(ready, "label").join(support, "label").select("label", fill("amount", "support", "given").alias("counts"))
+    pool = first.filter("is_first").join(counts, "label").select("_set", "label", "counts")
+    return _give_quotas(sets, pool, k)
 
 
 def fill_by_demand(want: list[float], want_n: list[float], amount: int) -> list[int]:
@@ -231,23 +256,27 @@ def fill_by_demand(want: list[float], want_n: list[float], amount: int) -> list[
     return got
 
 
-def _give_quotas(sets: DataFrame, pool: Column, counts: list[int]) -> DataFrame:
-    """Spreads the split counts over the pool's label sets, evenly along a random order of sets.
+def _give_quotas(sets: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """Spreads each label's split counts over the label's pool, evenly along a random order of its sets.
 
-    Position x of the pool has given floor-type shares to each split, so the quotas of a set are the
-    differences between its end and its start: whole numbers that add up exactly.
+    ``pool(_set, label, counts)`` has a set once. Position x of a pool has given floor-type shares to each split,
+    so the quotas of a set are the differences between its end and its start: whole numbers that add up
+    exactly. Large pools are summed bucket by bucket.
     """
-    inside = running_total(sets.filter(pool).drop("quota"), [], "_order", ["_set"], F.col("m"))
+    inside = running_total(
+        sets.drop("quota").join(pool, "_set"), ["label"], "_order", ["_set"], F.col("m")
+    ).drop("total")
+    counts = [F.get("counts", F.lit(i)) for i in range(k)]
 
     def upto(x: Column) -> list[Column]:
-        left_rows, left_all, out = x, sum(counts), []
+        left_rows, left_all, out = x, sum(counts[1:], counts[0]), []
         for c in counts[:-1]:
-            part = F.floor(left_rows.cast("decimal(38,0)") * c / max(left_all, 1)).cast("bigint")
+            part = F.floor(left_rows.cast("decimal(38,0)") * c / F.greatest(left_all, F.lit(1))).cast("bigint")
             out.append(part)
             left_rows, left_all = left_rows - part, left_all - c
         return [*out, left_rows]
 
     start, end = upto(F.col("before")), upto(F.col("before") + F.col("m"))
-    quota = F.array(*[e - s for s, e in zip(start, end)])
-    done = inside.withColumn("quota", quota).select(*sets.columns)
-    return done.unionByName(sets.filter(~pool))
+    quota = F.array(*[(e - s).cast("bigint") for s, e in zip(start, end)])
+    done = inside.select("_set", quota.alias("_quota"))
+    return sets.join(done, "_set", "left").withColumn("quota", F.coalesce("quota", "_quota")).drop("_quota")

@@ -98,3 +98,60 @@ def test_gates(spark):
     df = spark.createDataFrame([("train",)] * 12 + [("val",)] * 4, "split string")
     got = {r["error"]: r["amount"] for r in P.split_gates(df, {"train": 0.5, "val": 0.5, "test": 0.0}).collect()}
     assert got == {"too_few_val": 4, "fraction_out_of_range": 1}
+
+
+def test_balanced_split_of_many_disjoint_labels(spark):
+    """Labels that share no item are placed together: passes do not grow with the labels."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(3000):
+        branch = rng.randrange(40)
+        rows.append((i, [f"b{branch}"] + [f"b{branch}.{k}" for k in range(3) if rng.random() < 0.3]))
+    rows += [(3000 + i, None) for i in range(50)] + [(3100 + i, [None]) for i in range(50)]
+    df = spark.createDataFrame(rows, "item_id bigint, labels array<string>")
+    fr = {"train": 0.15, "val": 0.42, "test": 0.43}
+    passes = []
+    place = P._place_labels
+    P._place_labels = lambda *a: (passes.append(1), place(*a))[1]
+    try:
+        out = P.balanced_multilabel_split(df, "item_id", "labels", fr, 1).collect()
+    finally:
+        P._place_labels = place
+    assert len(passes) <= 6  # 160 labels in chains of at most four, ties included
+    assert sorted(r["item_id"] for r in out) == sorted(r[0] for r in rows)
+    assert all(sum(r["split"] == s for r in out) - f * len(rows) < 40 for s, f in fr.items())
+    for x in {x for _, ls in rows for x in ls or [] if x}:
+        mine = [r["split"] for r in out if r["labels"] and x in r["labels"]]
+        for s, f in fr.items():
+            assert abs(mine.count(s) - f * len(mine)) <= 3, (x, s)
+
+
+def test_bootstrap_of_many_patterns(spark):
+    """20,000 patterns are drawn in twenty buckets; no row holds them all."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    parts = rng.integers(0, 40, (n, 6))
+    rows = [([int(v) for v in p], int(m)) for p, m in zip(parts, rng.integers(1, 4, n))]
+    patterns = spark.createDataFrame(rows, "pattern array<bigint>, m bigint").withColumn("k", F.lit(None).cast("string"))
+    patterns = patterns.groupBy("k", "pattern").agg(F.sum("m").alias("m"))
+    buckets = R._buckets(patterns, ["k"]).select(F.size("rows").alias("n")).collect()
+    assert len(buckets) >= 20 and max(b["n"] for b in buckets) < 1300
+    items = sum(m for _, m in rows)
+    draws = R._replicates(patterns, ["k"], 300, 5, 6).collect()
+    assert sorted(r["replicate"] for r in draws) == list(range(300))
+    total = sum(np.array(p) * m for p, m in rows)
+    square = sum(np.array(p) ** 2 * m for p, m in rows)
+    sd = np.sqrt(square - total**2 / items)
+    got = np.array([[r[f"s{i}"] for i in range(6)] for r in draws])
+    assert (np.abs(got.mean(axis=0) - total) < 5 * sd / np.sqrt(300)).all()
+    assert (np.abs(got.std(axis=0) / sd - 1) < 0.2).all()
+    again = R._replicates(patterns.repartition(7), ["k"], 300, 5, 6).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, draws), key=str)
+
+
+def test_errors_without_keys(spark):
+    acc = spark.createDataFrame([("t", "t" if i % 4 else "u", "t" if i % 2 else None) for i in range(400)], "gold string, pred_a string, pred_b string")
+    (e,) = R.delta_accuracy_error(acc, []).collect()
+    assert e["error"] == pytest.approx((0.25 * 0.75 / 400) ** 0.5) and e["n"] == 400
+    (b,) = R.bootstrap_delta_accuracy(acc, [], iters=500, seed=1).collect()
+    assert b["low"] < 0.25 < b["high"] and b["n"] == 400
