@@ -146,15 +146,31 @@ def exact_duplicates(docs: DataFrame, **settings) -> DataFrame:
     )
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows one stays."""
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One document of each group of equal texts, with all its columns: the row that ``exact_duplicates`` keeps.
+
+    Rows are told apart by id and normalised text, so different texts under one id (or without an id) all
+    stay. Of rows that agree in both, the longest original text stays, ties by hashes of the text and of
+    the other columns.
+    """
     kept = (
-        exact_duplicates(docs, id_col=id_col, **settings)
+        exact_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
         .filter("kept")
-        .groupBy(F.col("doc_id").alias("_kept_id"))
+        .groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
         .agg(F.count("*").alias("_rows"))
     )
-    stay = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")))
-    once = stay.filter("_rows = 1").select(*[docs[c] for c in docs.columns])
-    more = stay.filter("_rows > 1").select(*[docs[c] for c in docs.columns])
-    return once.union(more.dropDuplicates([id_col]))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    rows = docs.select(whole, docs[id_col].cast("long").alias("_id"), F.sha2(normalized(docs[text_col]), 256).alias("_sha"))
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return one_of_each(rows.join(kept, same), ["_kept_id", "_kept_sha"], docs.columns, text_col)
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str], text_col: str) -> DataFrame:
+    """One row ``_doc`` for each value of ``keys``; ``_rows`` counts the rows of a key, and most are alone. Repeated
+    rows are reduced before the shuffle, so a key may have any number of them."""
+    text = F.coalesce(F.col("_doc")[text_col], F.lit(""))
+    rest = [F.to_json(F.struct(F.col("_doc")[c].alias(c))) for c in columns if c != text_col]
+    best = F.struct(F.length(text), F.bitwise_not(F.xxhash64(text)), F.xxhash64(*rest) if rest else F.lit(0))
+    alone = rows.filter("_rows = 1").select("_doc")
+    more = rows.filter("_rows > 1").groupBy(*keys).agg(F.max_by("_doc", best).alias("_doc"))
+    return alone.union(more.select("_doc")).select("_doc.*")

@@ -140,7 +140,7 @@ class Scanner:
                 raise ValueError(f"template {name} has fewer than {width} words")
             self.sets[name] = np.unique(s)
             self.sizes[len(s)].append(name)
-        self.known = np.unique(np.concatenate(list(self.sets.values())))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets.values()]))
         self.known_marks = np.zeros(1 << 16, bool)
         self.known_marks[self.known >> np.uint64(48)] = True
         self.tables = {}
@@ -167,6 +167,8 @@ class Scanner:
     def find(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, word after the last, containment) of the best window of each place; words
         are counted between white space."""
+        if not self.sets:
+            return []
         words, places = words_of(text)
         all_shingles = shingles(words, self.width)
         found: dict[tuple[str, int], float] = {}
@@ -252,7 +254,8 @@ def license_matches(
     if isinstance(templates, DataFrame):
         listed = templates.select("license", "text").distinct().orderBy("license", "text").collect()
         templates = {f"{r.license}#{i}": r.text for i, r in enumerate(listed)}
+    Scanner(TEMPLATES if templates is None else templates, width, contained)  # an error here, not in a task
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        scanning(templates or TEMPLATES, width, contained)(F.col(text_col)).alias("matches"),
+        scanning(TEMPLATES if templates is None else templates, width, contained)(F.col(text_col)).alias("matches"),
     )

@@ -12,27 +12,28 @@ from pyspark.sql import functions as F
 
 from labelworks.llm.common import mix, prepare, shingle_set, written
 from labelworks.llm.components import components
+from labelworks.llm.exact import one_of_each
 
 HASHES = 128
 KEPT_BITS = 4  # low bits of each minimum that are kept
 ROWS = 4
 BANDS = 32  # 4 rows each: a pair with similarity 0.8 misses all bands once in 20 million
 MARGIN = 0.17  # a candidate stays if its estimate is at least threshold - MARGIN (4.5 deviations)
-FINE_HASHES = 1024  # of candidates that a spanning forest leaves open
-FINE_MARGIN = 0.06  # 4.5 deviations again
 BLOCK = 1024  # members of a bucket compared at once
+BLOCK_SHINGLES = 1 << 20  # and their shingles, about
+COLUMNS = 4096  # shingles multiplied at once
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_MULTIPLY = _rng.integers(0, 1 << 63, FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, FINE_HASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+def minima(shingles: np.ndarray) -> np.ndarray:
     """Smallest value of each hash function over a set."""
-    low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
-        part = shingles[at : at + 512, None] * _MULTIPLY[:hashes] + _ADD[:hashes]
+        part = shingles[at : at + 512, None] * _MULTIPLY + _ADD
         low = np.minimum(low, part.min(axis=0))
     return low
 
@@ -91,13 +92,13 @@ def describing(width: int):
     return describe
 
 
-def refining(width: int):
+def shingling(width: int):
     @F.pandas_udf("binary")
-    def refine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([packed(minima(shingle_set(t, width), FINE_HASHES)) for t in texts])
+            yield pd.Series([shingle_set(t, width).tobytes() for t in texts])
 
-    return refine
+    return shingled
 
 
 def verdict(width: int, percent: int):
@@ -118,24 +119,12 @@ def verdict(width: int, percent: int):
     return linked
 
 
-def _edges(nodes, groups, words, fine, least: float, fine_least: float):
-    """Pairs worth comparing among the members of one block pair.
-
-    ``groups``: the component of each member; pairs within one are settled. In the first round a
-    spanning forest of the most similar pairs is enough, so a bucket of n members gives at most n - 1
-    pairs; the second, with longer signatures (``fine``), gives all pairs that are left.
-    """
+def _forest(nodes: np.ndarray, groups: np.ndarray, words: np.ndarray, least: float):
+    """Spanning forest of the most similar pairs of one block, for pairs of different components."""
     equal = similarities(words)
     rows, cols = np.nonzero(np.triu(equal >= least, 1))
     keep = groups[rows] != groups[cols]
     rows, cols = rows[keep], cols[keep]
-    if fine is not None:
-        near = [
-            similarity(fine[rows[at : at + 4096]] ^ fine[cols[at : at + 4096]]) >= fine_least
-            for at in range(0, len(rows), 4096)
-        ]
-        near = np.concatenate(near) if near else np.zeros(0, bool)
-        return nodes[rows[near]], nodes[cols[near]]
     order = np.argsort(-equal[rows, cols], kind="stable")
     parent = {g: g for g in groups.tolist()}
 
@@ -156,52 +145,121 @@ def _edges(nodes, groups, words, fine, least: float, fine_least: float):
     return nodes[rows[chosen]], nodes[cols[chosen]]
 
 
-def proposing(least: float, fine_least: float):
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with all sets, by a product of 0-1 matrices. Shingles of one set
+    alone are left out, the others multiplied ``COLUMNS`` at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = counts[place] > 1
+    owner, place = owner[common], np.unique(place[common], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2^24
+    total = int(place[-1]) + 1 if len(place) else 0
+    exact = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, total, COLUMNS):
+        i, j = np.searchsorted(place, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[i:j], place[i:j] - at] = 1
+        np.matmul(has, has.T, out=out)
+        exact += out.astype(np.int64)
+    return exact
+
+
+def _links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], percent: int):
+    """Spanning forest of the links between different components in one block, confirmed on full sets: at most
+    one row less than the block has members, however many links there are."""
+    both = shared(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked &= groups[:, None] != groups[None, :]
+    waiting = np.ones(len(nodes), bool)
+    rows, cols = [], []
+    for first in range(len(nodes)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        stack = [first]
+        while stack:
+            at = stack.pop()
+            found = np.flatnonzero(linked[at] & waiting)
+            waiting[found] = False
+            rows += [at] * len(found)
+            cols += found.tolist()
+            stack += found.tolist()
+    return nodes[rows], nodes[cols]
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of one block at a time; rows come sorted by ``keys``. Blocks of one row are left out."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        key = list(zip(*[batch[k] for k in keys]))
+        edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        for i, j in zip(edges, edges[1:]):
+            if rest and tuple(rest[-1][k].iloc[-1] for k in keys) != key[i]:
+                whole = pd.concat(rest) if len(rest) > 1 else rest[0]
+                if len(whole) > 1:
+                    yield whole
+                rest = []
+            rest.append(batch.iloc[i:j])
+    if rest:
+        whole = pd.concat(rest) if len(rest) > 1 else rest[0]
+        if len(whole) > 1:
+            yield whole
+
+
+def _words(part: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(part["signature"]), np.uint64).reshape(len(part), -1)
+
+
+def proposing(least: float):
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(part: pd.DataFrame) -> pd.DataFrame:
-            nodes, groups = part["node"].to_numpy(), part["component"].to_numpy()
-            words = np.frombuffer(b"".join(part["signature"]), np.uint64).reshape(len(part), -1)
-            fine = None
-            if "fine" in part:
-                fine = np.frombuffer(b"".join(part["fine"]), np.uint64).reshape(len(part), -1)
-            key, block = part["key"].to_numpy(), part["block"].to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            bounds = [0, *edge.tolist(), len(part)]
-            found = [
-                _edges(
-                    nodes[i:j], groups[i:j], words[i:j], None if fine is None else fine[i:j], least, fine_least
-                )
-                for i, j in zip(bounds, bounds[1:])
-                if j - i > 1
-            ]
-            a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-            b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-        rest = None
-        for batch in batches:  # rows come sorted by key and block; the last run may go on
-            rest = batch if rest is None else pd.concat([rest, batch])
-            last = (rest["key"] == rest["key"].iloc[-1]) & (rest["block"] == rest["block"].iloc[-1])
-            if not last.all():
-                yield of(rest[~last])
-                rest = rest[last]
-        if rest is not None and len(rest):
-            yield of(rest)
+        for part in _runs(batches, ["key", "block"]):
+            a, b = _forest(part["node"].to_numpy(), part["component"].to_numpy(), _words(part), least)
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return propose
 
 
+def leaving_open(least: float):
+    """Members of a block that may be linked with a member of another component."""
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _runs(batches, ["key", "block"]):
+            groups = part["component"].to_numpy()
+            near = (similarities(_words(part)) >= least) & (groups[:, None] != groups[None, :])
+            left = part[near.any(axis=1)]
+            if len(left):
+                yield left[["key", "block", "node", "component"]]
+
+    return leave
+
+
+def confirming(percent: int):
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _runs(batches, ["key", "block"]):
+            sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
+            a, b = _links(part["node"].to_numpy(), part["component"].to_numpy(), sets, percent)
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return confirm
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """Members (key, n, node, signature) of band buckets with two members or more. Buckets of the same
     members under several bands are kept once."""
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     sums = members.groupBy("key").agg(
         F.count("*").alias("n"),
+        F.sum("n_shingles").alias("shingles"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.sum(F.xxhash64("node", F.lit(1)) % F.lit(1 << 40)).alias("s"),
     )
-    once = sums.filter("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key"))
-    return written(members.join(once.select("key", "n"), "key"), "near-members").join(
+    once = sums.filter("n > 1").groupBy("n", "shingles", "x", "s").agg(F.min("key").alias("key"))
+    return written(members.join(once.select("key", "n", "shingles"), "key").drop("n_shingles"), "near-members").join(
         nodes.select("node", "signature"), "node"
     )
 
@@ -209,7 +267,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
     """Described rows and the confirmed links between different sets."""
     prepare(docs.sparkSession)
-    least, fine_least = percent / 100 - MARGIN, percent / 100 - FINE_MARGIN
+    least = percent / 100 - MARGIN
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "row", F.xxhash64("doc_id", "text")
     )
@@ -220,62 +278,78 @@ def near_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     nodes = written(
         rows.filter("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("row").alias("row"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"),
+        ),
         "near-nodes",
     )
     members = written(_buckets(nodes), "near-buckets")
     # Each block meets each other block of its bucket in a group of its own.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     paired = (
         members.withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("block", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
+        .select("key", "block", "node", "signature")
     )
     asked = members.select("node").distinct().join(nodes.select("node", "row"), "node")
     texts = written(
         base.select("row", "text").join(asked, "row").select("node", "text").dropDuplicates(["node"]), "near-texts"
     )
-    tested = links = placed = None
-    for rounds in range(2):
-        rows_now = paired.select("key", "block", "node", "signature")
-        if rounds == 0:
-            rows_now = rows_now.withColumn("component", F.col("node"))
-        else:
-            rows_now = rows_now.join(placed, "node", "left").withColumn(
-                "component", F.coalesce("component", "node")
-            )
-            open_ = (
-                rows_now.groupBy("key", "block")
-                .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-                .filter("_low <> _high")
-                .select("key", "block")
-            )
-            rows_now = written(rows_now.join(open_, ["key", "block"], "left_semi"), "near-open")
-            fine = rows_now.select("node").distinct().join(texts, "node")
-            fine = written(fine.select("node", refining(width)("text").alias("fine")), "near-fine")
-            rows_now = rows_now.join(fine, "node")
-        pairs = (
-            rows_now
-            .repartition("key", "block")
-            .sortWithinPartitions("key", "block")
-            .mapInPandas(proposing(least, fine_least), "a long, b long")
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        compared = written(
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", verdict(width, percent)("ta", "tb").alias("linked")),
-            "near-compared",
-        )
-        found = compared.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        tested = compared.select("a", "b")
-        placed = components(links)
-    return rows, placed
+    dealt = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block")
+    pairs = dealt(paired.withColumn("component", F.col("node"))).mapInPandas(proposing(least), "a long, b long").distinct()
+    compared = written(
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .select("a", "b", verdict(width, percent)("ta", "tb").alias("linked")),
+        "near-compared",
+    )
+    links = compared.filter("linked").select("a", "b")
+    placed = components(links)
+    # What these links leave apart is confirmed where it meets.
+    again = paired.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = (
+        again.groupBy("key", "block")
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        .filter("_low <> _high")
+        .select("key", "block")
+    )
+    again = written(again.join(open_, ["key", "block"], "left_semi"), "near-open")
+    left = dealt(again).mapInPandas(leaving_open(least), "key long, block long, node long, component long")
+    left = written(left, "near-left")
+    sets = left.select("node").distinct().join(texts, "node").select("node", shingling(width)("text").alias("shingles"))
+    found = dealt(left.join(written(sets, "near-sets"), "node")).mapInPandas(confirming(percent), "a long, b long")
+    return rows, components(links.union(written(found.distinct(), "near-found")))
+
+
+def _decided(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the hash ``row`` of a row's id and text, and whether that row stays for its
+    component: the one with the smallest id (nulls last), then the smallest hash."""
+    rows, placed = near_links(docs, width, percent, id_col, text_col)
+    placed = rows.filter("node is not null").select("node").distinct().join(placed, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    names = placed.join(rows.filter("node is not null").groupBy("node").agg(first), "node")
+    least = names.groupBy("component").agg(F.min("first").alias("least"))
+    named = names.join(least, "component").select(
+        "node", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("_stays")
+    )
+    named = written(named, "near-components")
+    out = (
+        rows.filter("node is not null")
+        .join(named, "node")
+        .select("doc_id", "row", "n_shingles", "component_id", (F.col("row") == F.col("_stays")).alias("stays"))
+    )
+    alone = rows.filter("node is null").select(
+        "doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")
+    )
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(
@@ -296,32 +370,28 @@ def near_duplicates(
 
     1. Documents with equal sets are one node. 2. Nodes that share a band meet in buckets, in blocks of
     bounded size. 3. Packed low bits of minima give estimates by bit counts; pairs under the threshold
-    less a margin are ruled out. 4. Pairs are confirmed on full sets: first a spanning forest per block,
-    then every remaining pair between different
-    components that longer signatures leave possible, so links are never lost to a cap.
+    less a margin are ruled out. 4. A spanning forest of each block is confirmed on full sets. 5. Members
+    that may still be linked with another component bring their sets to their block, where all of them are
+    compared exactly; a block hands on a spanning forest of what it confirms. There is no table of pairs and
+    no cap.
     """
-    rows, placed = near_links(docs, width, percent, id_col, text_col)
-    placed = rows.filter("node is not null").select("node").distinct().join(placed, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
-    names = placed.join(ids, "node")
-    least = names.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(names.join(least, "component").select("node", "component_id"), "near-components")
-    out = rows.filter("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    out = out.union(rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _decided(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the smallest id), with all its columns; of repeated rows one."""
+    """One document of each component, with all its columns: the smallest id, then the smallest hash of id and text.
+
+    Rows are told apart by id and text, so different texts under one id (or without an id) are only dropped
+    if they are linked. Texts without words are linked with nothing and stay. Of rows that agree in id and text one
+    stays (by the hash of their other columns).
+    """
     kept = (
-        near_duplicates(docs, width, percent, id_col, text_col)
-        .filter("kept")
-        .groupBy(F.col("doc_id").alias("_kept_id"))
+        _decided(docs, width, percent, id_col, text_col)
+        .filter("stays")
+        .groupBy(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
         .agg(F.count("*").alias("_rows"))
     )
-    stay = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")))
-    once = stay.filter("_rows = 1").select(*[docs[c] for c in docs.columns])
-    more = stay.filter("_rows > 1").select(*[docs[c] for c in docs.columns])
-    return once.union(more.dropDuplicates([id_col]))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    rows = docs.select(whole, docs[id_col].alias("_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row") == F.col("_kept_row"))
+    return one_of_each(rows.join(kept, same), ["_kept_id", "_kept_row"], docs.columns, text_col)

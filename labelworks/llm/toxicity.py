@@ -18,7 +18,6 @@ from labelworks.llm.common import prepare
 
 TOXIC_ROWS = 2_000  # most labelled rows of each kind that the model is fitted on
 ORDINARY_ROWS = 4_000
-TRAINING_CHARACTERS = 16_000  # labelled texts longer than this are not used for fitting
 ORDINARY_BYTES = 8 * 1024
 TOXIC_BYTES = 2 * 1024
 WINDOW_BYTES = 40  # a word's first bytes; the rest of a longer word is windows of its own
@@ -208,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a model on a bounded sample of labelled rows outside the held-out fifth.
 
     The sample is the ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows of each kind with the smallest
-    hashes of their ids, less texts of more than ``TRAINING_CHARACTERS`` characters. Null labels, ids
-    and texts are not learned from.
+    hashes of their ids; their texts are used whole. Of several texts with one id the smallest is learned
+    from. Null labels, ids and texts are not learned from.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))
@@ -223,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.col(text_col)
     found = (
         docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-        .filter(text.isNotNull() & (F.length(text) <= TRAINING_CHARACTERS))
+        .filter(text.isNotNull())
         .join(F.broadcast(chosen), "_id")  # at most TOXIC_ROWS + ORDINARY_ROWS ids
-        .dropDuplicates(["_id"])
+        .groupBy("_id", "_y")
+        .agg(F.min("_text").alias("_text"))
         .collect()
     )
     found.sort(key=lambda r: (fixed_order(r._id), str(r._id)))
