@@ -1,24 +1,24 @@
 """Labeling items step by step with a pluggable labeler.
 
-A codebook becomes a few steps (driver metadata); each step adds columns to the items, so any number
-of steps is one pass over the items. The labeler is a plug point: recorded responses, or a user
+A codebook becomes a few steps (``library.codebook_steps``); each step adds columns to the items, so any
+number of steps is one pass over the items. The labeler is a plug point: recorded responses, or a user
 function over pandas batches. Everything works on batches and on streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.answers import is_binary, options, parse_answer, parse_label_set
 from ..functions.names import gate_key, text_or_blank
 from ..functions.texts import model_input
 from ..operators.metrics import multilabel_metrics
-from .prompts import dimension_prompt, gated_prompt
 
 # Gate answers after which no further step runs.
 STOP_VALUES = ["no", "n/a", "none"]
@@ -40,53 +40,6 @@ class Step:
     derived: list[tuple[str, str, dict[str, str]]] = field(default_factory=list)
 
 
-def steps_of(codebook: dict, few_shot: bool = False) -> list[Step]:
-    """One step per dimension of a codebook object, in an order that respects dependencies."""
-    steps = []
-    for d in codebook.get("dimensions", []):
-        if d.get("derived_from"):
-            continue
-        labels = d.get("labels", [])
-        path = {x["name"]: [p for p in x.get("path") or [] if str(p).strip()] for x in labels}
-        step = Step(
-            name=d["name"],
-            dims=[d["name"]],
-            labels={d["name"]: [x["name"] for x in labels]},
-            prompt=dimension_prompt(d, few_shot),
-            context_from=list(d.get("context_dims") or []),
-        )
-        if d.get("gated_by"):
-            step.gate_by = d["gated_by"]
-            for value in dict.fromkeys((x.get("path") or [""])[0] for x in labels):
-                if value:
-                    here = [x for x in labels if (x.get("path") or [""])[0] == value]
-                    step.gated_labels[value] = [x["name"] for x in here]
-                    step.gated_prompts[value] = gated_prompt(d, value, here, few_shot)
-        leaf_category = {n: p[-1] for n, p in path.items() if len(p) > 1}
-        if d.get("category_dimension") and leaf_category:
-            step.derived.append((d["category_dimension"], d["name"], leaf_category))
-        steps.append(step)
-    return order_steps(steps)
-
-
-def order_steps(steps: list[Step]) -> list[Step]:
-    """Each step after its gate and context sources; what cannot be placed keeps its order."""
-    names = {s.name for s in steps}
-    needs = {s.name: {d for d in [s.gate_by, *s.context_from] if d in names} for s in steps}
-    placed: list[Step] = []
-    waiting = list(steps)
-    while waiting:
-        ready: list[Step] = []
-        for s in waiting:
-            if needs[s.name] <= {p.name for p in placed + ready}:
-                ready.append(s)
-        if not ready:
-            break
-        placed += ready
-        waiting = [s for s in waiting if s not in ready]
-    return placed + waiting
-
-
 # ---- gated options and derived labels on tables ----------------------------------------------
 
 
@@ -149,14 +102,17 @@ def recorded(responses: DataFrame, key: str = "item_id") -> Labeler:
     entries = F.map_from_entries(F.collect_list(F.struct("step_order", "answer")))
     per_item = one.groupBy(key).agg(entries.alias("_recorded"))
 
+    def joined(df: DataFrame) -> DataFrame:
+        return df if "_recorded" in df.columns else df.join(per_item, key, "left")
+
     def call(df: DataFrame, step: int, prompt: Column, text: Column, active: Column) -> DataFrame:
-        if "_recorded" not in df.columns:
-            df = df.join(per_item, key, "left")
+        df = joined(df)
         hit = F.try_element_at("_recorded", F.lit(step))
         return df.withColumn("_response", F.when(active, hit["response"])).withColumn(
             "_tokens", F.when(active, hit["tokens"])
         )
 
+    call.joined = joined
     return call
 
 
@@ -164,7 +120,8 @@ def pandas_labeler(
     fn: Callable[[pd.DataFrame], pd.DataFrame], parallelism: int | None = None
 ) -> Labeler:
     """A user function over pandas batches with columns ``prompt`` and ``input``; it returns
-    ``response`` and ``tokens`` for the same rows. ``parallelism`` caps the tasks that call it.
+    ``response`` and ``tokens`` for the same rows. ``parallelism`` caps the tasks that call it. Only these two
+    columns go to Python.
 
     Rows that are gated out never reach the function. When it raises for a batch, its halves
     are tried in turn, so only the rows that fail themselves are marked as failed.
@@ -182,27 +139,24 @@ def pandas_labeler(
             half = len(batch) // 2
             return pd.concat([safe(batch.iloc[:half]), safe(batch.iloc[half:])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
-            todo = batch[batch["_active"].astype(bool)]
-            got = (
-                safe(todo[["_prompt", "_input"]].rename(columns={"_prompt": "prompt", "_input": "input"}))
-                if len(todo)
-                else pd.DataFrame({"response": [], "tokens": []})
-            )
-            batch["_response"] = got["response"].reindex(batch.index).astype(object)
-            batch["_response"] = batch["_response"].where(batch["_response"].notna(), None)
-            batch["_tokens"] = pd.to_numeric(got["tokens"].reindex(batch.index)).astype("Int64")
-            yield batch.drop(columns=["_active", "_prompt", "_input"])
+    def asked(active: pd.Series, prompt: pd.Series, text: pd.Series) -> pd.DataFrame:
+        todo = pd.DataFrame({"prompt": prompt, "input": text})[active.fillna(False).astype(bool)]
+        got = safe(todo.reset_index(drop=True)) if len(todo) else pd.DataFrame({"response": [], "tokens": []})
+        out = pd.DataFrame({"response": None, "tokens": pd.array([None] * len(active), "Int64")}, index=active.index)
+        said = got["response"].astype(object)
+        out.loc[todo.index, "response"] = said.where(said.notna(), None).to_numpy()
+        out.loc[todo.index, "tokens"] = pd.to_numeric(got["tokens"]).astype("Int64").to_numpy()
+        return out
+
+    # a call may be dear: the optimizer must not repeat it where its answer is used twice
+    ask = F.pandas_udf(asked, StructType([StructField("response", StringType()), StructField("tokens", LongType())]))
+    ask = ask.asNondeterministic()
 
     def call(df: DataFrame, step: int, prompt: Column, text: Column, active: Column) -> DataFrame:
         if parallelism is not None and step == 0:
             df = df.repartition(parallelism)
-        kept = [c for c in df.columns]
-        rows = df.select(*kept, active.alias("_active"), prompt.alias("_prompt"), text.alias("_input"))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return rows.mapInPandas(run, f"{fields}, _response string, _tokens bigint")
+        df = df.withColumn("_call", ask(active, prompt, text))
+        return df.withColumns({"_response": F.col("_call.response"), "_tokens": F.col("_call.tokens")}).drop("_call")
 
     return call
 

@@ -4,7 +4,8 @@ import pytest
 
 from labelworks.operators import codebooks as C
 from labelworks.plans import labeling as P
-from labelworks.plans.prompts import dimension_prompt, prompt_table
+from labelworks.plans import library as L
+from labelworks.plans.prompts import prompt_table, step_prompts
 from labelworks.sources.sheets import codebook_tables
 
 import json
@@ -55,8 +56,12 @@ def gated_book():
     ]}
 
 
-def test_steps():
-    steps = P.steps_of(gated_book())
+def tables(spark, book):
+    return codebook_tables(spark.createDataFrame([("b", json.dumps(book))], "codebook_id string, body string"))
+
+
+def test_steps(spark):
+    steps = L.codebook_steps(spark, gated_book())
     assert [s.name for s in steps] == ["Level", "Topic", "Category"]
     topic = steps[1]
     assert topic.gated_labels == {"High": ["Work"], "Low": ["Play", "Work"]}
@@ -64,37 +69,90 @@ def test_steps():
     assert steps[2].context_from == ["Topic"]
 
 
-def test_prompt_texts_agree(spark):
-    book = gated_book()
-    book["dimensions"] += BOOK["dimensions"] + [{"name": "Is it", "type": "binary", "labels": [{"name": "Yes, a", "examples": ["e1", " ", "e3"]}, {"name": "No label"}]}]
-    for few in (False, True):
-        dims, labels = codebook_tables(spark.createDataFrame([("b", json.dumps(book))], "codebook_id string, body string"))
-        got = {(r["dim"], r["gate_value"]): r["prompt"] for r in prompt_table(dims, labels, few).collect()}
-        want = {}
-        for s in P.steps_of(book, few):
-            want[s.name, None] = s.prompt
-            want.update({(s.name, v): t for v, t in s.gated_prompts.items()})
-        assert got == want
-        assert any("## Examples" in p for p in got.values()) == few
-
+def test_step_order_of_circles_and_chains(spark):
+    rows = [
+        # a chain against the order of the codebook: a turn each
+        ("chain", "a", 0, "b", []), ("chain", "b", 1, "c", []), ("chain", "c", 2, "", ["nowhere"]),
+        # with the order: all in the first turn
+        ("along", "a", 0, "", []), ("along", "b", 1, "a", []), ("along", "c", 2, "a", ["b", "a"]),
+        # b and c wait for each other, d for b, e for itself; all last, by place
+        ("circle", "b", 0, "c", []), ("circle", "c", 1, "b", []), ("circle", "d", 2, "", ["b"]), ("circle", "e", 3, "e", []), ("circle", "a", 4, None, None),
+        (None, "x", 0, "y", []), (None, "y", 1, "", []),
+    ]
+    dims = spark.createDataFrame([(*r, None) for r in rows], "codebook_id string, dim string, sort_order bigint, gated_by string, context_dims array<string>, derived_from string")
+    got = {}
+    for r in L.step_order(dims).orderBy("step_order").collect():
+        got.setdefault(r["codebook_id"], []).append(r["dim"])
+    assert got == {"chain": ["c", "b", "a"], "along": ["a", "b", "c"], "circle": ["a", "b", "c", "d", "e"], None: ["y", "x"]}
+    assert L.step_order(dims.limit(0)).count() == 0
+
+
+def test_prompt_texts(spark):
+    book = {"dimensions": [
+        {"name": "Mood", "gated_by": "Level", "instructions": "Read twice.", "labels": [
+            {"name": "Glad", "path": ["High", "Warm"], "definition": "g", "examples": ["e1", " ", "e3"]}, {"name": "No label", "path": ["High"]}, {"name": "Sad", "path": ["Low"]}]},
+        {"name": "Is it", "type": "binary", "labels": [{"name": "Yes, a"}, {"name": "Not"}]},
+    ]}
+    got = {(r["dim"], r["gate_value"]): r["prompt"] for r in prompt_table(*tables(spark, book), True).collect()}
+    rule = 'If none of the substantive labels apply to the input, use "No label". Do not force a substantive label just because the output format requires an answer.'
+    head = "You will receive a sentence (and optional context). Classify it using EXACTLY ONE of these labels:\n"
+    end = "\n## Output Format\nThink step-by-step, then write your final answer as:\nAnswer: "
+    assert got["Mood", "High"] == (
+        'You are an expert annotator classifying text on the dimension "Mood".\n\n' + head
+        + '"Glad", "No label"\n\n## Label Definitions\n- Warm:\n  - **Glad**: g\n- **No label**:\n'
+        + '\n## Additional Instructions\nYou already determined Level = "High". Choose the single best label below; only these apply at this Level value. Read twice.\n'
+        + rule + "\n" + end + '<one of "Glad", "No label">\n\n## Examples\nSentence: "e1"\nAnswer: Glad\n'
+    )
+    assert got["Is it", None] == (
+        'You are an expert annotator classifying text on the dimension "Is it".\n\n' + head
+        + '"Yes, a", "Not"\n\n## Label Definitions\n- **Yes, a**: \n- **Not**: \n' + end + "<Yes label or No label>\n"
+    )
+    assert set(got) == {("Mood", None), ("Mood", "High"), ("Mood", "Low"), ("Is it", None)}
 
-def test_step_prompt():
-    from labelworks.plans.prompts import step_prompt
 
-    dims = gated_book()["dimensions"][1:3]
-    text = step_prompt(dims, "both")
-    assert text.startswith('You are an expert annotator performing step "both". Classify')
+def test_step_prompts(spark):
+    dims, labels = tables(spark, gated_book())
+    rows = [("b", "both", "Topic", 0), ("b", "both", "Level", 1), ("b", "one", "Level", 0)]
+    steps = spark.createDataFrame(rows, "codebook_id string, step string, dim string, pos int")
+    got = {r["step"]: r["prompt"] for r in step_prompts(dims, labels, steps).collect()}
+    text = got["both"]
+    assert text.startswith('You are an expert annotator performing step "both". Classify the input text on the following 2 dimensions.')
     assert text.endswith("Topic: <label>\nLevel: <label>")
     assert '### Level\nLabels: "High", "Low"\n  - **High**: ' in text
+    assert got["one"] == next(r["prompt"] for r in prompt_table(dims, labels).collect() if r["dim"] == "Level")
 
 
-def test_no_label_rule():
-    text = dimension_prompt({"name": "T", "labels": [{"name": "A"}, {"name": "B"}, {"name": "No label"}]})
-    assert 'use "No label"' in text and "none of the substantive labels apply" in text
+def test_library_asks_the_prompt_of_the_gate(spark):
+    """Prompts and inputs of two codebooks in one job, through a user function."""
+    other = {"dimensions": [{"name": "Only", "labels": [{"name": "A"}, {"name": "B"}]}]}
+    books = [("b", json.dumps(gated_book())), ("o", json.dumps(other))]
+    plan = L.labeling_plan(*codebook_tables(spark.createDataFrame(books, "codebook_id string, body string")))
+
+    def fn(batch):
+        said = []
+        for p, t in zip(batch["prompt"], batch["input"]):
+            if '"Level"' in p.split("\n")[0]:
+                said.append("Answer: High" if "one" in t else "Answer: Low")
+            elif "Only" in p:
+                said.append(None if "two" in t else "Answer: B")
+            else:
+                said.append(f"Answer: {'Work' if 'Work' in p else 'Life'}|{'High' in p}|{t[-30:]}")
+        return batch.assign(response=said, tokens=3)[["response", "tokens"]]
+
+    rows = [(1, "b", "one", ""), (2, "b", "two", ""), (3, "o", "three", ""), (4, "o", "two", ""), (5, "none", "x", ""), (6, None, "x", "")]
+    items = spark.createDataFrame(rows, "item_id bigint, codebook_id string, content string, context string")
+    out = L.annotate_library(items, plan, P.pandas_labeler(fn)).collect()
+    got = {(r["item_id"], r["dimension"]): r["label"] for r in out}
+    said = {(r["item_id"], r["dimension"]): r["reasoning"] for r in out}
+    assert got[1, "Level"] == "High" and got[2, "Level"] == "Low" and got[3, "Only"] == "B"
+    assert got[1, "Topic"] == "Work" and said[1, "Topic"].startswith("Answer: Work|True|")
+    assert got[2, "Topic"] == "Work" and said[2, "Topic"].startswith("Answer: Work|False|")
+    assert said[2, "Category"].endswith("determined: Topic = Work."[-30:])
+    assert {r["item_id"]: (r["ok"], r["tokens"]) for r in out} == {1: (True, 3), 2: (True, 3), 3: (True, 3), 4: (False, 0)}
 
 
 def test_annotate_gates_and_failures(spark):
-    steps = P.steps_of(gated_book())
+    steps = L.codebook_steps(spark, gated_book())
     steps[0].gate = "Level"
     items = spark.createDataFrame([(1, "a", ""), (2, "b", ""), (3, "c", "")], "item_id bigint, content string, context string")
     said = [(1, 0, "Answer: high", 4), (1, 1, "work", 4), (1, 2, "Answer: Life", 3), (2, 0, "Answer: none", 5), (3, 0, "Answer: Low", 5), (3, 1, None, 9)]
