@@ -227,19 +227,19 @@ def plain_trie(rows):
     }
 
 
-@pytest.mark.parametrize("block, fan, chunk", [(4, 64, 12), (2, 2, 1), (3, 4, 0)])
+@pytest.mark.parametrize("block, fan, chunk", [(4, 64, 12), (2, 3, 1)])
 def test_trie_against_brute_force(spark, monkeypatch, block, fan, chunk):
     """Small blocks and links give several levels of the digest chain and several rounds of sums."""
     for name, value in (("BLOCK", block), ("FAN", fan), ("CHUNK_BITS", chunk)):
         monkeypatch.setattr(conversations, name, value)
     rng = random.Random(block)
     rows = []
-    for c in range(120):
+    for c in range(60):
         for t in range(rng.choice([1, 2, 3, 8, 20])):
             text = rng.choice(["a", "é", "long text", "", None])
             rows.append((c, rng.choice([t, t, t, None, 3]), rng.choice(["user", None, ""]), text))
     rows += [r for r in rows if r[0] in (7, 8)]
-    rows += [(200 + c, t, "user", f"t{t if t < 60 else (t, c)}") for c in range(6) for t in range(75)]
+    rows += [(200 + c, t, "user", f"t{t if t < 30 else (t, c)}") for c in range(4) for t in range(40)]
     rows += [(None, 1, "user", "x"), (-7, 1, "user", "a"), (-5, 1, "user", "a"), (-11, 2, None, None)]
     data = spark.createDataFrame([(*r, 1, "k") for r in rows], TURNS)
     got = [tuple(r) for r in conversations.prefix_trie(data).collect()]
@@ -249,7 +249,7 @@ def test_trie_against_brute_force(spark, monkeypatch, block, fan, chunk):
 
 def test_trie_of_one_long_conversation(spark):
     """A conversation of many blocks takes several links of the chain."""
-    rows = [(5, t, "user", f"turn {t}") for t in range(1500)] + [(6, t, "user", f"turn {t}") for t in range(1490)]
+    rows = [(5, t, "user", f"turn {t}") for t in range(600)] + [(6, t, "user", f"turn {t}") for t in range(590)]
     data = spark.createDataFrame([(*r, 1, "k") for r in rows], TURNS)
     got = {tuple(r) for r in conversations.prefix_trie(data).collect()}
     assert got == plain_trie(rows)
