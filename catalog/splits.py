@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from labelworks.operators import joins as J
 from labelworks.operators import splits as P
+from labelworks.operators.rank import running_total
+from labelworks.scratch import stored
 
 from . import sql as S
 from .registry import query
@@ -165,9 +167,8 @@ def _overlap(spark, d):
     "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|4'), doc_id) AS rank FROM documents",
 )
 def _order(spark, d):
-    """The rank of the seeded order, computed in parallel buckets."""
-    from labelworks.operators.rank import bucketed_rank, shuffle_key
-
-    rows = table(spark, d, "documents").select("doc_id").withColumn("o", shuffle_key(F.col("doc_id"), 4))
-    return bucketed_rank(rows, [], "o", ["doc_id"]).select("doc_id", "rank")
-
+    """The place of each row in the seeded order, counted partition by partition of the sorted rows."""
+    rows = P.seeded_order(table(spark, d, "documents").select("doc_id"), "doc_id", 4)
+    placed = stored(rows.withColumn("at", F.monotonically_increasing_id()), "seeded-order")
+    ranked = running_total(placed, [], "at", [], bucket=F.shiftright("at", 33))
+    return ranked.select("doc_id", (F.col("before") + 1).alias("rank"))

@@ -62,16 +62,18 @@ def _buckets(patterns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _first_level(buckets: DataFrame, keys: list[str], iters: int, seed: int) -> DataFrame:
-    """(keys, bucket, start, draws): for the replicates from ``start`` on, the items that fall into a bucket.
+    """(keys, n, bucket, start, draws): for the replicates from ``start`` on, the items that fall into a bucket, of n.
 
     A row of totals stands for thousand times as many patterns; the more buckets, the fewer replicates are
     drawn at once.
     """
-    totals = buckets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "total"))).alias("totals"))
+    totals = buckets.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "total"))).alias("totals"), F.sum("total").alias("n")
+    )
     step = F.greatest(F.lit(1), F.least(F.lit(REPLICATES_PER_TASK_ROW), F.expr(f"{DRAWS_PER_ROW} div size(totals)")))
     # groups draw apart from each other: the key is part of the seed
     own = F.crc32(F.to_json(F.struct(*keys)).cast("binary"))
-    blocks = totals.select(*keys, "totals", own.cast("bigint").alias("own"), step.cast("int").alias("step")).select(
+    blocks = totals.select(*keys, "n", "totals", own.cast("bigint").alias("own"), step.cast("int").alias("step")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(iters - 1), F.col("step"))).alias("start")
     )
 
@@ -85,10 +87,11 @@ def _first_level(buckets: DataFrame, keys: list[str], iters: int, seed: int) ->
         return pd.Series(out)
 
     drawn = blocks.repartition(*keys, "start").select(
-        *keys, "own", "start", "totals", draw("totals", "own", "start", "step").alias("_draws")
+        *keys, "n", "own", "start", "totals", draw("totals", "own", "start", "step").alias("_draws")
     )
     return drawn.select(
         *keys,
+        "n",
         "own",
         "start",
         F.inline(F.zip_with("totals", "_draws", lambda t, d: F.struct(t["bucket"].alias("bucket"), d.alias("draws")))),
@@ -96,7 +99,8 @@ def _first_level(buckets: DataFrame, keys: list[str], iters: int, seed: int) ->
 
 
 def _replicates(patterns: DataFrame, keys: list[str], iters: int, seed: int, sums: int) -> DataFrame:
-    """One row per (keys, replicate) with ``sums``: the redrawn sums of the first ``sums`` numbers of a pattern.
+    """One row per (keys, replicate) with n and s0, s1, ...: the redrawn sums of the first ``sums`` numbers of a
+    pattern.
 
     Second level: each bucket spreads its items over its own patterns in a task of its own; only the sums of
     a bucket and replicate leave it.
@@ -120,10 +124,10 @@ def _replicates(patterns: DataFrame, keys: list[str], iters: int, seed: int, sum
         return pd.Series(out)
 
     spreads = tasks.select(
-        *keys, "start", F.posexplode(spread("rows", "own", "bucket", "start", "draws")).alias("_at", "_sums")
+        *keys, "n", "start", F.posexplode(spread("rows", "own", "bucket", "start", "draws")).alias("_at", "_sums")
     )
     return spreads.groupBy(*keys, (F.col("start") + F.col("_at")).alias("replicate")).agg(
-        *[F.sum(F.get("_sums", F.lit(i))).alias(f"s{i}") for i in range(sums)]
+        F.first("n").alias("n"), *[F.sum(F.get("_sums", F.lit(i))).alias(f"s{i}") for i in range(sums)]
     )
 
 
@@ -135,7 +139,7 @@ def _interval(
     shown = list(keys)
     patterns, keys = _grouped(patterns, keys)
     points = patterns.groupBy(*keys).agg(point.alias("point"), F.sum("m").alias("n"))
-    drawn = join_safely(_replicates(patterns, keys, iters, seed, sums), points.select(*keys, "n"), keys)
+    drawn = _replicates(patterns, keys, iters, seed, sums)
     ordered = F.array_sort(F.collect_list("delta"))  # exactly ``iters`` numbers per group
     bounds = (
         drawn.select(*keys, delta.alias("delta"))
