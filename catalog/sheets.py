@@ -168,6 +168,52 @@ def _items_json(spark, d):
     )
 
 
+@query(
+    "items_from_csv",
+    S.with_(
+        "sheet",
+        f"""
+WITH q AS (SELECT *, {S.trim_("conv_id || ' ' || quote")} AS content FROM sheet WHERE quote <> ''),
+firsts AS (SELECT conv_id, content, min(turn) AS turn FROM q GROUP BY ALL),
+lv AS (SELECT conv_id, content, theme, level, min(turn) AS first_at FROM q WHERE theme <> '' AND level <> '' GROUP BY ALL),
+th AS (SELECT conv_id, content, theme AS dimension, CASE WHEN count(*) = 1 THEN min(level) ELSE '[' || string_agg('"' || level || '"', ',' ORDER BY first_at) || ']' END AS value FROM lv GROUP BY ALL),
+tp AS (SELECT conv_id, content, 'Topic' AS dimension, min_by(topic, turn) AS value FROM q WHERE topic <> '' GROUP BY ALL),
+g AS (SELECT conv_id, content, string_agg(dimension || '=' || value, ';' ORDER BY dimension) AS gold FROM (SELECT * FROM th UNION ALL SELECT * FROM tp) GROUP BY ALL)
+SELECT 'sheet' AS layout, f.conv_id::VARCHAR AS conv_id, f.turn::VARCHAR AS turn, row_number() OVER (PARTITION BY f.conv_id ORDER BY f.turn) - 1 AS idx,
+   md5(f.content) AS content, '' AS context, coalesce(g.gold, '') AS gold FROM firsts f LEFT JOIN g USING (conv_id, content)
+UNION ALL SELECT 'plain', conv_id::VARCHAR, turn::VARCHAR, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, md5(text), role,
+   CASE turn % 3 WHEN 0 THEN 'Theme=lab' || conv_id % 5 WHEN 1 THEN '' ELSE 'Late=yes' END FROM conversations""",
+    ),
+)
+def _items_csv(spark, d):
+    """Writes all conversations as coder sheets and as plain items, and reads both back from one folder."""
+    path = new_path(spark, "items-csv")
+    s = sheet(spark, d)
+    marked = F.concat(F.col("conv_id").cast("string"), F.lit(" "), "quote")
+    quoted = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"'), marked, F.lit('"'))).otherwise(marked)
+    coder = s.select(
+        "role", F.col("level").alias("Label"), F.when(F.col("quote") != "", quoted).otherwise("").alias("Relevant quotes"),
+        F.col("theme").alias("Coding theme"), F.col("topic").alias("Topic"), "turn", "conv_id",
+    )
+    lab = F.concat(F.lit('{"Theme": "lab'), (F.col("conv_id") % 5).cast("string"), F.lit('"}'))
+    plain = table(spark, d, "conversations").select(
+        "conv_id", F.col("role").alias("context"), pick(F.col("turn") % 3, lab, "[not an object]", "").alias("gold_labels"),
+        "turn", F.when(F.col("turn") % 3 == 2, '{"Late": "yes"}').otherwise("").alias("labels"), "text",
+    )
+    for name, rows in (("sheet", coder), ("plain", plain)):
+        whole = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+        whole.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/{name}")
+    out = H.read_items_csv(spark, f"{path}/*")
+    layout = F.regexp_extract("file", "/(sheet|plain)/[^/]*$", 1)
+    gold = F.transform(F.map_entries("gold"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    rows = out.select(
+        layout.alias("layout"), F.col("metadata")["conv_id"].alias("conv_id"), F.col("metadata")["turn"].alias("turn"),
+        "idx", F.md5("content").alias("content"), "context", F.array_join(F.array_sort(gold), ";").alias("gold"),
+    )
+    first = rows.groupBy("layout", "conv_id").agg(F.min("idx").alias("first"))
+    return rows.join(first, ["layout", "conv_id"]).withColumn("idx", F.col("idx") - F.col("first")).drop("first")
+
+
 @query(
     "text_lengths",
     """

@@ -76,6 +76,26 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert got == [("a", "T", "L", "q1", "", ""), ("a", "Theme", "Level", "Quote", "", ""), ("b", "U", "", "q2", "e", ""), ("c", "", "", "", "", "299")]
 
 
+def test_items_csv_takes_each_file_by_its_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('sentence,gold_labels,labels,context\n" hello","{""Theme"": ""Level A""}",,before\n,,,\nbye,no object,"{""T"": [""a"", ""b""]}",\nend,,"{""T"": ""x""}",\n')
+    (tmp_path / "b.csv").write_text("#,User,x\n,Dimension,Label,Response,n,n\n1,T,L,q1,u,v\n2,T,M,\"\"\"q1\"\"\",w,w\n3,,,q2,,\n")
+    (tmp_path / "c.csv").write_text("id,note,id\n1,short,2\n3,a text of many letters,4\n")
+    (tmp_path / "d.csv").write_text("sentence,Theme\n")
+    (tmp_path / "e.csv").write_text("")
+    rows = H.read_items_csv(spark, str(tmp_path)).collect()
+    got = {(r["file"][-5], r["idx"]): (r["content"], r["context"], r["metadata"], r["gold"]) for r in rows}
+    assert len(got) == len(rows) == 7
+    assert got["a", 0] == (" hello", "before", {"gold_labels": '{"Theme": "Level A"}', "labels": ""}, {"Theme": "Level A"})
+    assert got["a", 1][0] == "bye" and got["a", 1][3] == {}
+    assert got["a", 2][3] == {"T": "x"}
+    assert got["b", 0] == ("q1", "", {"col0": "1", "n": "u", "n_1": "v"}, {"T": '["L","M"]'})
+    assert got["b", 1][0] == "q2" and got["b", 1][3] == {}
+    assert got["c", 0] == ("1", "", {"note": "short", "id_1": "2"}, {})
+    assert got["c", 1] == ("a text of many letters", "", {"id": "3", "id_1": "4"}, {})
+    only = H.read_items_csv(spark, [str(tmp_path / "d.csv"), str(tmp_path / "e.csv")])
+    assert only.count() == 0 and only.columns == ["file", "idx", "content", "context", "metadata", "gold"]
+
+
 def test_content_field_is_text(spark):
     body = json.dumps([{"id": 123456789012, "note": "long enough to be text"}, {"id": 5}])
     df = spark.createDataFrame([("f", body)], "file string, value string")
