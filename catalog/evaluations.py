@@ -441,42 +441,51 @@ def _best(spark, d):
 
 # ---- leaks -----------------------------------------------------------------------------------
 
-_HITS = f"""
-ex AS (SELECT item_id AS source_id, CASE item_id % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split,
-   {S.trim_("CASE WHEN item_id % 10 = 9 THEN left(text, 12) ELSE text END")} AS sentence FROM benchmark),
-hits AS (SELECT d.doc_id AS prompt_id, ex.source_id, ex.split, left(ex.sentence, 120) AS sample FROM documents d JOIN ex
+_EXAMPLES = f"""
+cuts AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split, text FROM benchmark
+   UNION ALL SELECT item_id, 'short', left(text, 12) FROM benchmark),
+ex AS (SELECT item_id AS source_id, split, {S.trim_("text")} AS sentence FROM cuts)"""
+_OPENINGS = _EXAMPLES.replace("left(text, 12) FROM benchmark", "left(text, 12) FROM benchmark UNION ALL SELECT item_id, 'opening', left(text, 24) FROM benchmark")
+_FOUND = """
+hits AS (SELECT d.doc_id AS prompt_id, ex.source_id, ex.split, ex.sentence AS sample FROM documents d JOIN ex
    ON length(ex.sentence) >= 20 AND contains(lower(d.text), lower(ex.sentence)))"""
 
 
-def _leak_inputs(spark, d):
+def _leak_inputs(spark, d, openings=False):
+    """Whole benchmark texts against whole documents; beside them cuts that are too short to check, and openings
+    that hold few words or none between their ends."""
     b = table(spark, d, "benchmark")
-    ex = b.select(
-        F.col("item_id").alias("source_id"),
-        pick(F.col("item_id") % 3, "val", "test", "train").alias("split"),
-        F.when(F.col("item_id") % 10 == 9, F.substring("text", 1, 12)).otherwise(F.col("text")).alias("sentence"),
-    )
+    split = pick(F.col("item_id") % 3, "val", "test", "train")
+    cuts = [(split, F.col("text")), (F.lit("short"), F.substring("text", 1, 12))]
+    if openings:
+        cuts.append((F.lit("opening"), F.substring("text", 1, 24)))
+    rows = F.array(*[F.struct(s.alias("split"), t.alias("sentence")) for s, t in cuts])
+    ex = b.select(F.col("item_id").alias("source_id"), F.inline(rows))
     prompts = table(spark, d, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
     return prompts, ex
 
 
-@query("leaked_examples", f"WITH {_HITS} SELECT prompt_id, source_id, split, md5(sample) AS sample FROM hits")
+@query(
+    "leaked_examples",
+    f"WITH {_OPENINGS}, {_FOUND} SELECT prompt_id, source_id, split, md5(sample) AS sample FROM hits",
+)
 def _leaks(spark, d):
-    return K.leaked_examples(*_leak_inputs(spark, d), sample_characters=120).withColumn("sample", F.md5("sample"))
+    return K.leaked_examples(*_leak_inputs(spark, d, openings=True)).withColumn("sample", F.md5("sample"))
 
 
 @query(
     "leak_audit",
-    f"WITH {_HITS} SELECT prompt_id, split, count(*) AS leaks, md5(min_by(sample, source_id)) AS first_sample FROM hits GROUP BY ALL",
+    f"WITH {_EXAMPLES}, {_FOUND} SELECT prompt_id, split, count(*) AS leaks, md5(min_by(sample, source_id)) AS first_sample FROM hits GROUP BY ALL",
 )
 def leak_audit(spark, d):
-    return K.leak_audit(*_leak_inputs(spark, d), sample_characters=120).select(
+    return K.leak_audit(*_leak_inputs(spark, d)).select(
         "prompt_id", "split", "leaks", F.md5(F.get("samples", F.lit(0))).alias("first_sample")
     )
 
 
 @query(
     "leak_audit_coverage",
-    f"WITH {_HITS} SELECT split, count(*) AS checked, count(*) FILTER (length(sentence) < 20) AS skipped_short FROM ex GROUP BY split",
+    f"WITH {_EXAMPLES} SELECT split, count(*) AS checked, count(*) FILTER (length(sentence) < 20) AS skipped_short FROM ex GROUP BY split",
 )
 def _coverage(spark, d):
     return K.audit_coverage(_leak_inputs(spark, d)[1])

@@ -1,14 +1,17 @@
 """Which example sentences occur inside longer texts (prompts), ignoring case.
 
-A plain "contains" join compares every text with every sentence. Here a sentence is looked up by
-one anchor: three whole words from its inside, which must then stand as whole words in any text
-that contains it. Texts are reduced to hashes of their word triples, both sides meet in one
-equi-join, and only the pairs found there are compared as text. Sentences with too few words inside
-use their first characters as anchor instead. Both ways are exact.
+A plain "contains" join compares every text with every sentence. Here both sides are reduced to the
+minimizers of their windows: of every few neighbouring hashes only the smallest is kept. A sentence
+that stands in a prompt brings all its windows along, so the smallest hash of any of them is also
+kept for the prompt, and both meet in one equi-join on far fewer rows than there are words. Hashes are
+those of three whole words from inside a sentence; sentences with fewer words inside meet by runs of
+characters instead. Only the pairs found there are compared as text, and both ways are exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..scratch import stored
 from .rank import first_rows
 
 ANCHOR_WORDS = 3
+WINDOW = 8  # neighbouring hashes of which the smallest is kept; a power of two
 _WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -37,7 +41,7 @@ def _mix(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def _windows(chars: str, size: int) -> Column:
+def _runs(chars: str, size: int) -> Column:
     """Hash of every run of ``size`` characters of a column of single characters."""
     joined = F.transform(
         F.col(chars), lambda _, i: F.xxhash64(F.array_join(F.slice(F.col(chars), i + 1, F.lit(size)), ""))
@@ -45,51 +49,77 @@ def _windows(chars: str, size: int) -> Column:
     return F.slice(joined, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(0)))
 
 
+def _lowest(df: DataFrame, column: str, window: int) -> DataFrame:
+    """Replaces an array by the smallest of every ``window`` (a power of two) neighbours; windows at the end are
+    shorter. What a window keeps, any shorter window around it keeps as well.
+
+    Each doubling is a column of its own, so that no lambda holds an array that it would compute again.
+    """
+    step = 1
+    while step < window:
+        later = F.slice(column, F.lit(step + 1), F.size(column))
+        df, step = df.withColumn(column, F.zip_with(column, later, lambda x, y: F.least(x, y))), 2 * step
+    return df
+
+
+def _word_anchors(tokens: DataFrame, window: int) -> DataFrame:
+    """(sentence_key, anchor) of sentences with ``window`` triples inside: of the smallest hashes of their
+    windows the one whose first word is longest, which is rare as a rule."""
+    lengths = tokens.withColumn("_n", F.transform("_inner", lambda t: F.length(t)))
+    sized = _triples(lengths, "_inner").withColumn(
+        "_low", F.zip_with("triples", "_n", lambda h, n: F.struct(h.alias("h"), n.alias("n")))
+    )
+    full = F.size("_inner") - (ANCHOR_WORDS - 1)
+    # Hashes behind the last triple, and windows that reach beyond it, are left out.
+    low = _lowest(sized.withColumn("_low", F.slice("_low", F.lit(1), full)), "_low", window)
+    whole = F.slice("_low", F.lit(1), full - (window - 1))
+    best = F.array_max(F.transform(whole, lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))))
+    return low.select("sentence_key", best["h"].alias("anchor"))
+
+
 def contained_sentences(prompts: DataFrame, sentences: DataFrame, min_len: int = 20) -> DataFrame:
     """Pairs (prompt_id, sentence_key) where the lowered sentence occurs in the lowered prompt.
 
     ``prompts(prompt_id, prompt)``; ``sentences(sentence_key, text)`` with distinct lowered texts
-    of at least ``min_len`` characters. The candidate pairs are stored in the shared folder when the
-    plan is built: their real size then decides how the texts are looked up, and as a rule no prompt
-    is ever shuffled.
+    of at least ``min_len`` characters. Prompts keep the minimizers of windows of ``WINDOW`` triples; where
+    some sentence has fewer triples inside, of as many as it has (a power of two), and runs of characters
+    are looked at only where a sentence has no triple. The candidate pairs are stored in the shared folder
+    when the plan is built: their real size then decides how the texts are looked up, and as a rule no
+    prompt is ever shuffled.
     """
     tokens = sentences.withColumn("_t", F.split("text", _WORD_SPLIT)).withColumn(
         "_inner", F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 2, F.lit(0)))
     )
-    # of all triples inside the sentence the longest is the rarest
-    keyed = tokens.withColumn(
-        "_best",
-        F.array_max(
-            F.transform(
-                F.slice("_inner", F.lit(1), F.greatest(F.size("_inner") - (ANCHOR_WORDS - 1), F.lit(0))),
-                lambda t, i: F.struct(
-                    F.length(F.concat_ws("", F.slice(F.col("_inner"), i + 1, F.lit(ANCHOR_WORDS)))).alias("n"),
-                    i.alias("i"),
-                ),
-            )
-        )["i"],
-    )
-    chosen = F.slice("_inner", F.col("_best") + 1, F.lit(ANCHOR_WORDS))
-    named = keyed.filter(F.col("_best").isNotNull()).select("sentence_key", chosen.alias("_w"))
-    by_word = _triples(named, "_w").select("sentence_key", F.get("triples", F.lit(0)).alias("anchor"))
-    by_char = keyed.filter(F.col("_best").isNull()).select(
-        "sentence_key", F.xxhash64(F.substring("text", 1, min_len)).alias("anchor")
-    )
+    sizes = [WINDOW >> i for i in range(WINDOW.bit_length())]
+    full = F.size("_inner") - (ANCHOR_WORDS - 1)
+    tokens = tokens.withColumn("_window", F.coalesce(*[F.when(full >= n, F.lit(n)) for n in sizes], F.lit(0)))
+    found = sorted(r["_window"] for r in tokens.select("_window").distinct().collect())
     low = prompts.select("prompt_id", F.lower(text_or_blank(F.col("prompt"))).alias("p"))
 
-    def pieces(pattern: str) -> DataFrame:
-        return low.select("prompt_id", F.split("p", pattern).alias("_p"))
-
-    def hits(parts: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
+    def hits(parts: DataFrame, keys: DataFrame) -> DataFrame:
         # the outer form: a plain explode would compute the hashes twice, once to test for emptiness
-        return parts.select("prompt_id", F.explode_outer(column).alias("anchor")).join(keys, "anchor")
-
-    pairs = hits(_triples(pieces(_WORD_SPLIT), "_p"), F.col("triples"), by_word)
-    if not by_char.isEmpty():
-        pairs = pairs.unionByName(hits(pieces(""), _windows("_p", min_len), by_char))
-    pairs = stored(pairs.select("prompt_id", "sentence_key").distinct(), "candidates")
+        return parts.select("prompt_id", F.explode_outer(F.array_distinct("_low")).alias("anchor")).join(keys, "anchor")
+
+    pairs = []
+    words = [n for n in found if n]
+    if words:
+        anchors = [_word_anchors(tokens.filter(F.col("_window") == n), n) for n in words]
+        prompt_words = _triples(low.select("prompt_id", F.split("p", _WORD_SPLIT).alias("_p")), "_p")
+        pairs.append(hits(_lowest(prompt_words.withColumnRenamed("triples", "_low"), "_low", words[0]), reduce(DataFrame.unionByName, anchors)))
+    if 0 in found:
+        window = min(WINDOW, 1 << (max(min_len, 1).bit_length() - 1))
+        run = max(min_len, 1) - window + 1
+        start = tokens.filter("_window = 0").withColumn("_c", F.split(F.substring("text", 1, run + window - 1), ""))
+        by_char = start.select("sentence_key", F.array_min(F.slice(_runs("_c", run), 1, window)).alias("anchor"))
+        chars = low.select("prompt_id", F.split("p", "").alias("_p")).withColumn("_low", _runs("_p", run))
+        pairs.append(hits(_lowest(chars, "_low", window), by_char))
+    if not pairs:
+        return low.join(sentences.select("sentence_key").limit(0)).select("prompt_id", "sentence_key")
+    candidates = stored(
+        reduce(DataFrame.unionByName, pairs).select("prompt_id", "sentence_key").distinct(), "candidates"
+    )
     return (
-        low.join(pairs, "prompt_id")
+        low.join(candidates, "prompt_id")
         .join(sentences.select("sentence_key", "text"), "sentence_key")
         .filter(F.contains("p", "text"))
         .select("prompt_id", "sentence_key")

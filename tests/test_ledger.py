@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelworks.operators import ledger as G
@@ -50,6 +51,29 @@ def test_leaks_with_words_and_characters(spark):
     assert {r["split"]: r["skipped_short"] for r in audit_coverage(e).collect()} == {"val": 1, "test": 0, "train": 0}
 
 
+@pytest.mark.parametrize("words", [3, 4, 5, 6, 9, 12, 30])
+def test_leaks_of_any_number_of_words(spark, words):
+    """Sentences of ``words`` words at every place of prompts, against a plain search."""
+    rng = random.Random(words)
+    text = [" ".join(rng.choice(["ab", "cde", "fghij", "kl mn", "Øre"]) for _ in range(60)) for _ in range(12)]
+    cuts = []
+    for i in range(40):
+        parts = text[rng.randrange(12)].split(" ")
+        at = rng.randrange(len(parts) - words)
+        cuts.append((i, "s", " ".join(parts[at : at + words]) + ("x" if i % 5 == 0 else "")))
+    p = spark.createDataFrame(list(enumerate(text)), "prompt_id int, prompt string")
+    e = spark.createDataFrame(cuts, "source_id int, split string, sentence string")
+    want = {(i, k) for i, t in enumerate(text) for k, _, c in cuts if len(c) >= 8 and c.lower() in t.lower()}
+    assert {(r["prompt_id"], r["source_id"]) for r in leaked_examples(p, e, min_len=8).collect()} == want
+    assert want
+
+
+def test_leaks_of_no_sentence(spark):
+    p = spark.createDataFrame([(1, "a text")], "prompt_id int, prompt string")
+    e = spark.createDataFrame([(1, "s", "short"), (2, "s", None)], "source_id int, split string, sentence string")
+    assert leaked_examples(p, e).count() == leak_audit(p, e).count() == 0
+
+
 def test_leak_samples_are_whole(spark):
     text = " ".join(f"word{i}" for i in range(60))
     p = spark.createDataFrame([(1, f"x {text} y")], "prompt_id bigint, prompt string")
