@@ -272,7 +272,7 @@ def _derived(spark, d):
 @query(
     "suggest_mapping",
     f"""
-WITH names AS (SELECT role AS scope, {S.trim_("regexp_extract(text, '^[^ ]+ [^ ]+')")} AS name, conv_id FROM conversations WHERE turn < 3 AND conv_id % 5 = 0),
+WITH names AS (SELECT role AS scope, {S.trim_("regexp_extract(text, '^[^ ]+ [^ ]+')")} AS name, conv_id FROM conversations),
 nm AS (SELECT scope, name, min(conv_id) AS sort_order FROM names GROUP BY ALL),
 un AS (SELECT DISTINCT role AS scope, {S.trim_("regexp_extract(text, '^[^ ]+')")} || CASE turn % 3 WHEN 0 THEN 's' WHEN 1 THEN '' ELSE ' ' || role END AS value FROM conversations),
 k AS (SELECT un.scope, value, name, sort_order, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) AS uk, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS nk
@@ -281,20 +281,20 @@ t AS (SELECT *, list_transform(list_filter(string_split(uk, ' '), lambda t: t <>
   list_transform(list_filter(string_split(nk, ' '), lambda t: t <> ''), lambda t: CASE WHEN length(t) > 2 AND t LIKE '%s' THEN left(t, length(t)-1) ELSE t END) AS nt FROM k),
 s AS (SELECT *, len(list_filter(nt, lambda x: list_contains(ut, x))) / greatest(len(list_distinct(list_concat(ut, nt))), 1)::DOUBLE
   + CASE WHEN starts_with(nk, uk) OR starts_with(uk, nk) THEN 0.5 ELSE 0 END AS score FROM t WHERE name IS NOT NULL),
-b AS (SELECT scope, value, max(score) AS score FROM s GROUP BY ALL HAVING max(score) >= 0.3)
-SELECT u.scope, u.value, round(b.score, 6) AS score FROM un u LEFT JOIN b ON b.scope = u.scope AND b.value = u.value""",
+b AS (SELECT scope, value, name, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY scope, value ORDER BY score DESC, sort_order, name DESC) = 1)
+SELECT u.scope, u.value, coalesce(b.name, '') AS suggestion, round(b.score, 6) AS score FROM un u LEFT JOIN b ON b.scope = u.scope AND b.value = u.value""",
 )
 def _suggest(spark, d):
     from labelworks.functions import trimmed
 
     c = table(spark, d, "conversations")
-    names = c.filter("turn < 3 AND conv_id % 5 = 0").groupBy(
+    names = c.groupBy(
         F.col("role").alias("scope"), trimmed(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0)).alias("name")
     ).agg(F.min("conv_id").alias("sort_order"))
     tail = pick(F.col("turn") % 3, "s", "", F.concat(F.lit(" "), "role"))
     un = c.select(F.col("role").alias("scope"), F.concat(trimmed(F.regexp_extract("text", "^[^ ]+", 0)), tail).alias("value"))
     out = C.suggest_mapping(un, names, ["scope"])
-    return rounded(out.select("scope", "value", "score"), "score")
+    return rounded(out.select("scope", "value", "suggestion", "score"), "score")
 
 
 _RULE_SQL = prompts.NO_LABEL_RULE.replace("'", "''")
