@@ -207,8 +207,8 @@ def book_labels(spark: SparkSession, d: str) -> DataFrame:
         F.when(turn % 3 == 0, "No label")
         .when(turn % 2 == 0, F.regexp_extract("text", "^[^ ]+ [^ ]+", 0))
         .otherwise(F.regexp_extract("text", "^[^ ]+", 0)).alias("label"),
-        F.when(h("conv_id", "turn", "'d'") % 3 == 0, "").otherwise(F.substring("text", 1, 20)).alias("definition"),
-        F.array(F.substring("text", 1, 12), F.lit(""), F.concat(F.lit("second "), turn.cast("string"))).alias("examples"),
+        F.when(h("conv_id", "turn", "'d'") % 3 == 0, "").otherwise(F.col("text")).alias("definition"),
+        F.array(F.col("text"), F.lit(""), F.concat(F.lit("second "), turn.cast("string"))).alias("examples"),
         F.when(p == 0, none).when(p == 1, F.array(F.lit("Group A"))).when(p == 2, F.array(F.lit("Group A"), F.lit("Sub")))
         .otherwise(F.array(F.lit("Group B"), F.when(turn % 3 == 0, "no labels").otherwise("Other"))).alias("path"),
         turn.cast("bigint").alias("sort_order"),

@@ -180,8 +180,8 @@ book AS (
     CASE {h("conv_id||'|'||turn||'|p'")} % 4
          WHEN 0 THEN [] WHEN 1 THEN ['Group A'] WHEN 2 THEN ['Group A', 'Sub']
          ELSE ['Group B', CASE WHEN turn % 3 = 0 THEN 'no labels' ELSE 'Other' END] END AS path,
-    CASE WHEN {h("conv_id||'|'||turn||'|d'")} % 3 = 0 THEN '' ELSE left(text, 20) END AS definition,
-    [left(text, 12), '', 'second ' || turn] AS examples
+    CASE WHEN {h("conv_id||'|'||turn||'|d'")} % 3 = 0 THEN '' ELSE text END AS definition,
+    [text, '', 'second ' || turn] AS examples
   FROM conversations),
 bookdims AS (
   SELECT codebook_id, dim, min(sort_order) AS sort_order,

@@ -283,7 +283,7 @@ def _no_label(spark, d):
 _VALUES_SQL = f"""
 vals AS (SELECT doc_id AS item_id, CASE {S.h("doc_id||'|v'")} % 7 WHEN 0 THEN 'central LAYER' WHEN 1 THEN 'Emotional'
   WHEN 2 THEN 'the functional support, of course' WHEN 3 THEN 'Core' WHEN 4 THEN ' - ' WHEN 5 THEN 'support'
-  ELSE split_part(text, ' ', 1) END AS value FROM documents),
+  ELSE text END AS value FROM documents),
 opts AS (SELECT * FROM (VALUES ('Central', 0), ('Emotional support', 1), ('Functional support', 2), ('Core', 3), ('Core support', 4)) o(label, i)),
 keyed AS (SELECT v.item_id, v.value, o.label, o.i, {S.n4('v.value')} AS vk, {S.n4('o.label')} AS lk FROM vals v CROSS JOIN opts o),
 ranked AS (SELECT *, CASE WHEN vk = lk THEN 0
@@ -301,7 +301,7 @@ def _values(spark, d):
         F.col("doc_id").alias("item_id"),
         pick(
             h("doc_id", "'v'") % 7, "central LAYER", "Emotional", "the functional support, of course", "Core", " - ",
-            "support", F.split_part("text", F.lit(" "), F.lit(1)),
+            "support", F.col("text"),
         ).alias("value"),
     )
 
