@@ -1,10 +1,14 @@
 """Files in, files out."""
 
+import csv
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from labelworks.sources import exports as X
+from labelworks.sources import records as R
 from labelworks.sources import sheets as H
 
 
@@ -76,6 +80,52 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert got == [("a", "T", "L", "q1", "", ""), ("a", "Theme", "Level", "Quote", "", ""), ("b", "U", "", "q2", "e", ""), ("c", "", "", "", "", "299")]
 
 
+def csv_rows(spark, folder):
+    got = {}
+    for r in sorted(R.read_csv_rows(spark, str(folder)).collect(), key=lambda r: (r["file"], r["ord"])):
+        got.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["cells"])
+    return got
+
+
+def test_rows_of_byte_ranges(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    parts = ['"', '"', ",", "\n", "a", "bc", "\r\n", '""', " ", '",', '\n"', "é"]
+    texts = ["".join(rnd.choices(parts + ["\r"] * (i % 3 == 0), k=n)) for i, n in enumerate([0, 4, 60, 200, 250, 300])]
+    texts += ["\ufeff\"a\nb\",c\n", 'x,"' + "long\n" * 60 + 'y"\nz,\n', "\n\n\n", "a\rb,c\r", 'he said "hi, you\n5" x 7",b\n']
+    want = {}
+    for i, text in enumerate(texts):
+        (tmp_path / f"f{i:02}.csv").write_text(text, encoding="utf-8", newline="")
+        body = text.removeprefix("\ufeff").removesuffix("\n")
+        rows = [r for r in csv.reader(re.split("(?<=\r)(?!\n)|(?<=\n)", body)) if r]
+        want |= {f"f{i:02}.csv": rows} if rows else {}
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(size), spark.conf.get(cost)
+    assert csv_rows(spark, tmp_path) == want
+    try:  # ranges far shorter than rows
+        spark.conf.set(size, "70")
+        spark.conf.set(cost, "30")
+        assert csv_rows(spark, tmp_path) == want
+        monkeypatch.setattr(R, "BROADCAST_RANGES", 0)
+        assert csv_rows(spark, tmp_path) == want
+    finally:
+        spark.conf.set(size, old[0])
+        spark.conf.set(cost, old[1])
+
+
+def test_lines_put_together():
+    ends = {"identity": (False, True), "turn": (True, False), "out": (False, False), "in": (True, True)}
+    rnd = random.Random(1)
+    for _ in range(200):
+        steps = [ends[k] for k in rnd.choices(list(ends), k=rnd.randrange(6))]
+        want = []
+        for state in (False, True):
+            for step in steps:
+                state = step[state]
+            want.append(state)
+        outs, ins = (R.np.array([s[k] for s in steps], dtype=bool) for k in (0, 1))
+        assert R._composed(outs, ins) == tuple(want)
+
+
 def test_items_csv_takes_each_file_by_its_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text('sentence,gold_labels,labels,context\n" hello","{""Theme"": ""Level A""}",,before\n,,,\nbye,no object,"{""T"": [""a"", ""b""]}",\nend,,"{""T"": ""x""}",\n')
     (tmp_path / "b.csv").write_text("#,User,x\n,Dimension,Label,Response,n,n\n1,T,L,q1,u,v\n2,T,M,\"\"\"q1\"\"\",w,w\n3,,,q2,,\n")
