@@ -492,9 +492,35 @@ def _suggest_tokens(key: str) -> Column:
 
 
 def _prefixes(key: str) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.length(F.col(key))), lambda n: F.substring(F.col(key), F.lit(1), n)
+    """Beginnings of a key, itself included; null for an empty key."""
+    size = F.length(F.col(key))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(F.col(key), F.lit(1), n)))
+
+
+def _suggest_words(df: DataFrame, key: str) -> DataFrame:
+    """One row per different word of a key: how often it is there (times), and how many there are (size)."""
+    words = df.withColumn("_all", _suggest_tokens(key)).withColumn("_own", F.array_distinct("_all"))
+    one = F.transform(
+        "_own", lambda t: F.struct(t.alias("word"), F.size(F.filter("_all", lambda x: x == t)).alias("times"))
     )
+    return words.select(*df.columns, F.size("_own").alias("size"), F.inline(one))
+
+
+def _leading_words(words: DataFrame, keys: list[str], key: str, seen: DataFrame, times: Column, min_score: float) -> DataFrame:
+    """The rarest words of a key, without those at the end that cannot make a score by themselves.
+
+    Words at the end go while they are one word, or while even all of them, each counted ``times``, are
+    under ``min_score`` of the key's words. Two keys that share two words or more and reach the score thus
+    share one of their leading words: the rarest that they have in common.
+    """
+    ranked = (
+        words.join(seen, [*keys, "word"])
+        .groupBy(*keys, key, "size")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"), F.max(times).alias("most"))
+    )
+    left = lambda i: F.col("size") - i
+    led = F.filter("ranked", lambda _, i: (left(i) > 1) & (left(i) * F.col("most") + 1e-9 >= min_score * F.col("size")))
+    return ranked.select(*keys, key, F.explode(F.transform(led, lambda e: e["word"])).alias("word"))
 
 
 def suggest_mapping(
@@ -503,33 +529,46 @@ def suggest_mapping(
     """Best codebook name for every distinct unknown name.
 
     ``unknown(scope, value)``, ``names(scope, name, sort_order)``. Score: token overlap, plus one
-    half when one name starts with the other. Only names that share a word or a prefix can score, so
-    candidates come from equi-joins on those, not from comparing all names.
+    half when one name starts with the other; of equal scores the first in ``sort_order``, then the last
+    by name. Below ``min_score`` the suggestion is empty. Null values and names count as empty; an empty
+    one begins every other.
+
+    Values and names are compared by key, and of names with one key the best stands for all. A name is met
+    through a beginning, or through shared words. Where one word is shared, the score hangs only on the
+    sizes, so per word the best name of each size is enough. Where more are, both sides look only at their
+    rarest words, as far as the score needs them. A word that most names have makes no pairs.
     """
-    scope = list(scope)
-    src = unknown.select(*scope, "value").distinct().withColumn("ukey", _suggest_key(F.col("value")))
-    src = src.withColumn("utok", _suggest_tokens("ukey"))
-    dst = names.select(*scope, "name", "sort_order").withColumn("nkey", _suggest_key(F.col("name")))
-    dst = dst.withColumn("ntok", _suggest_tokens("nkey"))
-
-    def parts(df: DataFrame, col: str, what: Column) -> DataFrame:
-        return df.select(*scope, col, F.explode(F.array_distinct(what)).alias("part"))
-
-    def whole(df: DataFrame, col: str, key: str) -> DataFrame:
-        return df.select(*scope, col, F.col(key).alias("part"))
-
-    on = [*scope, "part"]
-    by_word = parts(src, "value", F.col("utok")).join(parts(dst, "name", F.col("ntok")), on)
-    name_longer = whole(src, "value", "ukey").join(parts(dst, "name", _prefixes("nkey")), on)
-    value_longer = parts(src, "value", _prefixes("ukey")).join(whole(dst, "name", "nkey"), on)
-    pairs = (
-        by_word.select(*scope, "value", "name")
-        .unionByName(name_longer.select(*scope, "value", "name"))
-        .unionByName(value_longer.select(*scope, "value", "name"))
-        .distinct()
-        .join(src, [*scope, "value"])
-        .join(dst, [*scope, "name"])
-    )
+    keys = list(scope) or ["_scope"]
+    if not scope:
+        unknown, names = unknown.withColumn("_scope", F.lit(0)), names.withColumn("_scope", F.lit(0))
+    values = unknown.select(*keys, "value").distinct().withColumn("ukey", _suggest_key(F.col("value")))
+    src = values.select(*keys, "ukey").distinct()
+    place = F.struct((-F.col("sort_order")).alias("o"), "name")
+    dst = names.withColumn("nkey", _suggest_key(F.col("name"))).groupBy(*keys, "nkey").agg(F.max(place).alias("best"))
+
+    def first(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.max(F.struct("best", "nkey")).alias("b")).select(*by, F.col("b.nkey").alias("nkey"))
+
+    n_words, u_words = _suggest_words(dst, "nkey"), _suggest_words(src, "ukey")
+    on = [*keys, "word"]
+    one_word = u_words.drop("size", "times").join(first(n_words, [*on, "times", "size"]), on)
+    seen = n_words.select(on).unionByName(u_words.select(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    most = n_words.groupBy(*keys).agg(F.max("times").alias("_most"))
+    u_led = _leading_words(u_words.join(most, keys), keys, "ukey", seen, F.col("_most"), min_score)
+    more_words = u_led.join(_leading_words(n_words, keys, "nkey", seen, F.col("times"), min_score), on)
+
+    part = [*keys, "part"]
+    whole_u, whole_n = src.withColumn("part", F.col("ukey")), dst.withColumn("part", F.col("nkey"))
+    name_longer = whole_u.join(dst.withColumn("part", F.explode(_prefixes("nkey"))), part)
+    value_longer = src.withColumn("part", F.explode(_prefixes("ukey"))).join(whole_n, part)
+    empty_value = src.filter("ukey = ''").join(first(dst, keys), keys)
+    empty_name = src.join(dst.filter("nkey = ''"), keys)
+
+    pairs = one_word.select(*keys, "ukey", "nkey")
+    for found in (more_words, name_longer, value_longer, empty_value, empty_name):
+        pairs = pairs.unionByName(found.select(*keys, "ukey", "nkey"))
+    pairs = pairs.distinct().join(dst, [*keys, "nkey"])
+    pairs = pairs.withColumns({"utok": _suggest_tokens("ukey"), "ntok": _suggest_tokens("nkey")})
     union = F.greatest(F.size(F.array_union("utok", "ntok")), F.lit(1))
     shared = F.size(F.filter("ntok", lambda t: F.array_contains(F.col("utok"), t)))
     bonus = F.when(
@@ -537,9 +576,10 @@ def suggest_mapping(
     ).otherwise(F.lit(0.0))
     best = (
         pairs.withColumn("score", shared / union + bonus)
-        .groupBy(*scope, "value")
-        .agg(F.max(F.struct("score", (-F.col("sort_order")).alias("o"), "name")).alias("b"))
-        .select(*scope, "value", F.col("b.name").alias("suggestion"), F.col("b.score").alias("score"))
+        .groupBy(*keys, "ukey")
+        .agg(F.max(F.struct("score", "best")).alias("b"))
+        .select(*keys, "ukey", F.col("b.best.name").alias("suggestion"), F.col("b.score").alias("score"))
+        .filter(F.col("score") >= min_score)
     )
-    accepted = best.filter(F.col("score") >= min_score)
-    return src.select(*scope, "value").join(accepted, [*scope, "value"], "left").fillna("", ["suggestion"])
+    out = values.join(best, [*keys, "ukey"], "left").fillna("", ["suggestion"])
+    return out.select(*scope, "value", "suggestion", "score")

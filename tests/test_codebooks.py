@@ -1,5 +1,9 @@
 """Gate maps, step order, prompts."""
 
+import json
+import random
+import re
+
 import pytest
 
 from labelworks.operators import codebooks as C
@@ -8,8 +12,6 @@ from labelworks.plans import library as L
 from labelworks.plans.prompts import prompt_table, step_prompts
 from labelworks.sources.sheets import codebook_tables
 
-import json
-
 BOOK = {
     "name": "Small",
     "dimensions": [
@@ -207,3 +209,39 @@ def test_schema_with_categories(spark):
     row = C.schema_rows(d, x).collect()[0]
     assert row["dim_keys"]["group"] == "Group" and row["dims"]["Empty"]["labels"] == {}
     assert row["dims"]["Real"]["single"] and not row["dims"]["Group"]["single"]
+
+
+def test_suggested_names_against_all_pairs(spark):
+    """Also with words repeated in a name, empty names and values, and one word in most names."""
+    rnd = random.Random(3)
+    common, rare = ["the", "of", "tone"], ["a", "ab", "style", "tones", "x1", "x2", "x3", "x4", "x5", "x6", "x7"]
+
+    def phrase():
+        words = rnd.choices(common, k=rnd.randrange(3)) + rnd.choices(rare, k=rnd.choice([0, 1, 1, 2, 5]))
+        rnd.shuffle(words)
+        return rnd.choice([" ", "-", "_"]).join(words).title()
+
+    names = [(rnd.randrange(2), n, rnd.randrange(40)) for n in {phrase() for _ in range(120)}]
+    names += [(2, f"the {i}", i) for i in range(60)] + [(3, "!", 1), (3, "", 1), (3, "the x1", 0)]
+    values = [(s, v) for s in range(4) for v in {phrase() for _ in range(60)} | {"", "?", "the", "the y z"}]
+
+    def key(s):
+        return re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+
+    def tokens(k):
+        return [t[:-1] if len(t) > 2 and t.endswith("s") else t for t in k.split()]
+
+    def score(a, b):
+        a, b = key(a), key(b)
+        u, n = tokens(a), tokens(b)
+        return sum(t in u for t in n) / max(len(set(u) | set(n)), 1) + 0.5 * (a.startswith(b) or b.startswith(a))
+
+    u = spark.createDataFrame(values, "scope int, value string")
+    n = spark.createDataFrame(names, "scope int, name string, sort_order int")
+    for limit in (0.3, 0.6):
+        got = {(r["scope"], r["value"]): (r["suggestion"], r["score"]) for r in C.suggest_mapping(u, n, ["scope"], limit).collect()}
+        assert len(got) == len(values)
+        for scope, value in values:
+            best = max((score(value, name), -order, name) for s, name, order in names if s == scope)
+            want = (best[2], best[0]) if best[0] >= limit else ("", None)
+            assert got[scope, value] == want, (scope, value)
