@@ -480,6 +480,9 @@ def validate_codebook(
 # ---- suggested names -------------------------------------------------------------------------
 
 
+DEALT = 64
+
+
 def _suggest_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text_or_blank(c)), "[^a-z0-9]+", " "))
 
@@ -506,17 +509,18 @@ def _suggest_words(df: DataFrame, key: str) -> DataFrame:
     return words.select(*df.columns, F.size("_own").alias("size"), F.inline(one))
 
 
-def _leading_words(words: DataFrame, keys: list[str], key: str, seen: DataFrame, times: Column, min_score: float) -> DataFrame:
+def _leading_words(words: DataFrame, keys: list[str], key: str, seen: DataFrame, min_score: float) -> DataFrame:
     """The rarest words of a key, without those at the end that cannot make a score by themselves.
 
-    Words at the end go while they are one word, or while even all of them, each counted ``times``, are
-    under ``min_score`` of the key's words. Two keys that share two words or more and reach the score thus
+    ``seen`` holds how many keys have a word (n) and how often one name has it at most (most). Words at
+    the end go while they are one word, or while all of them, counted that often, are under ``min_score``
+    of the key's words. Two keys that share two words or more and reach the score thus
     share one of their leading words: the rarest that they have in common.
     """
     ranked = (
         words.join(seen, [*keys, "word"])
         .groupBy(*keys, key, "size")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"), F.max(times).alias("most"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"), F.max("most").alias("most"))
     )
     left = lambda i: F.col("size") - i
     led = F.filter("ranked", lambda _, i: (left(i) > 1) & (left(i) * F.col("most") + 1e-9 >= min_score * F.col("size")))
@@ -552,17 +556,20 @@ def suggest_mapping(
     n_words, u_words = _suggest_words(dst, "nkey"), _suggest_words(src, "ukey")
     on = [*keys, "word"]
     one_word = u_words.drop("size", "times").join(first(n_words, [*on, "times", "size"]), on)
-    seen = n_words.select(on).unionByName(u_words.select(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    most = n_words.groupBy(*keys).agg(F.max("times").alias("_most"))
-    u_led = _leading_words(u_words.join(most, keys), keys, "ukey", seen, F.col("_most"), min_score)
-    more_words = u_led.join(_leading_words(n_words, keys, "nkey", seen, F.col("times"), min_score), on)
+    both = n_words.select(*on, "times").unionByName(u_words.select(*on, F.lit(1).alias("times")))
+    seen = both.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("most"))
+    u_led, n_led = (_leading_words(w, keys, k, seen, min_score) for w, k in ((u_words, "ukey"), (n_words, "nkey")))
+    more_words = u_led.join(n_led, on)
 
     part = [*keys, "part"]
     whole_u, whole_n = src.withColumn("part", F.col("ukey")), dst.withColumn("part", F.col("nkey"))
     name_longer = whole_u.join(dst.withColumn("part", F.explode(_prefixes("nkey"))), part)
     value_longer = src.withColumn("part", F.explode(_prefixes("ukey"))).join(whole_n, part)
     empty_value = src.filter("ukey = ''").join(first(dst, keys), keys)
-    empty_name = src.join(dst.filter("nkey = ''"), keys)
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))  # the empty name meets every value: in many tasks
+    empty_name = src.withColumn("_d", (F.crc32(F.encode("ukey", "UTF-8")) % DEALT).cast("int")).join(
+        dst.filter("nkey = ''").withColumn("_d", dealt), [*keys, "_d"]
+    )
 
     pairs = one_word.select(*keys, "ukey", "nkey")
     for found in (more_words, name_longer, value_longer, empty_value, empty_name):
