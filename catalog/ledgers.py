@@ -195,6 +195,48 @@ def _purge_runs(spark, d):
     return _purged(spark, d)["runs"]
 
 
+@query(
+    "purge_tree_rows",
+    S.with_(
+        "edits",
+        """
+WITH kept AS (SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src1' AND source IS DISTINCT FROM 'src2'),
+p AS (SELECT pred_id FROM pred WHERE item_id IN (SELECT doc_id FROM kept))
+SELECT 'sources' AS part, source AS id FROM (SELECT DISTINCT source FROM documents) WHERE source IS DISTINCT FROM 'src1' AND source IS DISTINCT FROM 'src2'
+UNION ALL SELECT 'items', doc_id::VARCHAR FROM kept
+UNION ALL SELECT 'predictions', pred_id::VARCHAR FROM p
+UNION ALL SELECT 'edits', edit_id::VARCHAR FROM edits WHERE edit_id // 10 IN (SELECT pred_id FROM p)
+UNION ALL SELECT 'golds', doc_id::VARCHAR FROM labels WHERE doc_id IN (SELECT doc_id FROM kept) OR doc_id NOT IN (SELECT doc_id FROM documents)""",
+    ),
+)
+def _purge_tree(spark, d):
+    """Two sources go, with their items, what was predicted for these, and the corrections of that."""
+    from .relations import edits
+
+    docs = table(spark, d, "documents")
+    tables = {
+        "sources": docs.select("source").distinct(),
+        "items": docs.select(F.col("doc_id").alias("item_id"), "source"),
+        "predictions": predictions(spark, d).select("pred_id", "item_id"),
+        "edits": edits(spark, d).select("edit_id", F.expr("edit_id div 10").alias("pred_id")),
+        "golds": table(spark, d, "labels").select(F.col("doc_id").alias("item_id")),
+    }
+    links = [
+        ("items", "source", "sources", "source"),
+        ("predictions", "item_id", "items", "item_id"),
+        ("golds", "item_id", "items", "item_id"),
+        ("edits", "pred_id", "predictions", "pred_id"),
+    ]
+    removed = tables["sources"].filter("source in ('src1', 'src2')")
+    left = J.purge_tree(tables, removed, "sources", "source", links)
+    ids = {"sources": "source", "items": "item_id", "predictions": "pred_id", "edits": "edit_id", "golds": "item_id"}
+    parts = [left[n].select(F.lit(n).alias("part"), F.col(c).cast("string").alias("id")) for n, c in ids.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "stack_runs",
     S.with_("traj", "SELECT run_id % 10 AS seed, count(*) AS n, round(sum(val_acc), 4) AS total FROM traj GROUP BY ALL"),

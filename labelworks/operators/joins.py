@@ -199,9 +199,10 @@ def cross_candidates(candidates: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def purge(tables: dict[str, DataFrame], removed: DataFrame, key: str) -> dict[str, DataFrame]:
-    """Drops the rows of removed datasets or projects from every table that carries the key.
+    """Drops the rows of removed datasets or projects from every table; all carry the key.
 
-    Tuning runs keep their history: their gold link is set to null instead.
+    Tuning runs keep their history: their gold link is set to null instead. A table without the key
+    raises, as its rows would outlive what they belong to: ``purge_tree`` follows the links between tables.
     """
     gone = removed.select(key).distinct()
     out = {}
@@ -215,7 +216,7 @@ def purge(tables: dict[str, DataFrame], removed: DataFrame, key: str) -> dict[st
         elif key in df.columns:
             out[name] = df.join(gone, key, "left_anti").select(*df.columns)
         else:
-            out[name] = df
+            raise ValueError(f"{name} has no column {key}: use purge_tree")
     return out
 
 

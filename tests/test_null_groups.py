@@ -1,5 +1,6 @@
 """Null groups, repeated answers and several labels of one coder keep their rows."""
 
+import pytest
 from pyspark.sql import Row
 
 from labelworks.operators import experiments, joins, metrics, resampling
@@ -53,3 +54,14 @@ def test_purge_follows_the_tree(spark):
     )
     assert [r.job_id for r in out["jobs"].collect()] == [20]
     assert sorted(r.result_id for r in out["results"].collect()) == [200, 300]
+
+
+def test_purge_needs_the_key(spark):
+    sets = spark.createDataFrame([(1,), (2,)], "dataset_id long")
+    results = spark.createDataFrame([(100, 10)], "result_id long, job_id long")
+    with pytest.raises(ValueError, match="results"):
+        joins.purge({"datasets": sets, "results": results}, sets.filter("dataset_id = 1"), "dataset_id")
+    runs = spark.createDataFrame([(5, 1), (6, None)], "run_id long, gold_dataset_id long")
+    out = joins.purge({"datasets": sets, "runs": runs}, sets.filter("dataset_id = 1"), "dataset_id")
+    assert [r.dataset_id for r in out["datasets"].collect()] == [2]
+    assert sorted((r.run_id, r.gold_dataset_id) for r in out["runs"].collect()) == [(5, None), (6, None)]
