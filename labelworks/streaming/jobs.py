@@ -95,9 +95,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def run_corrections(edits: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Logs a stream of edits and returns the corrected predictions."""
+    """Logs a stream of edits and returns the corrected predictions; without edits, all as they are."""
     spark = predictions.sparkSession
     base = new_path(spark, "corrections")
+    spark.createDataFrame([], edits.schema).write.parquet(f"{base}/log/batch=-1")
     query = (
         edits.writeStream.option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
@@ -115,12 +116,11 @@ def _finish(query: StreamingQuery) -> None:
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A stream over one table's Parquet files in a folder that holds several tables."""
+    """A stream over one table in a folder that holds several: one Parquet file, or a folder of them."""
     path = f"{folder}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(folder)
-    )
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return files.parquet(path)
+    # a stream reads folders only; the filter goes by the names of files, not of folders
+    return files.option("pathGlobFilter", f"{table}.parquet").parquet(folder)

@@ -113,3 +113,24 @@ def test_corrections_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "edits"))
     got = {r["pred_id"]: r["label"] for r in T.run_corrections(stream, preds).collect()}
     assert got == {1: "second", 2: "old"}
+
+
+def test_corrections_of_tables_in_folders(spark, tmp_path):
+    """A table is one file or a folder of files; beside it lie tables that are not read."""
+    preds = spark.createDataFrame([(1, 1, 1, 0, "Tone", "old")], "pred_id bigint, job_id bigint, item_id bigint, step_order int, dimension string, label string")
+    schema = "job_id bigint, item_id bigint, dimension string, label string, edit_id bigint"
+    edits = spark.createDataFrame([(1, 1, "tone", "first", 1), (1, 1, "tone", "second", 2)], schema)
+    edits.repartition(2).write.parquet(f"{tmp_path}/two/edits.parquet")
+    edits.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "one" / "edits.parquet")
+    for folder in ("one", "two"):
+        spark.range(3).write.parquet(f"{tmp_path}/{folder}/other.parquet")
+        stream = T.table_stream(spark, f"{tmp_path}/{folder}", "edits")
+        assert [r["label"] for r in T.run_corrections(stream, preds).collect()] == ["second"], folder
+
+
+def test_streams_without_data(spark, tmp_path):
+    preds = spark.createDataFrame([(1, 1, 1, 0, "Tone", "old")], "pred_id bigint, job_id bigint, item_id bigint, step_order int, dimension string, label string")
+    edits = spark.readStream.schema("job_id bigint, item_id bigint, dimension string, label string, edit_id bigint").parquet(str(tmp_path))
+    assert [r["label"] for r in T.run_corrections(edits, preds).collect()] == ["old"]
