@@ -76,7 +76,8 @@ def corrected(predictions: DataFrame, edits: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote, from the shared folder.
 
-    Complete results are written per micro-batch, and the last batch is returned.
+    Complete results replace those of the micro-batch before, so the last batch is returned. A stream
+    without any data gives no rows.
     """
     spark = stream.sparkSession
     base = new_path(spark, name)
@@ -87,11 +88,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
         return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/rows")
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/rows")
     _finish(writer.outputMode(mode).foreachBatch(body).start())
-    last = spark.read.parquet(f"{base}/rows").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{base}/rows/batch={last}")
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
 def run_corrections(edits: DataFrame, predictions: DataFrame) -> DataFrame:

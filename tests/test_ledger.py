@@ -134,3 +134,16 @@ def test_streams_without_data(spark, tmp_path):
     preds = spark.createDataFrame([(1, 1, 1, 0, "Tone", "old")], "pred_id bigint, job_id bigint, item_id bigint, step_order int, dimension string, label string")
     edits = spark.readStream.schema("job_id bigint, item_id bigint, dimension string, label string, edit_id bigint").parquet(str(tmp_path))
     assert [r["label"] for r in T.run_corrections(edits, preds).collect()] == ["old"]
+
+
+def test_progress_of_tables_in_folders(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, True, 5), (1, 2, False, 7), (2, 3, True, 1)], "job_id bigint, item_id bigint, ok boolean, tokens bigint")
+    df.repartition(2).write.parquet(f"{tmp_path}/results.parquet")
+    stream = T.table_stream(spark, str(tmp_path), "results")
+    got = T.run_to_table(T.job_progress(stream), "progress", "complete")
+    assert sorted(map(tuple, got.select("job_id", "completed", "failed", "tokens").collect())) == [(1, 1, 1, 5), (2, 1, 0, 1)]
+
+
+def test_progress_without_results(spark, tmp_path):
+    stream = spark.readStream.schema("job_id bigint, item_id bigint, ok boolean, tokens bigint").parquet(str(tmp_path))
+    assert T.run_to_table(T.job_progress(stream), "progress", "complete").count() == 0
