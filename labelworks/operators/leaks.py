@@ -1,123 +1,109 @@
 """Which example sentences occur inside longer texts (prompts), ignoring case.
 
-A plain "contains" join compares every text with every sentence. Here both sides are reduced to the
-minimizers of their windows: of every few neighbouring hashes only the smallest is kept. A sentence
-that stands in a prompt brings all its windows along, so the smallest hash of any of them is also
-kept for the prompt, and both meet in one equi-join on far fewer rows than there are words. Hashes are
-those of three whole words from inside a sentence; sentences with fewer words inside meet by runs of
-characters instead. Only the pairs found there are compared as text, and both ways are exact.
+A plain "contains" join compares every text with every sentence. Here each sentence is named by the hash
+of one run of its bytes, the longest power of two that fits (``LONGEST`` at most). A prompt that holds
+the sentence holds that run, so the hashes of all runs of a prompt are looked up in a table of bits of
+fixed size, and the few that are marked meet the sentences in an equi-join. Only the pairs found there
+are compared as text, so the result is exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import text_or_blank, trimmed
+from ..llm.common import BATCH_ROWS, batches_of, mix
+from ..llm.substrings import MARK_BITS, _marks
 from ..scratch import stored
 from .rank import first_rows
 
-ANCHOR_WORDS = 3
-WINDOW = 8  # neighbouring hashes of which the smallest is kept; a power of two
-_WORD_SPLIT = r"[^\p{L}\p{N}]+"
-
-
-def _triples(df: DataFrame, tokens: str) -> DataFrame:
-    """Adds ``triples``: a hash of every three neighbouring words of the column ``tokens``.
-
-    The last two words start no full triple; their hashes are harmless, as hits are compared as
-    text. Every step is a column of its own, so nothing is computed twice.
-    """
-    rest = df.withColumn("_h1", F.transform(tokens, lambda t: F.xxhash64(t)))
-    pairs = F.zip_with("_h1", F.slice("_h1", F.lit(2), F.size("_h1")), _mix)
-    both = rest.withColumn("_h2", pairs)
-    triples = F.zip_with("_h2", F.slice("_h1", F.lit(3), F.size("_h1")), _mix)
-    return both.withColumn("triples", triples).drop("_h1", "_h2")
-
-
-def _mix(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
-
-
-def _runs(chars: str, size: int) -> Column:
-    """Hash of every run of ``size`` characters of a column of single characters."""
-    joined = F.transform(
-        F.col(chars), lambda _, i: F.xxhash64(F.array_join(F.slice(F.col(chars), i + 1, F.lit(size)), ""))
-    )
-    return F.slice(joined, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(0)))
-
-
-def _lowest(df: DataFrame, column: str, window: int) -> DataFrame:
-    """Replaces an array by the smallest of every ``window`` (a power of two) neighbours; windows at the end are
-    shorter. What a window keeps, any shorter window around it keeps as well.
-
-    Each doubling is a column of its own, so that no lambda holds an array that it would compute again.
-    """
-    step = 1
-    while step < window:
-        later = F.slice(column, F.lit(step + 1), F.size(column))
-        df, step = df.withColumn(column, F.zip_with(column, later, lambda x, y: F.least(x, y))), 2 * step
-    return df
-
-
-def _word_anchors(tokens: DataFrame, window: int) -> DataFrame:
-    """(sentence_key, anchor) of sentences with ``window`` triples inside: of the smallest hashes of their
-    windows the one whose first word is longest, which is rare as a rule."""
-    lengths = tokens.withColumn("_n", F.transform("_inner", lambda t: F.length(t)))
-    sized = _triples(lengths, "_inner").withColumn(
-        "_low", F.zip_with("triples", "_n", lambda h, n: F.struct(h.alias("h"), n.alias("n")))
-    )
-    full = F.size("_inner") - (ANCHOR_WORDS - 1)
-    # Hashes behind the last triple, and windows that reach beyond it, are left out.
-    low = _lowest(sized.withColumn("_low", F.slice("_low", F.lit(1), full)), "_low", window)
-    whole = F.slice("_low", F.lit(1), full - (window - 1))
-    best = F.array_max(F.transform(whole, lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))))
-    return low.select("sentence_key", best["h"].alias("anchor"))
-
-
-def contained_sentences(prompts: DataFrame, sentences: DataFrame, min_len: int = 20) -> DataFrame:
+LONGEST = 64  # bytes of the longest run; a power of two
+OPENING = 4096  # bytes at the start of a sentence among which its run is chosen
+PIECE = 1 << 16  # bytes of text hashed at once
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _run_hashes(data: bytes, sizes: list[int]) -> Iterator[np.ndarray]:
+    """For each of the sizes (powers of two, ascending) the hashes of all runs of so many bytes."""
+    h, base = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), _BASE
+    size = 1
+    for wanted in sizes:
+        while size < wanted:
+            h = h[:-size] * np.uint64(base) + h[size:]
+            size, base = 2 * size, base * base % (1 << 64)
+        yield mix(h ^ np.uint64(wanted))
+
+
+def _naming():
+    """The smallest hash of a sentence's runs of the given size."""
+
+    @F.pandas_udf("long")
+    def name(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes in batches:
+            found = [next(_run_hashes(t[:OPENING], [int(n)])).min() for t, n in zip(texts, sizes)]
+            yield pd.Series(np.array(found, np.uint64).view(np.int64))
+
+    return name
+
+
+def _looked_up(sizes: list[int], marks):
+    """Different hashes of a text's runs that are marked."""
+
+    @F.pandas_udf("array<long>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.frombuffer(marks.value, np.uint8)
+        for texts in batches:
+            # The texts of a batch are hashed as one; runs that leave their text are dropped.
+            line = b"".join(texts)
+            ends = np.cumsum([len(t) for t in texts])
+            owners, hashes = [], []
+            for at in range(0, len(line), PIECE):
+                part = line[at : at + PIECE + sizes[-1] - 1]
+                for size, h in zip(sizes, _run_hashes(part, sizes)):
+                    h = h[:PIECE]
+                    slot = (h & np.uint64(MARK_BITS - 1)).view(np.int64)
+                    hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                    owner = np.searchsorted(ends, hit + at, "right")
+                    inside = hit + at + size <= ends[owner]
+                    owners.append(owner[inside])
+                    hashes.append(h[hit[inside]].view(np.int64))
+            out: list[set[int]] = [set() for _ in texts]
+            for owner, h in zip(owners, hashes):
+                for o, x in zip(owner.tolist(), h.tolist()):
+                    out[o].add(x)
+            yield pd.Series([list(x) for x in out])
+
+    return look_up
+
+
+def contained_sentences(prompts: DataFrame, sentences: DataFrame) -> DataFrame:
     """Pairs (prompt_id, sentence_key) where the lowered sentence occurs in the lowered prompt.
 
-    ``prompts(prompt_id, prompt)``; ``sentences(sentence_key, text)`` with distinct lowered texts
-    of at least ``min_len`` characters. Prompts keep the minimizers of windows of ``WINDOW`` triples; where
-    some sentence has fewer triples inside, of as many as it has (a power of two), and runs of characters
-    are looked at only where a sentence has no triple. The candidate pairs are stored in the shared folder
-    when the plan is built: their real size then decides how the texts are looked up, and as a rule no
-    prompt is ever shuffled.
+    ``prompts(prompt_id, prompt)``; ``sentences(sentence_key, text)`` with distinct lowered texts; empty
+    ones occur nowhere. What goes to every task is a table of ``MARK_BITS`` bits, however many sentences
+    there are. The candidate pairs are stored in the shared folder when the plan is built: their real size
+    then decides how the texts are looked up, and as a rule no prompt is ever shuffled.
     """
-    tokens = sentences.withColumn("_t", F.split("text", _WORD_SPLIT)).withColumn(
-        "_inner", F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 2, F.lit(0)))
-    )
-    sizes = [WINDOW >> i for i in range(WINDOW.bit_length())]
-    full = F.size("_inner") - (ANCHOR_WORDS - 1)
-    tokens = tokens.withColumn("_window", F.coalesce(*[F.when(full >= n, F.lit(n)) for n in sizes], F.lit(0)))
-    found = sorted(r["_window"] for r in tokens.select("_window").distinct().collect())
+    spark = prompts.sparkSession
+    sizes = [LONGEST >> i for i in range(LONGEST.bit_length())]
+    size = F.coalesce(*[F.when(F.octet_length("text") >= n, F.lit(n)) for n in sizes])
+    sized = sentences.select("sentence_key", F.col("text").cast("binary").alias("_b"), size.alias("_size")).filter("_size > 0")
+    found = sorted(r["_size"] for r in sized.select("_size").distinct().collect())
     low = prompts.select("prompt_id", F.lower(text_or_blank(F.col("prompt"))).alias("p"))
-
-    def hits(parts: DataFrame, keys: DataFrame) -> DataFrame:
-        # the outer form: a plain explode would compute the hashes twice, once to test for emptiness
-        return parts.select("prompt_id", F.explode_outer(F.array_distinct("_low")).alias("anchor")).join(keys, "anchor")
-
-    pairs = []
-    words = [n for n in found if n]
-    if words:
-        anchors = [_word_anchors(tokens.filter(F.col("_window") == n), n) for n in words]
-        prompt_words = _triples(low.select("prompt_id", F.split("p", _WORD_SPLIT).alias("_p")), "_p")
-        pairs.append(hits(_lowest(prompt_words.withColumnRenamed("triples", "_low"), "_low", words[0]), reduce(DataFrame.unionByName, anchors)))
-    if 0 in found:
-        window = min(WINDOW, 1 << (max(min_len, 1).bit_length() - 1))
-        run = max(min_len, 1) - window + 1
-        start = tokens.filter("_window = 0").withColumn("_c", F.split(F.substring("text", 1, run + window - 1), ""))
-        by_char = start.select("sentence_key", F.array_min(F.slice(_runs("_c", run), 1, window)).alias("anchor"))
-        chars = low.select("prompt_id", F.split("p", "").alias("_p")).withColumn("_low", _runs("_p", run))
-        pairs.append(hits(_lowest(chars, "_low", window), by_char))
-    if not pairs:
+    if not found:
         return low.join(sentences.select("sentence_key").limit(0)).select("prompt_id", "sentence_key")
-    candidates = stored(
-        reduce(DataFrame.unionByName, pairs).select("prompt_id", "sentence_key").distinct(), "candidates"
-    )
+    with batches_of(spark, BATCH_ROWS):
+        anchors = stored(sized.select("sentence_key", _naming()("_b", "_size").alias("anchor")), "anchors")
+        marks = _marks(spark, anchors)
+        runs = low.select("prompt_id", _looked_up(found, marks)(F.col("p").cast("binary")).alias("_runs"))
+        # the outer form: a plain explode would compute the hashes twice, once to test for emptiness
+        hits = runs.select("prompt_id", F.explode_outer("_runs").alias("anchor")).join(anchors, "anchor")
+        candidates = stored(hits.select("prompt_id", "sentence_key").distinct(), "candidates")
     return (
         low.join(candidates, "prompt_id")
         .join(sentences.select("sentence_key", "text"), "sentence_key")
@@ -137,9 +123,9 @@ def _keyed(examples: DataFrame, min_len: int) -> DataFrame:
     )
 
 
-def _hits(prompts: DataFrame, rows: DataFrame, min_len: int) -> DataFrame:
+def _hits(prompts: DataFrame, rows: DataFrame) -> DataFrame:
     texts = rows.groupBy("sentence_key").agg(F.first("text").alias("text"))
-    return contained_sentences(prompts, texts, min_len)
+    return contained_sentences(prompts, texts)
 
 
 def _sample(characters: int | None) -> Column:
@@ -156,7 +142,7 @@ def leaked_examples(
     Copies of a sentence are looked up once and expanded again at the end.
     """
     rows = _keyed(examples, min_len)
-    return _hits(prompts, rows, min_len).join(rows, "sentence_key").select(
+    return _hits(prompts, rows).join(rows, "sentence_key").select(
         "prompt_id", "source_id", "split", _sample(sample_characters)
     )
 
@@ -178,7 +164,7 @@ def leak_audit(
     copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     first = first_rows(rows.select(*keys, "source_id", _sample(sample_characters)), keys, ["source_id"], samples)
     shown = first.groupBy(*keys).agg(F.collect_list(F.struct("source_id", "sample")).alias("first"))
-    hits = _hits(prompts, rows, min_len).join(copies.join(shown, keys), "sentence_key")
+    hits = _hits(prompts, rows).join(copies.join(shown, keys), "sentence_key")
     ordered = F.array_sort(F.flatten(F.collect_list("first")))
     return hits.groupBy("prompt_id", "split").agg(
         F.sum("copies").alias("leaks"),

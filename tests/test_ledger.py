@@ -1,10 +1,14 @@
 """Worked examples, leaks, streams against brute force."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from labelworks.operators import leaks as K
 from labelworks.operators import ledger as G
 from labelworks.operators.leaks import audit_coverage, leak_audit, leaked_examples
 from labelworks.streaming import jobs as T
@@ -74,6 +78,43 @@ def test_leaks_of_no_sentence(spark):
     assert leaked_examples(p, e).count() == leak_audit(p, e).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["der", "Straße", "ÜBER", "of", "a", "日本語", "x1", "naïve"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "-", "", ", "]) for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    ex = []
+    for i in range(240):
+        at = rng.choice(texts)
+        start = rng.randint(0, max(0, len(at) - 1))
+        ex.append((i, "s", at[start : start + rng.choice([1, 3, 19, 20, 21, 32, 63, 64, 70, 200])].swapcase()))
+    p = spark.createDataFrame([*enumerate(texts), (99, None)], "prompt_id int, prompt string")
+    e = spark.createDataFrame([*ex, (999, "s", None)], "source_id int, split string, sentence string")
+    for min_len in (1, 20):
+        rows = e.select("source_id", F.trim(F.lower("sentence")).alias("s")).filter(F.length("s") >= min_len)
+        low = p.select("prompt_id", F.lower("prompt").alias("p"))
+        want = {tuple(r) for r in low.crossJoin(rows).filter(F.contains("p", "s")).select("prompt_id", "source_id").collect()}
+        got = leaked_examples(p, e, min_len).select("prompt_id", "source_id").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_only_runs_of_sentences_leave_the_prompts(spark, monkeypatch):
+    """Sentences of few words made every character of every prompt a row."""
+    monkeypatch.setattr(K, "PIECE", 32)
+    rng = random.Random(6)
+    noise = [bytes(rng.choices(range(97, 123), k=n)) for n in (0, 5, 16, 500, 3000)]
+    runs = {16: b"abcdefghijklmnop", 64: b"0123456789" * 6 + b"0123"}
+    bits = np.zeros(K.MARK_BITS // 8, np.uint8)
+    want = []
+    for size, run in runs.items():
+        (h,) = next(K._run_hashes(run, [size]))
+        want.append(int(h.view(np.int64)))
+        bits[int(h) % K.MARK_BITS >> 3] |= 1 << (int(h) & 7)
+    looked_up = K._looked_up([16, 64], SimpleNamespace(value=bits.tobytes())).func
+    texts = [*noise, noise[3] + runs[16] + noise[4] + runs[16], noise[1] + runs[64], runs[16] + runs[64], runs[16][:9], runs[16][9:]]
+    (got,) = looked_up(iter([pd.Series(texts)]))
+    assert [sorted(x) for x in got] == [[], [], [], [], [], [want[0]], [want[1]], sorted(want), [], []]
+
+
 def test_leak_samples_are_whole(spark):
     text = " ".join(f"word{i}" for i in range(60))
     p = spark.createDataFrame([(1, f"x {text} y")], "prompt_id bigint, prompt string")
