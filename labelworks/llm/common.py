@@ -96,6 +96,13 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of every run of ``size`` bytes."""
+    prefix = prefix_hash(data)
+    n = len(prefix) - size
+    return mix((prefix[size:] - prefix[:n]) * _power(_INVERSE, n) + np.uint64(size))
+
+
 def _pieces(data: bytes):
     """The text cut between words into pieces of about ``PIECE_BYTES``."""
     at = 0

@@ -330,3 +330,27 @@ def test_toxic_samples_hold_the_whole_text():
     keep = {w[:-1] for w in toxicity.windows_of(text)}
     samples = toxicity._samples(text, keep, dict.fromkeys(keep, 4))
     assert b"".join(samples) == b"".join(w[:-1] for w in toxicity.windows_of(text)) and len(samples) > 1
+
+
+@pytest.mark.parametrize("length", [1, 7, 20])
+def test_repeated_strings_of_shards(length):
+    """Many shards of which some are one letter over and over, merged at once, against a count of all strings."""
+    from collections import Counter
+
+    from labelworks.llm import substrings
+
+    rng = random.Random(length)
+    shards = []
+    for letters in ("a", "ab", "abcdefgh \u00e9\u65e5"):
+        pool = "".join(rng.choices(letters, k=200))
+        for _ in range(110):
+            at = rng.randrange(150)
+            shards.append((pool[at : at + rng.randint(length, length + 40)] + rng.choice(["", "x", "yz"])).encode())
+    counts = Counter(s[i : i + length] for s in shards for i in range(len(s) - length + 1))
+    want = [[i for i in range(len(s) - length + 1) if counts[s[i : i + length]] > 1] for s in shards]
+    assert [x.tolist() for x in substrings.repeated_starts(shards, length)] == want
+    _, _, starts = substrings._transforms(shards)
+    at = 0
+    for s in shards:
+        assert starts[at : at + len(s) + 1].tolist() == sorted(range(len(s) + 1), key=lambda k: s[k:])
+        at += len(s) + 1
