@@ -60,6 +60,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 PIECE_BYTES = 1 << 20
+TOGETHER_BYTES = 1 << 16  # of short texts that are hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -115,16 +116,51 @@ def _pieces(data: bytes):
     yield data[at:]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text in order; words are runs of other than white space."""
-    found = []
-    for piece in _pieces((text or "").encode("utf-8", "surrogatepass").translate(LOWER)):
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in order, and where they start."""
+    found, starts, offset = [], [], 0
+    for piece in _pieces(data.translate(LOWER)):
         a = np.frombuffer(piece, np.uint8)
         inside = np.zeros(len(a) + 2, np.int8)
         inside[1:-1] = ~SPACE[a]
         edge = np.diff(inside)
-        found.append(span_hash(prefix_hash(a), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
-    return np.concatenate(found)
+        start = np.flatnonzero(edge == 1)
+        found.append(span_hash(prefix_hash(a), start, np.flatnonzero(edge == -1)))
+        starts.append(start + offset)
+        offset += len(piece)
+    return np.concatenate(found), np.concatenate(starts)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text in order; words are runs of other than white space."""
+    return _hashes((text or "").encode("utf-8", "surrogatepass"))[0]
+
+
+def hashes_of_texts(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``word_hashes`` of all texts in order, as (hashes, how many each text has) for some texts at a time.
+    Short texts are hashed together."""
+    held, size, hashes, counts, total = [], 0, [], [], 0
+
+    def hash_held() -> None:
+        found, starts = _hashes(b"\n".join(held))
+        ends = np.cumsum([len(d) + 1 for d in held])
+        counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+        hashes.append(found)
+
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(data) > TOGETHER_BYTES:
+            hash_held()
+            held, size = [], 0
+            if total > PIECE_BYTES:
+                yield np.concatenate(hashes), np.concatenate(counts)
+                hashes, counts, total = [], [], 0
+        held.append(data)
+        size += len(data)
+        total += len(data)
+    if held:
+        hash_held()
+        yield np.concatenate(hashes), np.concatenate(counts)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

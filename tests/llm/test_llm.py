@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("labelworks.llm")
@@ -22,6 +24,7 @@ from labelworks.llm import (  # noqa: E402
     toxicity,
     warc,
 )
+from labelworks.llm.common import hashes_of_texts, word_hashes  # noqa: E402
 
 ROWS = "doc_id long, text string, n_words string, key string, norm string, row string, node string"
 
@@ -307,6 +310,69 @@ def test_language_model_grows_with_the_vocabulary(spark):
     assert got[100].n_tokens == 3000 and got[101].per_token is None
 
 
+def plain_log_likelihood(net, rows, words):
+    """Word by word and digit by digit, with one row looked up at a time."""
+    total, n = 0.0, len(words)
+    for j, word in enumerate(words):
+        beside = [words[j + s] if 0 <= j + s < n else net.border for s in lm_score.SIDES]
+        near = sum(rows[int(w)] * g for w, g in zip(beside, net.dense["gates"]))
+        h = np.tanh(near + net.dense["bias"])
+        for i, (before, b, first) in enumerate(net.levels):
+            z = net.dense[f"out{i}"] @ (h + rows[first + (int(word) >> (net.bits - before))]) + net._base(i)
+            z = z.astype(float)
+            digit = (int(word) >> (net.bits - before - b)) & ((1 << b) - 1)
+            total += z[digit] - z.max() - np.log(np.exp(z - z.max()).sum())
+    return total
+
+
+def test_language_model_goes_to_its_parts_in_blocks(spark, monkeypatch):
+    """Tasks hand on blocks of rows, not a row a word; each part gets the rows of its words."""
+    monkeypatch.setattr(lm_score, "PART_WORDS", 700)
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 900)
+    rng = random.Random(5)
+    texts = [" ".join([*(f"w{rng.randrange(40)}" for _ in range(60)), *(f"own{i}x{k}" for k in range(9))]) for i in range(40)]
+    rows = [*enumerate(texts), (90, None), (91, ""), (92, "alone"), (93, texts[0])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    frames = list(lm_score.training(11, 3)(iter([pd.DataFrame({"text": texts})])))
+    assert sum(len(f) for f in frames) == 4
+
+    bits, _, path = lm_score.trained(docs)
+    model = spark.read.parquet(path).collect()
+    parts = {r.part for r in model}
+    assert len(parts - {lm_score.EVERY}) > 2
+    held = {p: [int(k) for r in model if r.part == p for k in np.cumsum(np.frombuffer(r["keys"], np.int64))] for p in parts}
+    number = {w: int(lm_score.as_tokens(word_hashes(w), bits)[0]) for w in {w for t in texts for w in t.split()}}
+    assert all(number[f"w{i}"] in held[lm_score.EVERY] for i in range(40))
+    for i in (3, 30):
+        here = [p for p in parts if number[f"own{i}x4"] in held[p]]
+        assert len(here) == 1 and here[0] != lm_score.EVERY
+
+    blocks = [lm_score._read_block(bytes(r["keys"]), bytes(r["rows"])) for r in model]
+    net = lm_score.network(bits, *lm_score.joined(blocks))
+    by_key = dict(zip(net.keys.tolist(), net.rows))
+    for table in (docs, docs.repartition(5)):
+        got = {r.doc_id: r for r in lm_score.pseudo_likelihood(table).collect()}
+        assert len(got) == len(rows)
+        assert got[0].per_token == pytest.approx(got[93].per_token)
+        assert all(got[i].n_tokens == len((t or "").split()) for i, t in rows)
+        assert got[90].per_token is None and got[90].log_likelihood == 0
+        if table is docs:
+            for i in (0, 17, 39, 92):
+                want = plain_log_likelihood(net, by_key, lm_score.as_tokens(word_hashes(dict(rows)[i]), bits))
+                assert got[i].log_likelihood == pytest.approx(want, rel=1e-4)
+    assert lm_score.pseudo_likelihood(docs.limit(0)).collect() == []
+
+
+def test_hashes_of_texts_equal_those_of_each_text():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(200)) for _ in range(300)]
+    texts += [None, "", " \n", "one", "x" * 70_000, prose(rng, 30_000), "last A\tb "]
+    found = list(hashes_of_texts(texts))
+    sizes = [len(word_hashes(t)) for t in texts]
+    assert np.concatenate([n for _, n in found]).tolist() == sizes
+    assert np.array_equal(np.concatenate([h for h, _ in found]), np.concatenate([word_hashes(t) for t in texts]))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, marks = [], []
