@@ -348,9 +348,9 @@ def training(bits: int, blocks: int = 1):
                             steps.append(step)
                             ready += held
                             step, held = [], 0
-                if ready >= CHUNK:
-                    trainer.learn(steps)
-                    steps, ready = [], 0
+                        if ready >= CHUNK:
+                            trainer.learn(steps)
+                            steps, ready = [], 0
         if held:
             steps.append(step)
         if steps:
